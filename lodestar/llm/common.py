@@ -87,13 +87,15 @@ class Memo(dict):
     Memory stays bounded whatever the vocabulary; a lookup that hits costs one dict access.
     """
 
-    def __init__(self, make: Callable, size: int = 300_000):
+    def __init__(self, make: Callable | None = None, size: int = 300_000):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
+            if self.make is None:
+                raise KeyError(key)
             value = self.make(key)
         self.put(key, value)
         return value

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid
+from . import decontam, langid, packing, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": langid.op1, "op9_decontaminate": decontam.op9}
+    return {
+        "op1_langid": langid.op1,
+        "op3_pack": packing.op3,
+        "op4_token_file": tokenfile.op4,
+        "op9_decontaminate": decontam.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
