@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, tokenfile
+from . import decontam, langid, linedup, packing, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pack": packing.op3,
         "op4_token_file": tokenfile.op4,
         "op9_decontaminate": decontam.op9,
+        "op10_line_dedup": linedup.op10,
     }
 
 
