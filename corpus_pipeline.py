@@ -1,10 +1,21 @@
-"""The corpus pipeline: STAGES are applied to documents one after another, each written and read again."""
+"""The corpus pipeline: STAGES are applied to documents one after another, each written and read again.
+
+Every stage but the last takes and returns the columns of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import common, decontam, langid, linedup, packing, probminhash
+
 
-from lodestar.llm import common, langid
+def _with_text(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with n_chars as the length of the text that `found` has now."""
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +25,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(found.lang_pred != langid.UNDETERMINED).select(*docs.columns)
 
 
-STAGES = [("language", language)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the lines that an earlier document, or the same, has; documents of which nothing is left go."""
+    found = linedup.dedup(docs)
+    return _with_text(found.where((F.size("removed") == 0) | (F.trim("text") != "")), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the first, of each class of near-duplicates."""
+    return probminhash.dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the words that test items have in a window; documents of which nothing is left go."""
+    bench = common.read(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontam.decontaminate(docs, bench, remove="spans")
+    return _with_text(found.where(F.trim("text") != ""), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of at most 4096 tokens."""
+    return packing.pack(packing.pieces(docs.select("doc_id", "text")))
+
+
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pack", pack),
+]
 
-#: No stage but the last is expressible in SQL; tests hold the stages against brute force.
+#: Cross-parsing, word edits, components and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linedup, packing, tokenfile
+from . import decontam, langid, linedup, packing, probminhash, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_langid": langid.op1,
         "op3_pack": packing.op3,
         "op4_token_file": tokenfile.op4,
+        "op5_near_dedup": probminhash.op5,
         "op9_decontaminate": decontam.op9,
         "op10_line_dedup": linedup.op10,
     }
