@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linedup, packing, probminhash, tokenfile
+from . import decontam, langid, linedup, packing, probminhash, tokenfile, urlcascade
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1,
+        "op2_url_cascade": urlcascade.op2,
         "op3_pack": packing.op3,
         "op4_token_file": tokenfile.op4,
         "op5_near_dedup": probminhash.op5,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontam.OP9_SQL}
+    return {"op2_url_cascade": urlcascade.OP2_SQL, "op9_decontaminate": decontam.OP9_SQL}
