@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linedup, packing, probminhash, tokenfile, toxicity, urlcascade
+from . import decontam, htmlcut, langid, linedup, packing, probminhash, tokenfile, toxicity, urlcascade
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_file": tokenfile.op4,
         "op5_near_dedup": probminhash.op5,
         "op7_toxicity": toxicity.op7,
+        "op8_main_text": htmlcut.op8,
         "op9_decontaminate": decontam.op9,
         "op10_line_dedup": linedup.op10,
     }
