@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import io
+import posixpath
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -61,6 +65,35 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def store(folder: str, name: str, data: bytes) -> None:
+    """Writes a file under another name and moves it, so that a task that is run again or twice does no harm."""
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    own, final = posixpath.join(path, f".{name}.{uuid.uuid4().hex}"), posixpath.join(path, name)
+    with fs.open_output_stream(own) as f:
+        f.write(data)
+    if not isinstance(fs, pa.fs.LocalFileSystem) and fs.get_file_info(final).type != pa.fs.FileType.NotFound:
+        fs.delete_file(final)
+    fs.move(own, final)
+
+
+def load(folder: str, name: str) -> bytes:
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    with fs.open_input_file(posixpath.join(path, name)) as f:
+        return f.read()
+
+
+def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
+    file = io.BytesIO()
+    np.savez(file, **arrays)
+    store(folder, name, file.getvalue())
+
+
+def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(load(folder, name))) as data:
+        return dict(data)
+
+
 def passes(texts: list[str | None], most: int = PASS_CHARS) -> Iterator[tuple[list[int], list[str]]]:
     """(row numbers, texts) of at most about `most` characters; a longer text comes in several pieces."""
     rows: list[int] = []

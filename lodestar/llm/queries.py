@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmlcut, langid, linedup, packing, probminhash, tokenfile, toxicity, urlcascade
+from . import decontam, htmlcut, langid, linedup, packing, probminhash, tokenfile, toxicity, urlcascade, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pack": packing.op3,
         "op4_token_file": tokenfile.op4,
         "op5_near_dedup": probminhash.op5,
+        "op6_vp_tree": vptree.op6,
         "op7_toxicity": toxicity.op7,
         "op8_main_text": htmlcut.op8,
         "op9_decontaminate": decontam.op9,

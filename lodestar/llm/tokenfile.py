@@ -18,20 +18,17 @@ are little-endian. The last block is filled up with its shard's last id.
 
 from __future__ import annotations
 
-import posixpath
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, new_path, read
+from .common import cut, load, new_path, read, store
 
 MAGIC = b"LSPFOR1\n"
 BLOCK = 1024
@@ -154,24 +151,6 @@ class Shard:
         return decode_blocks(self.payload, self.blocks, self.n, self.block)
 
 
-def _store(folder: str, name: str, data: bytes) -> None:
-    """Writes a file under another name and moves it, so that a task that is run again or twice does no harm."""
-    fs, path = pa.fs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    own = posixpath.join(path, f".{name}.{uuid.uuid4().hex}")
-    with fs.open_output_stream(own) as f:
-        f.write(data)
-    if not isinstance(fs, pa.fs.LocalFileSystem) and fs.get_file_info(posixpath.join(path, name)).type != pa.fs.FileType.NotFound:
-        fs.delete_file(posixpath.join(path, name))
-    fs.move(own, posixpath.join(path, name))
-
-
-def _load(folder: str, name: str) -> bytes:
-    fs, path = pa.fs.FileSystem.from_uri(folder)
-    with fs.open_input_file(posixpath.join(path, name)) as f:
-        return f.read()
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str = tokens.TOKENIZER, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the token ids of docs(doc_id, text) to shard files in `folder`; returns the manifest.
 
@@ -188,7 +167,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = tokens.TOKENIZER, shard
 
         def close():
             name = f"part-{part:06d}-{shard:06d}.pfor"
-            _store(folder, name, encode_shard(doc_ids, ids))
+            store(folder, name, encode_shard(doc_ids, ids))
             row = {"part": [part], "shard": [shard], "file": [name], "n_docs": [len(ids)], "n_tokens": [n]}
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row.values(), kinds, strict=True)], list(row))
@@ -221,7 +200,7 @@ def read_back(manifest: DataFrame, folder: str, files: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(_load(folder, name))
+                shard = Shard(load(folder, name))
                 raw = shard.all_ids().astype("<u4").tobytes()
                 at = shard.starts.astype(np.int64)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
