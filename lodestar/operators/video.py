@@ -9,17 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ORDER = Window.partitionBy("video").orderBy("ts", "event_id")
+def _order():
+    return Window.partitionBy("video").orderBy("ts", "event_id")
 
 
 def frame_change(rows: DataFrame, first: float | None = 0.0) -> DataFrame:
     """`change`: absolute difference of value to the frame before; `first` for a video's first frame."""
-    change = F.abs(F.col("value") - F.lag("value").over(_ORDER))
+    change = F.abs(F.col("value") - F.lag("value").over(_order()))
     return rows.withColumn("change", change if first is None else F.coalesce(change, F.lit(first)))
 
 
 def rolling_max(rows: DataFrame, radius: int) -> DataFrame:
-    return rows.withColumn("high", F.max("value").over(_ORDER.rowsBetween(-radius, radius)))
+    return rows.withColumn("high", F.max("value").over(_order().rowsBetween(-radius, radius)))
 
 
 def adaptive_threshold(rows: DataFrame, low: float = 0.08, high: float = 0.25) -> DataFrame:
@@ -36,7 +37,7 @@ def duration_target(seconds: Column) -> Column:
 def runs(rows: DataFrame) -> DataFrame:
     """(video, label, first_event, length): maximal runs of equal labels in time order."""
     inner = Window.partitionBy("video", "label").orderBy("ts", "event_id")
-    island = F.row_number().over(_ORDER) - F.row_number().over(inner)
+    island = F.row_number().over(_order()) - F.row_number().over(inner)
     rows = rows.withColumn("island", island)
     return rows.groupBy("video", "label", "island").agg(F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("length"))
 

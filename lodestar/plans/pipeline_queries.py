@@ -1 +1,144 @@
-"""Registered queries."""
+"""Queries over chunking, cluster runs, folding and the state of imports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import assets, chunk, density, fold, search, text, video
+from ..streaming import jobs
+from .domain import WORKSPACE, Domain, ctes
+from .registry import query
+from .search_queries import LIVE_SQL, _hits
+
+
+@query("chunk_markdown")
+def chunk_markdown(d: Domain) -> DataFrame:
+    """Parent and child blocks of every document."""
+    return chunk.chunk_documents(d.raw("documents"))
+
+
+@query("chunk_identity")
+def chunk_identity(d: Domain) -> DataFrame:
+    """Asset keys and content hashes of blocks, with the parent's key."""
+    rows = chunk.chunk_documents(d.raw("documents"))
+    locator = F.concat(F.lit('{"end":'), "end", F.lit(',"kind":"text_range","start":'), "start", F.lit("}"))
+    rows = rows.withColumn("asset_key", F.sha2(F.concat_ws("\n", "role", locator), 256)).withColumn("content_hash", text.framed_hash(F.col("asset_key"), F.col("text")))
+    parents = rows.where("role = 'parent'").select("doc_id", "parent", F.col("asset_key").alias("parent_key"))
+    return rows.join(parents, ["doc_id", "parent"], "left").select("doc_id", "role", "asset_key", "content_hash", "parent_key")
+
+
+@query("cluster_run")
+def cluster_run(d: Domain) -> DataFrame:
+    """A run for each channel of the live assets, at most 20,000 vectors each."""
+    own = d.vectors.join(assets.live(d.assets, d.source_files, WORKSPACE).select("asset_id"), "asset_id", "left_semi")
+    return density.cluster_runs(own, parameters=density.Parameters(epsilon=0.0))
+
+
+@query("cluster_run_summary")
+def cluster_run_summary(d: Domain) -> DataFrame:
+    """Noise by raw labels, clusters by merged labels."""
+    rows = cluster_run(d)
+    return rows.groupBy("workspace_id", "embedding_type").agg(
+        F.count_if(F.col("label") < 0).alias("noise"), F.count_distinct("merged_label").alias("clusters"), F.count(F.lit(1)).alias("assets")
+    )
+
+
+@query("fold_results")
+def fold_results(d: Domain) -> DataFrame:
+    """Neighbours fold, then the source cap."""
+    rows = search.validate(search.fuse_rrf(_hits(d)), assets.live(d.assets, d.source_files, WORKSPACE), d.embedding_records)
+    own = d.assets.select("asset_id", "index_role", F.col("parent_no").alias("parent"), F.col("block_index").alias("block"))
+    rows = rows.join(own, "asset_id").withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "asset_id")))
+    start = F.col("block") * 5000
+    rows = rows.select(F.lit(0).alias("query_no"), "pos", "asset_id", "source_file_id", "asset_type", "index_role", "parent", "block", start.alias("start_ms"), (start + 4000).alias("end_ms"))
+    return fold.fold(rows, 20)
+
+
+@query("video_segments")
+def video_segments(d: Domain) -> DataFrame:
+    """K4 to K7: each label's vectors as a video in order of id."""
+    frames = d.raw("embeddings").select(F.col("label").cast("long").alias("video"), (F.col("vec_id") * 1000).alias("at"), "embedding")
+    return video.segment_videos(frames, 0.9)
+
+
+@query(
+    "segment_frames",
+    """with seg as (select user_id % 20 as video, cast(floor(event_id / 50) as int) as k, concat(cast(user_id % 20 as varchar), '_', cast(cast(floor(event_id / 50) as int) as varchar)) as segment_id,
+        cast(floor(event_id / 50) as int) * 50 as s, cast(floor(event_id / 50) as int) * 50 + 50 as e from events group by all),
+    f as (select user_id % 20 as video, event_id as frame_id, event_id as t from events where event_id % 3 = 0),
+    m as (select segment_id, frame_id, t >= s and (t < e or (e = max(e) over (partition by seg.video) and t = e)) as inside, abs(t - (s + e) / 2) as away
+        from seg join f using (video)),
+    c as (select segment_id, count(*) filter (inside) as n, arg_min(frame_id, struct_pack(a := away, i := frame_id)) as near from m group by segment_id)
+    select m.segment_id, m.frame_id from m join c using (segment_id) where (c.n > 0 and inside) or (c.n = 0 and m.frame_id = c.near)""",
+)
+def segment_frames(d: Domain) -> DataFrame:
+    """A segment's frames, or the nearest one."""
+    e = d.raw("events").withColumn("video", F.col("user_id") % 20).withColumn("k", F.floor(F.col("event_id") / 50).cast("int"))
+    seg = e.select("video", "k").distinct().select(
+        "video", F.concat(F.col("video").cast("string"), F.lit("_"), F.col("k").cast("string")).alias("segment_id"), (F.col("k") * 50).alias("start"), (F.col("k") * 50 + 50).alias("end")
+    )
+    frames = e.where("event_id % 3 = 0").select("video", F.col("event_id").alias("frame_id"), F.col("event_id").alias("at"))
+    return video.frames_of(seg, frames)
+
+
+@query(
+    "generation_guard",
+    f"{ctes('source_files', 'assets')} select a.asset_id from assets a join source_files s on a.source_file_id = s.source_file_id where a.generation = s.processing_generation",
+)
+def generation_guard(d: Domain) -> DataFrame:
+    """L3: stale deliveries are dropped."""
+    return jobs.current_only(d.assets.select("asset_id", "source_file_id", "generation"), d.source_files).select("asset_id")
+
+
+@query(
+    "stream_upsert",
+    """with s as (select doc_id, 1 as version, lang from documents where doc_id % 2 = 0), b as (select doc_id, 1 as version, 'new' as lang from documents where doc_id % 3 = 0
+    union all select doc_id, 0, 'old' from documents where doc_id % 4 = 0)
+    select doc_id, version, lang from (select *, row_number() over (partition by doc_id order by version desc, n desc) as k from (select *, 0 as n from s union all select *, 1 from b)) where k = 1""",
+)
+def stream_upsert(d: Domain) -> DataFrame:
+    """L2 L3: keyed latest wins; replays change nothing."""
+    docs = d.raw("documents")
+    state = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("version"), "lang")
+    batch = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("version"), F.lit("new").alias("lang"))
+    batch = batch.unionByName(docs.where("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("version"), F.lit("old").alias("lang")))
+    return jobs.upsert(state, batch, "doc_id", "version")
+
+
+@query(
+    "completion_gate",
+    f"""{ctes('source_files', 'assets')}, c as (select source_file_id, count(distinct asset_id) as stored from assets where generation = 1 group by source_file_id)
+    select s.source_file_id, coalesce(stored, 0) as stored, n_documents as expected, case when coalesce(stored, 0) < n_documents then 'waiting' when stored = n_documents then 'done' else 'error' end as state
+    from source_files s left join c on s.source_file_id = c.source_file_id""",
+)
+def completion_gate(d: Domain) -> DataFrame:
+    """L4: done when as many segments are stored as expected."""
+    expected = d.source_files.select("source_file_id", F.col("n_documents").alias("expected"))
+    return jobs.completion(d.assets.where("generation = 1"), expected)
+
+
+@query(
+    "image_contexts",
+    """with r as (select doc_id, concat(lang, '/', source, '.md') as path, lang as caption from documents where doc_id % 3 = 0),
+    f as (select distinct concat(lang, '/', source, '.md') as path from documents where doc_id % 2 = 0)
+    select f.path, count(*) as n, string_agg(distinct caption, ',' order by caption) as captions from r join f on r.path = f.path group by f.path""",
+)
+def image_contexts(d: Domain) -> DataFrame:
+    """References meet files by normal path; their contexts are collected."""
+    docs = d.raw("documents")
+    refs = docs.where("doc_id % 3 = 0").select(text.normal_path(F.concat(F.lit(" "), "lang", F.lit("\\"), "source", F.lit(".md"))).alias("path"), F.col("lang").alias("caption"))
+    files = docs.where("doc_id % 2 = 0").select(F.concat("lang", F.lit("/"), "source", F.lit(".md")).alias("path")).distinct()
+    met = refs.join(files, "path").groupBy("path")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("caption")), ",").alias("captions"))
+
+
+@query(
+    "path_context",
+    f"""{ctes('source_files', 'assets')}, {LIVE_SQL}, p as (select split_part(relative_path, '/', 1) as dir, count(*) as n from live group by 1)
+    select dir, n, cast(row_number() over (order by n desc, dir) as int) as rank from p""",
+)
+def path_context(d: Domain) -> DataFrame:
+    """The most frequent directories; ties by name."""
+    rows = assets.live(d.assets, d.source_files, WORKSPACE).groupBy(text.directory(F.col("relative_path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "dir")))
