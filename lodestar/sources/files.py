@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The extensions that are read, by the kind of handler.
 HANDLERS = {
@@ -85,7 +84,9 @@ def embedded_images(files: DataFrame, least_bytes: int = 1) -> DataFrame:
     return rows.groupBy("path", "sha256").agg(F.min("member").alias("member"), F.array_sort(F.collect_list("member")).alias("occurrences"))
 
 
-EVALUATION = T.StructType.fromDDL("request struct<workspace_id: string, query_type: string, query_text: string>, relevant_asset_ids array<string>, _corrupt_record string")
+EVALUATION = (
+    "request struct<workspace_id: string, query_type: string, query_text: string>, relevant_asset_ids array<string>, _corrupt_record string"
+)
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
