@@ -61,16 +61,17 @@ def _listed(hashes: list[int]) -> str:
 
 
 def hits(docs: DataFrame, bench: DataFrame, n: int = 10, most_in_plan: int = MOST_IN_PLAN) -> DataFrame:
-    """One row per row of docs(key, text, ...): its other columns, n_words, spans array<struct<pos, size>>, items array.
+    """One row per row of docs(text, ...): its other columns, n_words, spans array<struct<pos, size>>, items array.
 
     `spans` has the verified occurrences of windows (pos is the word's number from 1), `items` the sorted ids of the
     items that they are of. Null and wordless texts have no words; a null item id is matched but not listed. Repeated
-    rows of docs keep a row each.
+    rows of docs keep a row each; without test items nothing is hit. Columns of docs named n_words, spans or items are
+    replaced; columns by any other name, of any type, are returned as they are.
     """
-    spark = docs.sparkSession
     ws = windows(bench, n)
     keep = [c for c in docs.columns if c not in ("text", "n_words", "spans", "items")]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words(F.col("text")).alias("_w"))
+    kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_none"))
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), kept.alias("_keep"), words(F.col("text")).alias("_w"))
     base = base.withColumn("n_words", F.size("_w").cast("long"))
     grams: dict[int, list[int]] = {}
     full: dict[int, list[int]] = {}
@@ -96,14 +97,19 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = 10, most_in_plan: int = MOS
             found.append(f"if(n_words >= {size}, transform({at}, i -> {span}), array())")
     none = "cast(array() as array<struct<pos: int, size: int, window: string>>)"
     base = base.withColumn("_hits", F.expr(f"concat({', '.join([none, *found])})")).drop("_w")
-    rows = base.select("_row", *keep, "n_words", F.explode_outer("_hits").alias("_hit"))
-    rows = rows.select("_row", *keep, "n_words", "_hit.pos", F.col("_hit.size").alias("_size"), F.col("_hit.window").alias("_window"))
+    rows = base.select("_row", "_keep", "n_words", F.explode_outer("_hits").alias("_hit"))
+    rows = rows.select("_row", "_keep", "n_words", "_hit.pos", F.col("_hit.size").alias("_size"), F.col("_hit.window").alias("_window"))
     side = ws.select(F.col("size").alias("_size"), F.col("window").alias("_window"), "items")
     side = F.broadcast(side) if in_plan else side
     met = rows.join(side, ["_size", "_window"], "left")
     spans = F.collect_list(F.when(F.col("items").isNotNull(), F.struct("pos", F.col("_size").alias("size"))))
-    met = met.groupBy("_row", *keep, "n_words").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return met.drop("_row")
+    met = met.groupBy("_row").agg(
+        F.any_value("_keep").alias("_keep"),
+        F.any_value("n_words").alias("n_words"),
+        spans.alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return met.select(*(f"_keep.{c}" for c in keep), "n_words", "spans", "items")
 
 
 def covered(spans: Column) -> Column:
@@ -116,7 +122,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str =
 
     remove='documents' drops every document with a hit. remove='spans' cuts the hit words, each with the characters up
     to the next word, out of the text and keeps every document. Documents without a hit are returned as they are. `text`
-    is required; columns named _w, _hits, n_words, spans or items are dropped during the search but not from the result.
+    is required; columns by any name are returned, as they travel in a struct. Null texts stay null.
     """
     all_columns = docs.columns
     own = docs.select(F.struct(*all_columns).alias("_doc"), "text")

@@ -287,10 +287,14 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs, with the columns it has, less all but the first row of each class; null and empty texts stay."""
-    rows = numbered(docs)
+    """docs, with the columns it has, less all but the first row of each class.
+
+    Null and empty texts stay, as every row of them is a class. Requires doc_id and text; columns by any other name are
+    returned as they are. An empty table gives an empty table.
+    """
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
     kept = classes(rows.select("doc_id", "_row", "text")).where("_row = class_row").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float = 0
             sentence.append(n - 1)
     w, s, d = np.array(words, np.int64), np.array(sentence, np.int64), np.array(doc, np.int64)
     lists = [word_features(t) for t in vocab]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    owner = np.repeat(np.arange(len(lists)), np.array([len(x) for x in lists], np.int64))
     feature = np.array([f for x in lists for f in x], np.int64)
     weights, bias = np.zeros(BUCKETS), -5.0
     if not len(w) or labels.min() == labels.max():

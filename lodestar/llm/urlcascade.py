@@ -152,7 +152,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> D
 
     A rule host/path fits the host and its subdomains if the URL's path begins with the rule's. Null URLs and those
     without '://' have empty host and path, no rule, and the verdict on what is not listed: allow. Of two verdicts on one
-    rule, block holds. Columns by those four names are replaced; repeated rows get equal answers.
+    rule, block holds. Columns by those four names are replaced, columns named _keys, _a or _b dropped; repeated rows get
+    equal answers.
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
