@@ -50,11 +50,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this process has cut; call it once no result that reads them is needed."""
+    while _made:
+        delete(spark, _made.pop())
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read from there: ends the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -477,3 +477,16 @@ def test_every_operator_is_registered():
 
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_release_deletes_cut_tables(spark):
+    from pathlib import Path
+
+    from lodestar.llm import common
+
+    common.release(spark)
+    table = common.cut(spark.range(5).toDF("n"), "five")
+    path = Path(table.inputFiles()[0].removeprefix("file://"))
+    assert table.count() == 5 and path.exists()
+    common.release(spark)
+    assert not path.exists()
