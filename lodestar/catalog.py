@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import history_queries, pipeline_queries, search_queries, text_queries
+from .plans import check_queries, history_queries, pipeline_queries, search_queries, text_queries
 from .plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "history_queries", "pipeline_queries", "search_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "check_queries", "history_queries", "pipeline_queries", "search_queries", "text_queries"]
