@@ -263,6 +263,28 @@ def hierarchy(text: str, count: Counter = len, parent_most: int = PARENT_MAX) ->
     return rows
 
 
+_IMAGE = re.compile(r"!\[([^\]]*)\]\(\s*<?([^)>\s]+)>?(?:\s+[\"'][^)]*)?\s*\)")
+
+
+def image_contexts(text: str) -> list[dict]:
+    """Each image reference: path, caption, the heading it stands under and the paragraph before it. URLs are left out."""
+    out, heading, before = [], "", ""
+    for node in markdown_nodes(text):
+        if node.kind == "heading":
+            heading, before = node.title, ""
+            continue
+        body = text[node.start : node.end]
+        if node.kind == "fence":
+            continue
+        for m in _IMAGE.finditer(body):
+            if "://" not in m[2] and not m[2].startswith("data:"):
+                own = _IMAGE.sub("", body[: m.start()]).strip()
+                out.append({"path": m[2], "caption": m[1].strip(), "heading": heading, "preceding": own or before})
+        if plain := _IMAGE.sub("", body).strip():
+            before = plain
+    return out
+
+
 CHUNK_SCHEMA = "doc_id long, role string, parent int, child int, start int, end int, headings string, text string"
 
 

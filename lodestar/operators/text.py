@@ -89,3 +89,26 @@ def asset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def unchanged(files: DataFrame, known: DataFrame) -> DataFrame:
     """files that must be processed: path, sha and fingerprint of a completed one are not known yet."""
     return files.join(known.where("status = 'completed'"), ["path", "sha", "fingerprint"], "left_anti")
+
+
+_SENTENCE_ENDS, _CLAUSE_ENDS, _LOOSE = "。！？!?", "；;，,", "，、；：,;: "
+
+
+def complete_sentence(text: str, most: int = 150) -> str:
+    """At most `most` characters that end as a sentence: cut after its last clause in the second half, else with a full stop."""
+    if len(text) <= most and text.endswith(tuple(_SENTENCE_ENDS)):
+        return text
+    if len(text) < most:
+        return text.rstrip(_LOOSE) + "。"
+    if most <= 1:
+        return "。"
+    body = text[: most - 1].rstrip(_LOOSE)
+    last = max(body.rfind(c) for c in _SENTENCE_ENDS + _CLAUSE_ENDS)
+    if len(text) > most and last >= most // 2:
+        return body[: last + 1] if body[last] in _SENTENCE_ENDS else body[:last] + "。"
+    return body + "。"
+
+
+def retry_delays(attempts: int, first: float = 1.0, cap: float = 30.0) -> list[float]:
+    """Seconds to wait before each retry: doubled each time, up to the cap."""
+    return [min(cap, first * 2**k) for k in range(attempts)]

@@ -119,6 +119,32 @@ def distinct_frames(embeddings: np.ndarray, most_similar: float) -> list[int]:
     return kept
 
 
+def representative_frames(embeddings: np.ndarray, most: int = 3, least_silhouette: float = 0.15, rounds: int = 50) -> list[int]:
+    """Up to `most` frames in time order: the real frame nearest to each centre of the k-means with the best silhouette.
+
+    Centres begin at the first frame and then at the farthest from those chosen, so that the result is determined. One
+    frame, the nearest to the mean, where no k separates well.
+    """
+    from .density import silhouette
+
+    x = embeddings / np.maximum(np.linalg.norm(embeddings, axis=1, keepdims=True), 1e-12)
+    best, labels = least_silhouette, np.zeros(len(x), int)
+    for k in range(2, min(most, len(x) - 1) + 1):
+        centers = [x[0]]
+        for _ in range(k - 1):
+            centers.append(x[int(np.min([((x - c) ** 2).sum(axis=1) for c in centers], axis=0).argmax())])
+        c = np.array(centers)
+        for _ in range(rounds):
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        if len(set(own.tolist())) == k and (s := silhouette(x, own)) > best:
+            best, labels = s, own
+    return sorted(int(np.flatnonzero(labels == j)[((x[labels == j] - x[labels == j].mean(axis=0)) ** 2).sum(axis=1).argmin()]) for j in set(labels.tolist()))
+
+
 def frames_of(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """(segment_id, frame_id): frames in [start, end), with the end for the last segment; else the one nearest the middle."""
     last = F.max("end").over(Window.partitionBy("video"))

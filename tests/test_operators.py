@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import assets, chunk, density, fold, search, text, vector, video
+from lodestar.operators import assets, checks, chunk, density, fold, request, search, text, vector, video
 from lodestar.sources import files
 from lodestar.streaming import jobs
 
@@ -160,3 +160,62 @@ def test_stream_is_idempotent(spark, tmp_path):
         stream = jobs.read_stream(spark, source, spark.createDataFrame([], schema).schema)
         jobs.enrich_and_assign(stream, vectors, lambda x: x, sink, str(tmp_path / "check")).awaitTermination()
     assert sorted(r.asset_id for r in spark.read.parquet(sink).collect()) == ["a0", "a1", "a2"]
+
+
+def test_image_contexts():
+    md = "# Trip\n\nWe went up.\n\n![the peak](img/a.png)\n\n## Lake\n\nBlue ![](b.jpg 'x') water ![w](https://x/y.png)\n\n```\n![no](c.png)\n```\n"
+    assert chunk.image_contexts(md) == [
+        {"path": "img/a.png", "caption": "the peak", "heading": "Trip", "preceding": "We went up."},
+        {"path": "b.jpg", "caption": "", "heading": "Lake", "preceding": "Blue"},
+    ]
+
+
+def test_representative_frames():
+    assert len(video.representative_frames(unit(0, 1, 2, 90, 91, 92))) == 2
+    assert len(video.representative_frames(unit(5))) == 1
+
+
+def test_sentences_and_delays():
+    assert text.complete_sentence("好，") == "好。" and text.complete_sentence("Fine!") == "Fine!"
+    assert text.complete_sentence("一二三四五六，七八九十", 9) == "一二三四五六。"
+    assert text.retry_delays(7) == [1, 2, 4, 8, 16, 30, 30]
+
+
+@pytest.mark.parametrize(
+    "wrong",
+    [
+        {"query_type": "text"},
+        {"query_type": "image", "query_text": "x"},
+        {"query_type": "image_text", "query_text": "x"},
+        {"query_type": "image", "image_url": "u", "image_upload": "i"},
+        {"query_type": "text", "query_text": "x", "top_k": 101},
+        {"query_type": "text", "query_text": "x", "channels": ("native", "native")},
+        {"query_type": "text", "query_text": "x", "channels": ("visual_style",), "filters": request.Filters(asset_types=("text_block",))},
+    ],
+)
+def test_wrong_requests(wrong):
+    with pytest.raises(ValueError):
+        request.Request("ws", **wrong)
+
+
+def test_plans_degrade():
+    own = request.Request("ws", "image_text", "q", image_url="u", channels=("native", "description"))
+    good = request.plan(own, lambda r: ({"native": "n", "description": "d"}, {"native": 3, "description": 1}))
+    assert good.channels == [("native", "n", 0.75, "joint"), ("description", "d", 0.25, "text")]
+    bad = request.plan(own, lambda r: ({"native": "n"}, {"native": 1}))
+    assert [c[2] for c in bad.channels] == [0.5, 0.5] and len(bad.reasons) == 1
+
+    def encode(source, query):
+        if source == "joint":
+            raise RuntimeError("no")
+        return [3.0, 4.0] if source == "image" else [0.0, 0.0]
+
+    queries, reasons = request.embed(good, encode)
+    assert queries == [("native", 1.0, [0.6, 0.8])] and len(reasons) == 2
+
+
+def test_publication_faults(spark):
+    clusters = spark.createDataFrame([("a", "A", "x"), ("a", "A", None), ("b", " ", "z"), ("c", "C", None)], "cluster_id string, name string, representative string")
+    members = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "x")], "cluster_id string, asset_id string")
+    got = sorted((r.id, r.fault) for r in checks.publish_faults(clusters, members).collect())
+    assert got == [("a", "cluster repeated"), ("b", "blank name"), ("b", "representative is no member"), ("c", "no members"), ("x", "asset repeated")]
