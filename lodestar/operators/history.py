@@ -11,27 +11,27 @@ LIST_LIMIT = 100
 
 def latest_execution(runs: DataFrame) -> DataFrame:
     """The latest run of each saved search; of equal times the larger id."""
-    w = Window.partitionBy("search_capsule_id").orderBy(F.desc("created_at"), F.desc("execution_id"))
+    w = Window.partitionBy("saved_search_id").orderBy(F.desc("created_at"), F.desc("execution_id"))
     return runs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def saved_searches(runs: DataFrame) -> DataFrame:
     """One row per (workspace, user, saved search): favourite if any run is, last used at its latest run."""
-    return runs.groupBy("workspace_id", "created_by", "search_capsule_id").agg(
+    return runs.groupBy("workspace_id", "created_by", "saved_search_id").agg(
         F.bool_or("is_favorite").alias("is_favorite"), F.max("created_at").alias("last_used_at")
     )
 
 
 def prune(searches: DataFrame, keep: int = KEEP_SEARCHES) -> DataFrame:
     """searches without the non-favourites beyond the `keep` most recent of a user."""
-    w = Window.partitionBy("workspace_id", "created_by").orderBy(F.desc("last_used_at"), F.desc("search_capsule_id"))
+    w = Window.partitionBy("workspace_id", "created_by").orderBy(F.desc("last_used_at"), F.desc("saved_search_id"))
     old = searches.where(~F.col("is_favorite")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") > keep)
-    return searches.join(old.select("workspace_id", "created_by", "search_capsule_id"), ["workspace_id", "created_by", "search_capsule_id"], "left_anti")
+    return searches.join(old.select("workspace_id", "created_by", "saved_search_id"), ["workspace_id", "created_by", "saved_search_id"], "left_anti")
 
 
 def listed(searches: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """Favourites first, then the most recent."""
-    return searches.orderBy(F.desc("is_favorite"), F.desc("last_used_at"), "created_by", "search_capsule_id").limit(limit)
+    return searches.orderBy(F.desc("is_favorite"), F.desc("last_used_at"), "created_by", "saved_search_id").limit(limit)
 
 
 def page(rows: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:

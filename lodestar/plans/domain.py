@@ -73,7 +73,7 @@ TABLES = {
         from (select label as ch, min(vec_id) as vec_id from embeddings where label between 0 and 3 group by label) as e
         join embeddings v on v.vec_id = e.vec_id""",
     "search_runs": """
-        select event_id as execution_id, concat('cap_', cast(user_id % 200 as {string})) as search_capsule_id, user_id as created_by, 'ws1' as workspace_id,
+        select event_id as execution_id, concat('cap_', cast(user_id % 200 as {string})) as saved_search_id, user_id as created_by, 'ws1' as workspace_id,
             ts as created_at, event_type = 'purchase' as is_favorite, value, event_type
         from events""",
     "cluster_runs": """

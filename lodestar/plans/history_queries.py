@@ -10,7 +10,7 @@ from .domain import WORKSPACE, Domain, ctes
 from .registry import query
 from .search_queries import LIVE_SQL
 
-_SAVED = """saved as (select workspace_id, created_by, search_capsule_id, bool_or(is_favorite) as is_favorite, max(created_at) as last_used_at
+_SAVED = """saved as (select workspace_id, created_by, saved_search_id, bool_or(is_favorite) as is_favorite, max(created_at) as last_used_at
     from search_runs group by all)"""
 
 
@@ -57,32 +57,32 @@ def delete_counts(d: Domain) -> DataFrame:
 
 @query(
     "latest_execution",
-    f"{ctes('search_runs')} select search_capsule_id, execution_id from (select *, row_number() over (partition by search_capsule_id order by created_at desc, execution_id desc) as n from search_runs) where n = 1",
+    f"{ctes('search_runs')} select saved_search_id, execution_id from (select *, row_number() over (partition by saved_search_id order by created_at desc, execution_id desc) as n from search_runs) where n = 1",
 )
 def latest_execution(d: Domain) -> DataFrame:
     """The latest run of each saved search."""
-    return history.latest_execution(d.search_runs).select("search_capsule_id", "execution_id")
+    return history.latest_execution(d.search_runs).select("saved_search_id", "execution_id")
 
 
 @query(
     "history_list",
-    f"{ctes('search_runs')}, {_SAVED} select created_by, search_capsule_id, is_favorite from saved order by is_favorite desc, last_used_at desc, created_by, search_capsule_id limit 100",
+    f"{ctes('search_runs')}, {_SAVED} select created_by, saved_search_id, is_favorite from saved order by is_favorite desc, last_used_at desc, created_by, saved_search_id limit 100",
 )
 def history_list(d: Domain) -> DataFrame:
     """Favourites first, then most recently used."""
-    return history.listed(history.saved_searches(d.search_runs)).select("created_by", "search_capsule_id", "is_favorite")
+    return history.listed(history.saved_searches(d.search_runs)).select("created_by", "saved_search_id", "is_favorite")
 
 
 @query(
     "history_prune",
-    f"""{ctes('search_runs')}, {_SAVED.replace("workspace_id, created_by, search_capsule_id", "workspace_id, cast(search_capsule_id as varchar) as created_by, execution_id as search_capsule_id")}
-    select created_by, search_capsule_id from saved s where is_favorite or search_capsule_id in (select search_capsule_id from (
-        select search_capsule_id, row_number() over (partition by created_by order by last_used_at desc, search_capsule_id desc) as n from saved where not is_favorite) where n <= 10)""",
+    f"""{ctes('search_runs')}, {_SAVED.replace("workspace_id, created_by, saved_search_id", "workspace_id, cast(saved_search_id as varchar) as created_by, execution_id as saved_search_id")}
+    select created_by, saved_search_id from saved s where is_favorite or saved_search_id in (select saved_search_id from (
+        select saved_search_id, row_number() over (partition by created_by order by last_used_at desc, saved_search_id desc) as n from saved where not is_favorite) where n <= 10)""",
 )
 def history_prune(d: Domain) -> DataFrame:
     """All but the ten most recent non-favourites of a user go."""
-    rows = d.search_runs.withColumn("created_by", F.col("search_capsule_id")).withColumn("search_capsule_id", F.col("execution_id"))
-    return history.prune(history.saved_searches(rows)).select("created_by", "search_capsule_id")
+    rows = d.search_runs.withColumn("created_by", F.col("saved_search_id")).withColumn("saved_search_id", F.col("execution_id"))
+    return history.prune(history.saved_searches(rows)).select("created_by", "saved_search_id")
 
 
 @query(
