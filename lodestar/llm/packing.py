@@ -65,8 +65,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.TO
         encoder = tokens.encoder(tokenizer)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.document(text.as_py())
+            found = encoder.documents(t.as_py() for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, x in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

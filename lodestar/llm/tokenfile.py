@@ -173,8 +173,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str = tokens.TOKENIZER, shard
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = encoder.document(text.as_py())
+            found = encoder.documents(t.as_py() for t in batch.column(1))
+            for doc, own in zip(batch.column(0).to_pylist(), found, strict=True):
                 doc_ids.append(doc)
                 ids.append(own)
                 n += len(own) // 4

@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -20,7 +22,18 @@ from .common import Memo
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 _END = array("I", [END_ID]).tobytes()
-_PLAIN = re.compile("[a-z]+")
+#: Letters whose lower case and normal form are plain in any library.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it prints, else the next free one from 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    free = iter(range(256, 512))
+    return [chr(b) if b in set(own) else chr(next(free)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
 #: A comma or full stop right after a letter and before a blank is a token group of its own; apart, its word is cached once.
 _STOP = re.compile("(?<=[A-Za-z])([,.])(?= )")
 #: Words longer than this are not cached.
@@ -30,42 +43,67 @@ LONG_WORD = 64
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = Memo(size=cache)
         self.cache[""] = b""
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of the whole text; none for a null or empty one."""
-        if not text:
-            return b""
-        words = _STOP.sub(r" \1", text.replace("\n", " ")).split(" ")
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        new = cache.unknown(words)
-        plain = self.tokenizer.model
-        rest, found = [], {}
-        for w in new:
-            if w.isascii() and _PLAIN.fullmatch(low := w.lower()) and len(w) <= LONG_WORD:
-                # White space, case and normalisation are settled: the model alone remains to be applied.
-                found[w] = array("I", [t.id for t in plain.tokenize(low)]).tobytes()
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that the cache lacks, which it then has too, but for very long ones."""
+        found: dict[str, bytes] = {}
+        rest = []
+        model = self.tokenizer.model
+        for w in self.cache.unknown(words):
+            if len(w) <= LONG_WORD and _PLAIN.fullmatch(w):
+                # Such a word is one token group whatever its case: the library's model alone remains to be applied.
+                mapped = "".join([_BYTES[b] for b in w.lower().encode()])
+                found[w] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
             else:
                 rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
             found[w] = array("I", e.ids).tobytes()
-        out = b"".join([found[w] if w in found else cache[w] for w in words])
         for w, ids in found.items():
             if len(w) <= LONG_WORD:
-                cache.put(w, ids)
+                self.cache.put(w, ids)
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text; none for null and empty ones. New words are encoded for all texts together."""
+        split = [_STOP.sub(r" \1", t.replace("\n", " ")).split(" ") if t else [] for t in texts]
+        new = self.learn(set(chain.from_iterable(split)))
+        if not new:
+            get = self.cache.__getitem__
+            return [b"".join(map(get, words)) for words in split]
+        # The cache may have turned over while it learned; the new words are at hand in any case.
+        out = []
+        for words in split:
+            try:
+                out.append(b"".join(map(self.cache.__getitem__, words)))
+            except KeyError:
+                out.append(b"".join([new[w] if w in new else self.again(w) for w in words]))
         return out
 
-    def document(self, text: str | None) -> bytes:
-        """encode(text) and the end id."""
-        return self.encode(text) + _END
+    def again(self, word: str) -> bytes:
+        try:
+            return self.cache[word]
+        except KeyError:
+            return self.learn({word})[word]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
+
+    def documents(self, texts: Iterable[str | None], most: int = 2_000_000) -> Iterator[bytes]:
+        """The ids of each text and the end id; texts go in groups of about `most` characters, which bounds memory."""
+        group: list[str | None] = []
+        n = 0
+        for text in texts:
+            group.append(text)
+            n += len(text or "")
+            if n >= most:
+                yield from (ids + _END for ids in self.encode_all(group))
+                group, n = [], 0
+        yield from (ids + _END for ids in self.encode_all(group))
 
 
 _encoders: dict[str, Encoder] = {}
