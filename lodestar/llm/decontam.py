@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 #: Fixed by the contract: the characters of a word, once A-Z are lower-cased; WORD_ANY_CASE has A-Z too.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,6 +24,8 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 #: Most hashes that a plan carries as a hash set; a larger benchmark is matched by joins.
 MOST_IN_PLAN = 200_000
+#: Contaminated documents up to which their spans are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def lower_az(text: Column) -> Column:
@@ -122,20 +124,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str =
 
     remove='documents' drops every document with a hit. remove='spans' cuts the hit words, each with the characters up
     to the next word, out of the text and keeps every document. Documents without a hit are returned as they are. `text`
-    is required; columns by any name are returned, as they travel in a struct. Null texts stay null.
+    is required; columns by any name are returned, as they travel in a struct. Null texts stay null. docs must be a table
+    read from files, so that its row numbers are the same in every scan.
     """
-    all_columns = docs.columns
-    own = docs.select(F.struct(*all_columns).alias("_doc"), "text")
-    found = hits(own, bench, n)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text", F.monotonically_increasing_id().alias("_row"))
+    # Only what is hit is gathered, then met with its rows by number: clean texts are not shuffled.
+    found = hits(rows.select(F.col("_row").alias("at"), "text"), bench, n).where(F.size("spans") > 0).select(F.col("at").alias("_row"), "spans")
+    found = cut(found, "contaminated")
+    many = found.count()
+    side = F.broadcast(found) if many <= MOST_BROADCAST else found
     if remove == "documents":
-        return found.where(F.size("spans") == 0).select("_doc.*")
+        return rows.select("_row", "_doc").join(side.select("_row"), "_row", "left_anti").select("_doc.*")
+    out = rows.select("_row", "_doc").join(side.withColumn("_cover", covered(F.col("spans"))), "_row", "left")
     pieces = F.regexp_extract_all("_doc.text", F.lit(f"{WORD_ANY_CASE}{BREAK}"), F.lit(0))
     lead = F.regexp_extract("_doc.text", f"^{BREAK}", 0)
-    hit = F.col("_cover")
-    kept = F.filter(pieces, lambda _, i: ~F.array_contains(hit, i + 1))
-    text = F.when(F.size("spans") == 0, F.col("_doc.text")).otherwise(F.concat(lead, F.array_join(kept, "")))
-    found = found.withColumn("_cover", covered(F.col("spans"))).withColumn("_doc", F.col("_doc").withField("text", text))
-    return found.select("_doc.*")
+    kept = F.filter(pieces, lambda _, i: ~F.array_contains("_cover", i + 1))
+    text = F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(F.concat(lead, F.array_join(kept, "")))
+    return out.select(F.col("_doc").withField("text", text).alias("_doc")).select("_doc.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
