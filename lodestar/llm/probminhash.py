@@ -36,20 +36,20 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
-BLOCK = 1500
+BLOCK = 500
+#: Word hashes that a task keeps, in each of two generations.
+CACHED_WORDS = 150_000
 #: Texts up to which a list of them is broadcast; a longer one is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-_hashes = Memo(word_hash)
-
-
-def shingle_lists(texts: list[str | None]) -> tuple[list[tuple[int, int] | None], np.ndarray, np.ndarray]:
+def shingle_lists(texts: list[str | None], hashes: Memo | None = None) -> tuple[list[tuple[int, int] | None], np.ndarray, np.ndarray]:
     """(content hash of each text, owner of each shingle, its hash); shingles of a text lie together.
 
     The content hash is None for null and empty texts; texts without a word have one, but no shingle.
     """
+    hashes = Memo(word_hash) if hashes is None else hashes
     content: list[tuple[int, int] | None] = []
     flat: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
@@ -60,7 +60,7 @@ def shingle_lists(texts: list[str | None]) -> tuple[list[tuple[int, int] | None]
         words = _WORD.findall(text.lower())
         h = xxhash.xxh3_128_intdigest(" ".join(words) if words else "\0" + text)
         content.append(((h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63))
-        flat.extend(map(_hashes.__getitem__, words))
+        flat.extend(map(hashes.__getitem__, words))
         sizes[i] = len(words)
     hv = np.array(flat, np.uint64)
     ends = np.cumsum(sizes)
@@ -126,7 +126,7 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
-def _whole(texts: pa.Array, most: int = 4_000_000):
+def _whole(texts: pa.Array, most: int = 1_500_000):
     """Groups of (row number, text) of about `most` characters; texts are never cut, null and empty ones left out."""
     group: list[tuple[int, str]] = []
     n = 0
@@ -146,6 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, _row, c1, c2, bands array<long>) of docs(doc_id, _row, text); c1 is null for null and empty texts."""
 
     def run(batches):
+        hashes = Memo(word_hash, CACHED_WORDS)
         for batch in batches:
             n = batch.num_rows
             c1: list[int | None] = [None] * n
@@ -153,7 +154,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             keys = np.zeros((n, BANDS), np.int64)
             has = np.zeros(n, bool)
             for group in _whole(batch.column(2)):
-                content, owner, g = shingle_lists([t for _, t in group])
+                content, owner, g = shingle_lists([t for _, t in group], hashes)
                 owner, g, count = distinct_shingles(owner, g)
                 found = band_keys(signatures(owner, g, 1 + np.log(count), len(group)))
                 some = np.bincount(owner, minlength=len(group)) > 0
@@ -172,9 +173,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(uid, shingles array<long>) of docs(_row, text): the distinct shingles, sorted."""
 
     def run(batches):
+        hashes = Memo(word_hash, CACHED_WORDS)
         for batch in batches:
             for group in _whole(batch.column(1)):
-                _, owner, g = shingle_lists([t for _, t in group])
+                _, owner, g = shingle_lists([t for _, t in group], hashes)
                 owner, g, _ = distinct_shingles(owner, g)
                 offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(group)))).astype(np.int32)
                 uid = batch.column(0).take(pa.array([i for i, _ in group]))
