@@ -16,13 +16,19 @@ second halves are equal. A count over hashed halves tells which lines share one;
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, read
+from .common import Memo, cut, mix, read, word_hash
 
 MIN_WORDS = 4
 NEAR_WORDS = 10
+#: An odd base of polynomial hashes and its inverse modulo 2^64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Rows up to which a table of hashes or line numbers is broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -66,6 +72,37 @@ def within_one_edit(a: str, b: str) -> str:
     )
 
 
+def deletion_variants(words: DataFrame) -> DataFrame:
+    """(at, place, key): hashed keys of words(at, words) itself, at place 0, and of it without its i-th word, at place i.
+
+    The hash of words w1..wn is the sum of h(wi) B^i modulo 2^64, finished by a mix: sums before and after the gap give
+    every variant's hash at once. Equal words hash alike wherever they come from.
+    """
+    kind = words.schema["at"].dataType
+
+    def run(batches):
+        hashes = Memo(word_hash, 150_000)
+        for batch in batches:
+            lists = batch.column(1)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            h = np.array([hashes[w] for w in lists.flatten().to_pylist()], np.uint64)
+            owner = np.repeat(np.arange(len(n)), n)
+            nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            powers = np.cumprod(np.append(np.uint64(1), np.full(int(n.max(initial=0)), _BASE)), dtype=np.uint64)
+            term = h * powers[nth]
+            total = np.append(np.uint64(0), np.cumsum(term, dtype=np.uint64))
+            begin, end = total[(np.cumsum(n) - n)[owner]], total[np.cumsum(n)[owner]]
+            before, after = total[:-1] - begin, end - total[1:]
+            whole = total[np.cumsum(n)] - total[np.cumsum(n) - n]
+            key = mix(np.concatenate([whole, before + after * _INVERSE])).view(np.int64)
+            place = np.concatenate([np.zeros(len(n), np.int64), nth + 1])
+            at = batch.column(0).take(pa.array(np.concatenate([np.arange(len(n)), owner])))
+            yield pa.RecordBatch.from_arrays([at, pa.array(place.astype(np.int32)), pa.array(key)], ["at", "place", "key"])
+
+    schema = T.StructType([T.StructField("at", kind), *T.StructType.fromDDL("place int, key long").fields])
+    return words.select("at", "words").mapInArrow(run, schema)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(_row, line) of the lines to remove from docs(doc_id, _row, text)."""
     every = lines(docs).withColumn("n", F.size("words"))
@@ -89,16 +126,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     partnered = halves.join(_side(shared, shared.count()), "half", "left_semi").select("h", "h2").distinct()
     partnered = cut(partnered.join(distinct.select("h", "h2", "first"), ["h", "h2"]), "partnered")
 
-    # The words of those lines, read again from their first occurrences.
-    first = partnered.select(F.col("first._row").alias("_row"), F.col("first.line").alias("line"))
-    n = partnered.count()
-    words = lines(docs).join(_side(first, n), ["_row", "line"]).select(F.struct("doc_id", "_row", "line").alias("at"), "words")
+    # The words of those lines, read again from their first occurrences; other lines and documents are not split.
+    first = partnered.groupBy(F.col("first._row").alias("_row")).agg(F.sort_array(F.collect_set("first.line")).alias("wanted"))
+    first = cut(first, "wanted")
+    words = docs.select("doc_id", "_row", "text").join(_side(first, first.count()), "_row")
+    words = words.withColumn("raw", F.split("text", "\n")).select("doc_id", "_row", "raw", F.explode("wanted").alias("line"))
+    words = words.select(F.struct("doc_id", "_row", "line").alias("at"), _words(F.get("raw", "line")).alias("words"))
     words = cut(words, "partnered_words")
-    gap = "concat(slice(words, 1, i - 1), slice(words, i + 1, size(words)))"
-    places = f"transform(sequence(1, size(words)), i -> struct(i as place, xxhash64({gap}) as key))"
-    keys = F.expr(f"concat(array(struct(0 as place, xxhash64(words) as key)), {places})")
-    variants = words.select("at", F.explode(keys).alias("v")).select("at", "v.place", "v.key")
-    variants = cut(variants, "variants")
+    variants = cut(deletion_variants(words), "variants")
 
     same_place = variants.where("place > 0").groupBy("key", "place").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     same_place = same_place.where("n > 1").select("key", "place", "first")
@@ -123,23 +158,21 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Requires doc_id and text. Null texts stay null with n_lines 0, empty ones empty; the other lines of a text keep their
     order and line breaks. Rows with equal doc_id count in the table's order; so of repeated rows the first keeps its
-    lines. Columns named _row, n_lines or removed are replaced. docs must be a table read from files, so that its row
+    lines. Columns named n_lines or removed
+    are replaced, all others returned as they are. docs must be a table read from files, so that its row
     numbers are the same in every scan.
     """
-    docs = docs.drop("n_lines", "removed").withColumn("_row", F.monotonically_increasing_id())
-    gone = removed_lines(docs.select("doc_id", "_row", "text")).groupBy("_row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    docs = docs.drop("n_lines", "removed")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    gone = removed_lines(rows.select("doc_id", "_row", "text")).groupBy("_row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     gone = cut(gone, "removed")
-    out = docs.join(_side(gone, gone.count()), "_row", "left").drop("_row")
-    none = F.array().cast("array<int>")
-    parts = F.split("text", "\n")
+    out = rows.select("_row", "_doc").join(_side(gone, gone.count()), "_row", "left")
+    parts = F.split("_doc.text", "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("removed", i)), "\n")
-    return out.withColumns(
-        {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)),
-            "text": F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept),
-            "removed": F.coalesce("removed", none),
-        }
-    )
+    text = F.when(F.col("removed").isNull(), F.col("_doc.text")).otherwise(kept)
+    n = F.when(F.col("_doc.text").isNull(), 0).otherwise(F.size(parts))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select(F.col("_doc").withField("text", text).alias("_doc"), n.alias("n_lines"), removed.alias("removed")).select("_doc.*", "n_lines", "removed")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
