@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the lines that an earlier document, or the same, has; documents of which nothing is left go."""
-    found = linedup.dedup(docs)
+    found = linedup.dedup(docs, **linedup.EVERY_LINE)
     return _with_text(found.where((F.size("removed") == 0) | (F.trim("text") != "")), docs)
 
 

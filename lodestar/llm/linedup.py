@@ -1,8 +1,10 @@
 """Line deduplication with a deletion-neighbourhood join over words.
 
 A line's words are its lower-cased parts between white space. A line is removed if an earlier one, by (doc_id, row, line
-number), has the same words; or, where both have NEAR_WORDS words or more, if an earlier one is within one inserted,
-deleted or replaced word of it. Lines of fewer than MIN_WORDS words are never removed.
+number), has the same words; or, where both have near_words words or more, if an earlier one is within one inserted,
+deleted or replaced word of it. Lines of fewer than min_words words are never removed. The query and the pipeline ask for
+EVERY_LINE: repeats of all lines with a word, and near copies from 4 words on. dedup() alone has the defaults MIN_WORDS
+and NEAR_WORDS.
 
 Two lines are within one edit exactly if one is the other with a word deleted, or if both give the same words on deleting
 the word at the same place. So each line emits a hashed key for every deletion variant with the place, and one for itself
@@ -26,6 +28,8 @@ from .common import Memo, cut, mix, read, word_hash
 
 MIN_WORDS = 4
 NEAR_WORDS = 10
+#: No line is exempt from exact repeats; of fewer than four words, one changed word makes another line.
+EVERY_LINE = {"min_words": 1, "near_words": 4}
 #: An odd base of polynomial hashes and its inverse modulo 2^64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -41,19 +45,21 @@ def _words(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " ")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, line int from 0, words) of the lines of docs(doc_id, _row, text) with MIN_WORDS words or more."""
+def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, _row, line int from 0, words) of the lines of docs(doc_id, _row, text) with min_words words or more."""
     rows = docs.select("doc_id", "_row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     rows = rows.select("doc_id", "_row", "line", _words(F.col("raw")).alias("words"))
-    return rows.where(F.size("words") >= MIN_WORDS)
+    # A blank line splits into one empty word.
+    return rows.where((F.size("words") >= min_words) & (F.get("words", F.lit(0)) != ""))
 
 
-#: Of lines a, b within one edit, sizes differ by one at most: halves are cut at the places that either could use.
+#: Of lines a, b within one edit, sizes differ by one at most: the first and last words as many as half of the shorter one
+#: do not overlap in either, so one edit leaves the first or the last equal. The shorter one has {near} words or more.
 _HALVES = """
     if(n >= {near}, array_distinct(array(
-        xxhash64(1, slice(words, 1, (n - 1) div 2)), xxhash64(1, slice(words, 1, n div 2)), xxhash64(1, slice(words, 1, (n + 1) div 2)),
-        xxhash64(2, slice(words, -((n - 1) div 2), (n - 1) div 2)), xxhash64(2, slice(words, -(n div 2), n div 2)),
-        xxhash64(2, slice(words, -((n + 1) div 2), (n + 1) div 2))
+        xxhash64(1, slice(words, 1, greatest(n - 1, {near}) div 2)), xxhash64(1, slice(words, 1, n div 2)),
+        xxhash64(2, slice(words, -(greatest(n - 1, {near}) div 2), greatest(n - 1, {near}) div 2)),
+        xxhash64(2, slice(words, -(n div 2), n div 2))
     )), array())
 """
 
@@ -103,14 +109,14 @@ def deletion_variants(words: DataFrame) -> DataFrame:
     return words.select("at", "words").mapInArrow(run, schema)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(_row, line) of the lines to remove from docs(doc_id, _row, text)."""
-    every = lines(docs).withColumn("n", F.size("words"))
+    every = lines(docs, min_words).withColumn("n", F.size("words"))
     every = every.select(
         F.struct("doc_id", "_row", "line").alias("at"),
         F.xxhash64("words").alias("h"),
         F.hash("words").alias("h2"),
-        F.expr(_HALVES.format(near=NEAR_WORDS)).alias("halves"),
+        F.expr(_HALVES.format(near=near_words)).alias("halves"),
     )
     every = cut(every, "lines")
 
@@ -153,7 +159,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return again.unionByName(near.select("at._row", "at.line")).distinct()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with `text` less the removed lines, and n_lines int, removed array<int> (line numbers from 0).
 
     Requires doc_id and text. Null texts stay null with n_lines 0, empty ones empty; the other lines of a text keep their
@@ -164,7 +170,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "removed")
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    gone = removed_lines(rows.select("doc_id", "_row", "text")).groupBy("_row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = removed_lines(rows.select("doc_id", "_row", "text"), min_words, near_words).groupBy("_row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     gone = cut(gone, "removed")
     out = rows.select("_row", "_doc").join(_side(gone, gone.count()), "_row", "left")
     parts = F.split("_doc.text", "\n")
@@ -176,4 +182,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "removed", "text")
+    return dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), **EVERY_LINE).select("doc_id", "n_lines", "removed", "text")

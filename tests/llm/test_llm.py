@@ -449,6 +449,34 @@ def test_lines_equal_brute_force(spark, tmp_path):
     assert got[90].text is None and got[90].n_lines == 0 and got[91].text == "" and got[94].text == ""
 
 
+def test_op10_exempts_no_short_line(spark, tmp_path):
+    r = random.Random(8)
+    base = [prose(n, 300 + n).split() for n in range(1, 11)]
+    docs = []
+    for i in range(60):
+        own = []
+        for _ in range(4):
+            w = list(r.choice(base))
+            if r.random() < 0.5:
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], [f"v{r.randrange(30)}"], [w[k], f"u{r.randrange(30)}"], [w[k].upper()]])
+            own.append(" ".join(w))
+        docs.append((i, "\n".join([*own, "", " \t "])))
+    docs += [(90, None), (91, ""), (92, "All rights reserved."), (93, "all  rights reserved."), (94, "Ietzte."), (95, "Ietzte.")]
+    seen, want = [], {}
+    for i, t in docs:
+        want[i] = []
+        for k, line in enumerate((t or "").split("\n")):
+            w = line.lower().split()
+            if any(w == o or (min(len(w), len(o)) >= 4 and within_one(w, o)) for o in seen):
+                want[i].append(k)
+            if w:
+                seen.append(w)
+    table(spark, tmp_path, docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: list(r.removed) for r in linedup.op10(spark, str(tmp_path)).collect()}
+    assert got == want and got[93] == got[95] == [0]
+
+
 def test_line_dedup_edges(spark, odd_docs):
     got = linedup.dedup(odd_docs)
     assert got.count() == odd_docs.count() and got.where("_row <> 7").count() == 0
