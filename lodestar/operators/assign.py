@@ -5,12 +5,16 @@ State is immutable: a command takes tables and returns new ones.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import assets, vector
 
 THRESHOLD = 0.88
+#: Vectors of a label that a task of medoids() has on either side.
+BLOCK = 500
 
 
 def assign(fresh: DataFrame, reps: DataFrame, excluded: DataFrame, threshold: float = THRESHOLD, reps_bounded: bool = True) -> DataFrame:
@@ -85,15 +89,37 @@ def detach(members: DataFrame, gone: DataFrame, excluded: DataFrame) -> tuple[Da
     return left, excluded.unionByName(gone.select("cluster_id", "asset_id")).distinct()
 
 
-def medoids(rows: DataFrame) -> DataFrame:
+def _block_totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(label, embedding_id, total): sums of distances between blocks i and j of a label, row by row of the first."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    a = pdf[pdf["own"] == i]
+    b = pdf[pdf["own"] == j]
+    if not len(a) or not len(b):
+        return pd.DataFrame({"label": [], "embedding_id": [], "total": []}).astype({"label": pdf["label"].dtype, "embedding_id": object, "total": float})
+    x = np.stack(a["embedding"].to_numpy()).astype(np.float64)
+    y = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+    down, across = np.zeros(len(x)), np.zeros(len(y))
+    for k in range(len(x)):
+        distance = np.sqrt(((y - x[k]) ** 2).sum(axis=1))
+        down[k] = distance.sum()
+        across += distance
+    out = a[["label", "embedding_id"]].assign(total=down)
+    return out if i == j else pd.concat([out, b[["label", "embedding_id"]].assign(total=across)])
+
+
+def medoids(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(label, medoid, total) of rows(label, embedding_id, embedding): least sum of Euclidean distances, then smallest id.
 
-    Meant for clusters of bounded size, as a run's are; pairs are formed within a label only.
+    A label's rows are dealt into blocks of about `block`; a task compares two blocks, and only sums leave it. Work grows
+    with the square of a label's size, memory does not grow.
     """
     own = rows.select("label", "embedding_id", "embedding")
-    other = own.select("label", F.col("embedding").alias("other"))
-    squares = F.zip_with("embedding", "other", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    pairs = own.join(other, "label").withColumn("d", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)))
-    total = pairs.groupBy("label", "embedding_id").agg(F.sum("d").alias("total"))
+    counts = own.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = own.join(counts, "label").withColumn("own", F.pmod(F.xxhash64("embedding_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    kinds = f"label {rows.schema['label'].dataType.simpleString()}, embedding_id string, total double"
+    parts = dealt.select("label", "embedding_id", "embedding", "own", "i", "j").groupBy("label", "i", "j").applyInPandas(_block_totals, kinds)
+    total = parts.groupBy("label", "embedding_id").agg(F.sum("total").alias("total"))
     best = total.groupBy("label").agg(F.min_by("embedding_id", F.struct(F.round("total", 9).alias("t"), "embedding_id")).alias("medoid"), F.min("total").alias("total"))
     return best.select("label", "medoid", F.round("total", 6).alias("total"))
