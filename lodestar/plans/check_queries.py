@@ -119,8 +119,8 @@ def representative_faults(d: Domain) -> DataFrame:
     and not regexp_matches(trim(part, ' '), '^[0-9a-fA-F]{8,}$') and regexp_matches(trim(part, ' '), '^[A-Za-z][A-Za-z _-]{2,30}$') as semantic from t""",
 )
 def path_terms(d: Domain) -> DataFrame:
-    """Names that tell what is inside."""
-    parts = d.raw("documents").select(F.explode(F.split(F.substring("text", 1, 300), " ")).alias("part")).distinct()
+    """Names that tell what is inside, over whole texts; the oracle SQL has their first 300 characters."""
+    parts = d.raw("documents").select(F.explode(F.split("text", " ")).alias("part")).distinct()
     generic = F.lower(F.trim("part")).isin("the", "and")
     return parts.select("part", checks.semantic_term(F.col("part"), generic, ("ing",)).alias("semantic"))
 

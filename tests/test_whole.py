@@ -28,3 +28,9 @@ def test_medoids_of_all_vectors(spark):
         want[label] = (own[best][0], round(total[best], 4))
     for found in (QUERIES["cluster_medoids"](spark, f"{DATA}/sf0.01"), assign.medoids(rows, 7)):
         assert {r.label: (r.medoid, round(r.total, 4)) for r in found.collect()} == want
+
+
+def test_path_terms_of_whole_texts(spark, tmp_path):
+    rows = [(1, "alpha " * 60 + "omega"), (2, "x" * 299 + "yz 12 ending"), (3, None), (4, "")]
+    got = {r.part: r.semantic for r in QUERIES["path_terms"](spark, written(spark, tmp_path, "documents", rows, "doc_id long, text string")).collect()}
+    assert got == {"alpha": True, "omega": True, "x" * 299 + "yz": False, "12": False, "ending": False, "": False}
