@@ -34,3 +34,11 @@ def test_path_terms_of_whole_texts(spark, tmp_path):
     rows = [(1, "alpha " * 60 + "omega"), (2, "x" * 299 + "yz 12 ending"), (3, None), (4, "")]
     got = {r.part: r.semantic for r in QUERIES["path_terms"](spark, written(spark, tmp_path, "documents", rows, "doc_id long, text string")).collect()}
     assert got == {"alpha": True, "omega": True, "x" * 299 + "yz": False, "12": False, "ending": False, "": False}
+
+
+def test_ocr_of_all_turns(spark, tmp_path):
+    rows = [(6, 0, " one "), (6, 3, "two " * 10), (6, 4, "  "), (7, 5, "late"), (1, 9, "weak"), (8, 4, " ")]
+    schema = "conv_id long, turn int, text string"
+    got = {r.image: (r.text, r.status, r.line_count) for r in QUERIES["ocr_accept"](spark, written(spark, tmp_path, "conversations", rows, schema)).collect()}
+    two = ("two " * 10).strip()
+    assert got == {6: (f"one\n{two}", "accepted", 2), 7: ("late", "accepted", 1), 1: (None, "filtered", 1), 8: (None, "empty", 0)}
