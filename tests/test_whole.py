@@ -42,3 +42,12 @@ def test_ocr_of_all_turns(spark, tmp_path):
     got = {r.image: (r.text, r.status, r.line_count) for r in QUERIES["ocr_accept"](spark, written(spark, tmp_path, "conversations", rows, schema)).collect()}
     two = ("two " * 10).strip()
     assert got == {6: (f"one\n{two}", "accepted", 2), 7: ("late", "accepted", 1), 1: (None, "filtered", 1), 8: (None, "empty", 0)}
+
+
+def test_features_and_names_of_whole_texts(spark, tmp_path):
+    rows = [(1, "same " * 100 + "b c d e f"), (2, " " * 50 + "n" * 45), (3, " " * 70 + "late")]
+    sf_dir = written(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    terms = {r.doc_id: r.terms for r in QUERIES["feature_normalize"](spark, sf_dir).collect()}
+    assert terms == {1: "same; b; c; d; e", 2: "n" * 32, 3: "late"}
+    names = {r.doc_id: r.name for r in QUERIES["name_bounds"](spark, sf_dir).collect()}
+    assert names == {1: ("same " * 100)[:40], 2: "n" * 40, 3: "late"}
