@@ -1,9 +1,9 @@
 """Near-duplicate detection with ProbMinHash signatures, banding and exact verification.
 
 A document's shingles are its runs of five words (\\w+ of the lower-cased text; a text of fewer words has one shingle),
-weighted 1 + ln(occurrences). Every shingle is a Poisson process whose rate is its weight; each arrival hits a random
-one of M registers, and a register keeps the shingle that arrives first. Two documents agree in a register with the
-probability Jaccard similarity of their weighted shingles. Arrivals are only drawn up to a horizon by which all registers
+each of weight 1 however often it occurs. Every shingle is a Poisson process whose rate is its weight; each arrival hits a
+random one of M registers, and a register keeps the shingle that arrives first. Two documents agree in a register with the
+probability Jaccard similarity of their shingles, which is with equal weights the Jaccard similarity that links go by. Arrivals are only drawn up to a horizon by which all registers
 are likely hit; documents with a register left are drawn on to twice the horizon, so that the outcome is that of the
 unbounded processes.
 
@@ -155,8 +155,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             has = np.zeros(n, bool)
             for group in _whole(batch.column(2)):
                 content, owner, g = shingle_lists([t for _, t in group], hashes)
-                owner, g, count = distinct_shingles(owner, g)
-                found = band_keys(signatures(owner, g, 1 + np.log(count), len(group)))
+                owner, g, _ = distinct_shingles(owner, g)
+                found = band_keys(signatures(owner, g, np.ones(len(g)), len(group)))
                 some = np.bincount(owner, minlength=len(group)) > 0
                 for k, ((i, _), c) in enumerate(zip(group, content, strict=True)):
                     c1[i], c2[i] = c

@@ -262,6 +262,20 @@ def test_signature_estimates_probability_jaccard():
     assert abs((registers[0] == registers[1]).mean() - exact) < 0.05
 
 
+def test_repeated_passages_are_no_other_text(spark, tmp_path):
+    """Pairs of similarity 0.8 of which one repeats a passage within a line 400 times."""
+    texts = []
+    for i in range(12):
+        p, tail = [f"p{i}x{k}" for k in range(20)], [f"t{i}x{k}" for k in range(60)]
+        for side, times in (("a", 400), ("b", 1)):
+            texts.append(" ".join(p * times + p[:4] + tail + [f"{side}{i}x{k}" for k in range(10)]))
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert len(a & b) / len(a | b) >= 0.8
+    df = probminhash.numbered(table(spark, tmp_path, list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    got = {r.doc_id: r.class_id for r in probminhash.classes(df).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(12)) and len(set(got.values())) == 12
+
+
 def test_near_dedup_edges(spark, odd_docs):
     kept = probminhash.dedup(odd_docs)
     assert kept.columns == odd_docs.columns
