@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import posixpath
 import shutil
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters that one numpy pass works on at once; bounds a Python worker's memory.
@@ -59,6 +61,16 @@ def release(spark: SparkSession) -> None:
         delete(spark, _made.pop())
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Deletes, at its end, the tables that were cut within it, but for the last, which is the result."""
+    before = len(_made)
+    yield
+    for path in _made[before:-1]:
+        delete(spark, path)
+    del _made[before:-1]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read from there: ends the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -68,6 +80,53 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Kinds of plan nodes that keep the rows of the scan below them as they are, but for rows that they drop.
+_PLAIN_NODES = ("Project", "Filter", "SubqueryAlias")
+#: Bytes of file names, and of a counted table, that are broadcast; beyond it there is another way.
+MOST_BROADCAST_BYTES = 64_000_000
+
+
+def _is_parquet_scan(docs: DataFrame) -> bool:
+    """Whether docs is one scan of Parquet files, with projections and filters at most."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in _PLAIN_NODES:
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and "_metadata" not in list(plan.schema().fieldNames())
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row long: a number of each row, ascending in the table's order, that every scan gives alike.
+
+    Over Parquet files it is the file's place among the file names times 2^40, plus the row's place in the file; splits,
+    and so the number of cores, don't matter. Any other input, and one of more file names than are broadcast, is numbered
+    once and written to the shared folder. docs must not have a column _row.
+    """
+    if _is_parquet_scan(docs):
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+        if sum(map(len, files)) + 64 * len(files) <= MOST_BROADCAST_BYTES:
+            names = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _name string")
+            rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_of"), F.col("_metadata.row_index").alias("_at"))
+            rows = rows.join(F.broadcast(names), F.col("_of") == F.col("_name"), "left")
+            place = F.coalesce("_file", F.raise_error(F.lit("the table has a new file")).cast("long"))
+            return rows.select(*docs.columns, (F.shiftleft(place, 40) + F.col("_at")).alias("_row"))
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def side(df: DataFrame, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """df, a written table, with a hint to broadcast it if it has `most` bytes at most; a larger one meets others by a shuffle."""
+
+    def size(field: T.StructField):
+        if isinstance(field.dataType, T.ArrayType):
+            return F.coalesce(F.size(field.name), F.lit(0)) * (24 if isinstance(field.dataType.elementType, T.StructType) else 8) + 24
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16 if isinstance(field.dataType, T.StringType) else F.lit(8)
+
+    # Twice the bytes of a row: hash tables keep pointers and free places.
+    total = sum((size(f) for f in df.schema.fields), F.lit(16)) * 2
+    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= most else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder that cut() or a writer made and nothing reads any more."""
     jvm = spark.sparkContext._jvm

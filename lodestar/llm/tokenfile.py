@@ -18,6 +18,7 @@ are little-endian. The last block is filled up with its shard's last id.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, load, new_path, read, store
+from .common import cut, load, new_path, numbered, read, store
 
 MAGIC = b"LSPFOR1\n"
 BLOCK = 1024
 PERCENTILE = 95
 #: Ids after which a shard is closed: bounds a worker's memory, as a longer document only exceeds it alone.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 500_000
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -109,9 +110,11 @@ def decode_blocks(payload: bytes, starts: np.ndarray, n: int, block: int = BLOCK
     return out.reshape(-1)[: n - first * block].astype(np.uint32)
 
 
-def encode_shard(doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
-    starts = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("<u8")
-    payload, blocks = encode_blocks(np.frombuffer(b"".join(ids), "<u4"), block, percentile)
+def encode_shard(doc_ids: list[int | None], ids: list, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
+    """A shard file's bytes; `ids` has each document's, as an array or as bytes."""
+    own = [np.frombuffer(x, "<u4") for x in ids]
+    starts = np.cumsum([0, *map(len, own)]).astype("<u8")
+    payload, blocks = encode_blocks(np.concatenate(own) if own else np.zeros(0, np.uint32), block, percentile)
     return b"".join(
         (
             MAGIC,
@@ -151,18 +154,68 @@ class Shard:
         return decode_blocks(self.payload, self.blocks, self.n, self.block)
 
 
+def _key(doc_id: int | None, row: int) -> tuple:
+    """The place of a row in the files: a null doc_id first, then by doc_id, then in the table's order."""
+    return doc_id is not None, doc_id or 0, row
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """Keys that part rows(doc_id, _row) into `parts` parts of about as many rows; some 40 rows a part are fetched."""
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("_row"), F.lit(1_000_000)) <= 1_000_000 * min(1.0, 40 * parts / max(1, n)))
+    keys = sorted(_key(r["doc_id"], r["_row"]) for r in some.select("doc_id", "_row").collect())
+    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+
+
+def encoded(rows: DataFrame, bounds: list[tuple], tokenizer: str = tokens.TOKENIZER) -> DataFrame:
+    """(doc_id, _row, part, wide, ids) of rows(doc_id, _row, text): the ids of each text and the end id, part by `bounds`.
+
+    Ids are unsigned 16-bit integers where all of a text are below 65,536, else `wide` 32-bit ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.encoder(tokenizer)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "_row", "part", "wide", "ids"])
+
+        for batch in batches:
+            rows, n = [], 0
+            found = encoder.documents(t.as_py() for t in batch.column(2))
+            for doc, row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found, strict=True):
+                ids = np.frombuffer(own, np.uint32)
+                wide = bool(ids.max() >= 1 << 16)
+                part = bisect.bisect_right(bounds, _key(doc, row))
+                rows.append((doc, row, part, wide, own if wide else ids.astype("<u2").tobytes()))
+                n += len(ids)
+                if n >= 4_000_000:
+                    yield batch_of(rows)
+                    rows, n = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return rows.select("doc_id", "_row", "text").mapInArrow(run, "doc_id long, _row long, part int, wide boolean, ids binary")
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str = tokens.TOKENIZER, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the token ids of docs(doc_id, text) to shard files in `folder`; returns the manifest.
 
     Manifest: part int, shard int, file string, n_docs long, n_tokens long, start long (ids of all documents before the
-    shard's first). Documents go in ascending doc_id order, a null id first; documents of one id go by a hash of their
-    text. A null or empty text is the end id alone. `folder` is a URI that every executor can write to.
+    shard's first). Documents go in ascending doc_id order, a null id first; rows of one id, repeated ones too, go in the
+    table's order and are dealt over tasks by it. A null or empty text is the end id alone, a long one is encoded whole;
+    an empty table writes no file; columns by other names are not looked at. `folder` is a URI that every executor can
+    write to. Texts are encoded once, where they are read, and only their ids are sorted, so the parts' bounds are found
+    beforehand, from the ids of documents alone.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    rows = encoded(rows, _bounds(rows, parts), tokenizer)
+    rows = rows.repartitionById(parts, F.col("part")).drop("part").sortWithinPartitions("doc_id", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         doc_ids, ids, n, shard = [], [], 0, 0
 
         def close():
@@ -173,11 +226,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str = tokens.TOKENIZER, shard
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            found = encoder.documents(t.as_py() for t in batch.column(1))
-            for doc, own in zip(batch.column(0).to_pylist(), found, strict=True):
+            for doc, wide, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = np.frombuffer(raw.as_py(), "<u4" if wide else "<u2")
                 doc_ids.append(doc)
-                ids.append(own)
-                n += len(own) // 4
+                ids.append(own if wide else own.astype("<u4"))
+                n += len(own)
                 if n >= shard_ids:
                     yield close()
                     doc_ids, ids, n, shard = [], [], 0, shard + 1

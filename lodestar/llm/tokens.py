@@ -1,19 +1,25 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of words.
-
-The tokenizer drops white space and never joins what white space separates, so the ids of a text are those of its
-blank-separated words one after another. Each distinct word is encoded by the library once in a worker; texts are then
-put together from cached ids. The tests hold this against encoding whole texts.
+"""Token ids of whole texts by the tokenizers library, with a cache of token groups.
+
+The tokenizer drops white space and never joins what white space separates: it cuts a text into groups (a run of letters,
+one digit, a run of other characters, an English contraction) and encodes each by its model alone. Texts of Latin-1
+characters, whose normal form and lower case are plain in any library, are cut into groups here, by array operations over
+bytes; each distinct group is encoded by the library's model once in a worker, and texts are put together from cached ids.
+In all other texts blank-separated words take the place of groups, and the whole library encodes each. The tests hold
+both against encoding whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from .common import Memo
@@ -22,8 +28,9 @@ from .common import Memo
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 _END = array("I", [END_ID]).tobytes()
-#: Letters whose lower case and normal form are plain in any library.
-_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Texts with another character, or with what may be a special token, are left to the library.
+_OTHER = re.compile("[^\t-\r -~¡-ÿ]|<\\|")
+_BLANK = re.compile("[ \t-\r]")
 
 
 def _byte_letters() -> list[str]:
@@ -34,76 +41,144 @@ def _byte_letters() -> list[str]:
 
 
 _BYTES = _byte_letters()
-#: A comma or full stop right after a letter and before a blank is a token group of its own; apart, its word is cached once.
-_STOP = re.compile("(?<=[A-Za-z])([,.])(?= )")
-#: Words longer than this are not cached.
+_LOWER = bytes(ord(chr(b).lower()) if len(chr(b).lower()) == 1 and ord(chr(b).lower()) < 256 else b for b in range(256))
+#: Kinds of characters: white space, letter, digit, other.
+SPACE, LETTER, DIGIT, SIGN = range(4)
+_KIND = np.array(
+    [SPACE if chr(b).isspace() else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(b))[0], SIGN) for b in range(256)], np.uint8
+)
+#: Words and groups longer than this are not cached.
 LONG_WORD = 64
 
 
+def _contractions(c: np.ndarray, kind: np.ndarray, start: np.ndarray) -> None:
+    """Moves the starts of groups behind 's 't 'm 'd 're 've 'll, which are groups of their own after a single quote."""
+    padded = np.append(c, np.zeros(3, np.uint8))
+    quote = np.flatnonzero(start & (c == ord("'")))
+    one, two = padded[quote + 1], padded[quote + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for at, size in ((quote[short], 2), (quote[long], 3)):
+        start[at + 1] = False
+        after = at + size
+        after = after[after < len(c)]
+        start[after[kind[after] == LETTER]] = True
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids; caches have `cache` entries in each of two generations."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Memo(size=cache)
-        self.cache[""] = b""
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
+        self.words = Memo(size=cache)
+        self.groups = Memo(size=cache)
+
+    def _group(self, group: bytes) -> bytes:
+        """The ids of one group of lower-case Latin-1 bytes."""
+        mapped = group.decode() if group.isascii() else "".join([_BYTES[b] for b in group.decode("latin-1").encode()])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _latin(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text of Latin-1 characters."""
+        raw = "\n".join(texts).encode("latin-1").translate(_LOWER)
+        c = np.frombuffer(raw, np.uint8)
+        kind = _KIND[c]
+        start = kind != SPACE
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        _contractions(c, kind, start)
+        solid = kind != SPACE
+        offsets = np.append(np.flatnonzero(start[solid]), np.count_nonzero(solid)).astype(np.int32)
+        groups = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(c[solid])])
+        coded = groups.dictionary_encode()
+        known, found = self.groups, []
+        for g in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
+            ids = known.get(g)
+            if ids is None:
+                ids = known.old.get(g) or self._group(g)
+                if len(g) <= LONG_WORD:
+                    known.put(g, ids)
+            found.append(ids)
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        size = np.array([len(ids) >> 2 for ids in found], np.int64)
+        begin = np.cumsum(size) - size
+        of = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[of]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat(begin[of] - (ends - each), each) + np.arange(int(each.sum()))]
+        # Where each text begins, in characters, in groups and in ids.
+        chars = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        first = np.searchsorted(np.flatnonzero(start), chars)
+        return np.split(ids, np.append(0, ends)[first][1:]) if texts else []
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words that the cache lacks, which it then has too, but for very long ones."""
-        found: dict[str, bytes] = {}
-        rest = []
-        model = self.tokenizer.model
-        for w in self.cache.unknown(words):
-            if len(w) <= LONG_WORD and _PLAIN.fullmatch(w):
-                # Such a word is one token group whatever its case: the library's model alone remains to be applied.
-                mapped = "".join([_BYTES[b] for b in w.lower().encode()])
-                found[w] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            found[w] = array("I", e.ids).tobytes()
+        unknown = self.words.unknown(words)
+        encoded = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False) if unknown else ()
+        found = {w: array("I", e.ids).tobytes() for w, e in zip(unknown, encoded, strict=True)}
         for w, ids in found.items():
             if len(w) <= LONG_WORD:
-                self.cache.put(w, ids)
+                self.words.put(w, ids)
         return found
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text; none for null and empty ones. New words are encoded for all texts together."""
-        split = [_STOP.sub(r" \1", t.replace("\n", " ")).split(" ") if t else [] for t in texts]
-        new = self.learn(set(chain.from_iterable(split)))
-        if not new:
-            get = self.cache.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-        # The cache may have turned over while it learned; the new words are at hand in any case.
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([new[w] if w in new else self.again(w) for w in words]))
+    def _any(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, whatever its characters."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = self._learn(set(chain.from_iterable(split)))
+
+        def get(word: str) -> bytes:
+            # The cache may have turned over while it learned; the new words are at hand in any case.
+            ids = self.words.get(word) or self.words.old.get(word) or new.get(word)
+            return self._learn({word}).get(word, b"") if ids is None else ids
+
+        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text as uint32; none for null and empty ones."""
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        latin, rest = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (rest if _OTHER.search(t) else latin).append(i)
+        for rows, encode in ((latin, self._latin), (rest, self._any)):
+            if rows:
+                for i, ids in zip(rows, encode([texts[i] for i in rows]), strict=True):
+                    out[i] = ids
         return out
 
-    def again(self, word: str) -> bytes:
-        try:
-            return self.cache[word]
-        except KeyError:
-            return self.learn({word})[word]
-
-    def encode(self, text: str | None) -> bytes:
+    def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def documents(self, texts: Iterable[str | None], most: int = 2_000_000) -> Iterator[bytes]:
-        """The ids of each text and the end id; texts go in groups of about `most` characters, which bounds memory."""
+    def documents(self, texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[bytes]:
+        """The ids of each text and the end id.
+
+        Texts go in groups of about `most` characters. A longer text is cut after white space, which no group of
+        characters goes across, so that memory is bounded by its ids alone.
+        """
         group: list[str | None] = []
         n = 0
         for text in texts:
+            if text and len(text) > most:
+                yield from (ids.tobytes() + _END for ids in self.encode_all(group))
+                group, n = [], 0
+                yield b"".join([*(self.encode(part).tobytes() for part in _parts(text, most)), _END])
+                continue
             group.append(text)
             n += len(text or "")
             if n >= most:
-                yield from (ids + _END for ids in self.encode_all(group))
+                yield from (ids.tobytes() + _END for ids in self.encode_all(group))
                 group, n = [], 0
-        yield from (ids + _END for ids in self.encode_all(group))
+        yield from (ids.tobytes() + _END for ids in self.encode_all(group))
+
+
+def _parts(text: str, most: int) -> Iterator[str]:
+    """Parts of about `most` characters that end with white space, but for the last."""
+    at = 0
+    while at < len(text):
+        m = _BLANK.search(text, at + most)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[str, Encoder] = {}
