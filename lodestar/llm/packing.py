@@ -107,8 +107,6 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> Da
     """
     rows = cut(pieces_, "pieces")
     tasks = max(1, -(-rows.count() // share))
-    if tasks == 1:
-        return _round(rows, 1, capacity, 0).drop("fill")
     first = cut(_round(rows, tasks, capacity, 0), "packed")
     full = F.col("fill") >= int(REOPEN_BELOW * capacity)
     loose = first.where(~full).drop("sequence_id", "offset", "fill")
