@@ -3,40 +3,41 @@
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. A test item of n words or more has one
 window for each n consecutive words; a shorter one, but not an empty one, is a window as a whole.
 
-One scan finds the hits. A document is looked at closely only if a shorter gram at every `stride`-th word is a gram of a
-test item: a window of L words that occurs anywhere covers a whole gram of g words that begins at a multiple of
-L - g + 1, so no occurrence escapes. Only then are all its windows hashed and compared; equal hashes are then
-verified by joining the window's words with the windows of the test items.
+1. One scan of the texts meets the hash set: a document is a candidate if a shorter gram at every `stride`-th word is a
+   gram of a test window. A window of L words that occurs anywhere covers a whole gram of g words that begins at a multiple
+   of L - g + 1, so no occurrence escapes. Only numbers and hashes leave the scan.
+2. Candidates are read again; all their windows meet the test windows, words and all, so that a hit is verified.
+3. Overlapping hits become runs of hit words, by a window function over a document's hits. Test windows of the same items
+   are listed once, so a passage that many items share brings one list and no product of hits and items.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, numbered, read, side
 
 #: Fixed by the contract: the characters of a word, once A-Z are lower-cased; WORD_ANY_CASE has A-Z too.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-#: Most hashes that a plan carries as a hash set; a larger benchmark is matched by joins.
-MOST_IN_PLAN = 200_000
-#: Contaminated documents up to which their spans are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Most grams, 8 bytes each, that are broadcast as a hash set; more meet the texts' grams by a shuffle of hashes alone.
+MOST_IN_PLAN = 2_000_000
 
 
-def lower_az(text: Column) -> Column:
-    """text with A-Z, and no other letters, lower-cased."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    one_by_one = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(x.lower())), upper, text)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), one_by_one).otherwise(F.lower(text))
+def words(text: Column) -> Column:
+    """The words of a text. Only ASCII texts and words are lower-cased as a whole, as other letters keep their case."""
 
+    def plain(c: Column) -> Column:
+        return F.octet_length(c) == F.length(c)
 
-def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lower_az(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    lowered = F.transform(
+        F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), F.lit(0)), lambda w: F.when(plain(w), F.lower(w)).otherwise(F.translate(w, _UPPER, _LOWER))
+    )
+    found = F.when(plain(text), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).otherwise(lowered)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def windows(bench: DataFrame, n: int = 10) -> DataFrame:
@@ -54,69 +55,86 @@ def _gram(size: int) -> tuple[int, int]:
     return g, size - g + 1
 
 
-def _sequence(g: int, stride: int) -> str:
-    return f"if(n_words >= {g}, sequence(1, n_words - {g - 1}, {stride}), array())"
+def _grams(of: str, n: str, g: int, stride: int) -> str:
+    """SQL: the hashes of the grams of the word array `of`, of n words, at every stride-th word."""
+    return f"if({n} >= {g}, transform(sequence(1, {n} - {g - 1}, {stride}), i -> xxhash64(slice({of}, i, {g}))), array())"
 
 
-def _listed(hashes: list[int]) -> str:
-    return ", ".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in sorted(hashes))
+def scan(rows: DataFrame, ws: DataFrame, sizes: list[int], most_in_plan: int = MOST_IN_PLAN) -> DataFrame:
+    """(_row, _keep, n_words, gram) of rows(_row, _keep, text), written once.
+
+    Each row of rows comes once with a null gram, and once more for every gram of it that a window of ws has.
+    """
+    split = ws.select("size", F.split("window", " ").alias("w"))
+    grams = [split.where(F.col("size") == size).select(F.explode(F.expr(_grams("w", str(size), _gram(size)[0], 1))).alias("gram")) for size in sizes]
+    base = rows.select("_row", "_keep", words(F.col("text")).alias("_w"))
+    base = base.withColumn("n_words", F.size("_w").cast("long"))
+    own = ", ".join(["array(cast(null as bigint))", *(_grams("_w", "size(_w)", *_gram(size)) for size in sizes)])
+    base = base.select("_row", "_keep", "n_words", F.explode(F.expr(f"concat({own})")).alias("gram"))
+    if not grams:
+        return cut(base, "scanned")
+    listed = grams[0]
+    for more in grams[1:]:
+        listed = listed.union(more)
+    listed = cut(listed.select(F.col("gram").alias("_listed")).distinct(), "grams")
+    listed = F.broadcast(listed) if listed.count() <= most_in_plan else listed
+    met = base.join(listed, F.col("gram") == F.col("_listed"), "left")
+    return cut(met.where("gram is null or _listed is not null").drop("_listed"), "scanned")
+
+
+def located(rows: DataFrame, scanned: DataFrame, ws: DataFrame, sizes: list[int]) -> DataFrame:
+    """(_row, spans, items) of the rows(_row, text) that hold a window of ws: runs of hit words, and the sorted item ids."""
+    near = cut(scanned.where("gram is not null").select("_row").distinct(), "candidates")
+    asked = rows.select("_row", "text").join(side(near), "_row", "left_semi").select("_row", words(F.col("text")).alias("_w"))
+    every = ["cast(array() as array<struct<pos: int, size: int, window: string>>)"]
+    every += [
+        f"if(size(_w) >= {k}, transform(sequence(1, size(_w) - {k - 1}), i -> struct(i as pos, {k} as size, array_join(slice(_w, i, {k}), ' ') as window)), array())"
+        for k in sizes
+    ]
+    found = asked.select("_row", F.explode(F.expr(f"concat({', '.join(every)})")).alias("_at")).select("_row", "_at.*")
+    # Windows of the same items go by one number; the items themselves are listed apart.
+    same = ws.groupBy("items").agg(F.min(F.struct("size", "window")).alias("set"))
+    known = cut(ws.join(same, "items").select("size", "window", "set"), "windows")
+    lists = cut(same, "item_sets")
+    found = cut(found.join(side(known), ["size", "window"]).select("_row", "pos", "size", "set"), "hits")
+
+    order = Window.partitionBy("_row").orderBy("pos", "size")
+    before = F.max(F.col("pos") + F.col("size") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.select("_row", "pos", "size", (F.coalesce(before, F.lit(-1)) < F.col("pos") - 1).cast("int").alias("_new"))
+    runs = runs.withColumn("_run", F.sum("_new").over(order))
+    runs = runs.groupBy("_row", "_run").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("size")).alias("end"))
+    spans = runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("end") - F.col("pos")).alias("size")))).alias("spans"))
+    items = found.select("_row", "set").distinct().join(side(lists), "set")
+    items = items.select("_row", F.explode("items").alias("item")).distinct()
+    items = items.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return cut(spans.join(items, "_row", "left"), "located")
 
 
 def hits(docs: DataFrame, bench: DataFrame, n: int = 10, most_in_plan: int = MOST_IN_PLAN) -> DataFrame:
     """One row per row of docs(text, ...): its other columns, n_words, spans array<struct<pos, size>>, items array.
 
-    `spans` has the verified occurrences of windows (pos is the word's number from 1), `items` the sorted ids of the
-    items that they are of. Null and wordless texts have no words; a null item id is matched but not listed. Repeated
-    rows of docs keep a row each; without test items nothing is hit. Columns of docs named n_words, spans or items are
-    replaced; columns by any other name, of any type, are returned as they are.
+    `spans` has the runs of words in verified occurrences of windows (pos is the first word's number from 1), `items` the
+    sorted ids of the items that they are of. Null and wordless texts have no words; long texts are matched whole; a null
+    item id is matched but not listed. Repeated rows of docs keep a row each; without test items nothing is hit, and an
+    empty table gives an empty one. Columns of docs named n_words, spans or items are replaced; columns by any other name,
+    of any type, are returned as they are.
     """
-    ws = windows(bench, n)
+    ws = cut(windows(bench, n), "test_windows")
+    sizes = sorted(r["size"] for r in ws.select("size").distinct().collect())
     keep = [c for c in docs.columns if c not in ("text", "n_words", "spans", "items")]
     kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_none"))
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), kept.alias("_keep"), words(F.col("text")).alias("_w"))
-    base = base.withColumn("n_words", F.size("_w").cast("long"))
-    grams: dict[int, list[int]] = {}
-    full: dict[int, list[int]] = {}
-    sizes = {r["size"]: r["n"] for r in ws.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if in_plan := sum(sizes.values()) <= most_in_plan:
-        split = ws.select("size", F.split("window", " ").alias("w"))
-        for size in sizes:
-            g, _ = _gram(size)
-            own = split.where(F.col("size") == size)
-            h = own.select(F.explode(F.expr(f"transform(sequence(1, {size - g + 1}), i -> xxhash64(slice(w, i, {g})))")).alias("h"))
-            grams[size] = [r["h"] for r in h.distinct().collect()]
-            full[size] = [r["h"] for r in own.select(F.xxhash64("w").alias("h")).distinct().collect()]
-    found = []
-    for size in sorted(sizes):
-        g, stride = _gram(size)
-        at = f"sequence(1, n_words - {size - 1})"
-        span = f"struct(cast(i as int) as pos, {size} as size, array_join(slice(_w, i, {size}), ' ') as window)"
-        if in_plan:
-            near = f"exists({_sequence(g, stride)}, i -> xxhash64(slice(_w, i, {g})) in ({_listed(grams[size])}))"
-            at = f"filter({at}, i -> xxhash64(slice(_w, i, {size})) in ({_listed(full[size])}))"
-            found.append(f"if(n_words >= {size} and {near}, transform({at}, i -> {span}), array())")
-        else:
-            found.append(f"if(n_words >= {size}, transform({at}, i -> {span}), array())")
-    none = "cast(array() as array<struct<pos: int, size: int, window: string>>)"
-    base = base.withColumn("_hits", F.expr(f"concat({', '.join([none, *found])})")).drop("_w")
-    rows = base.select("_row", "_keep", "n_words", F.explode_outer("_hits").alias("_hit"))
-    rows = rows.select("_row", "_keep", "n_words", "_hit.pos", F.col("_hit.size").alias("_size"), F.col("_hit.window").alias("_window"))
-    side = ws.select(F.col("size").alias("_size"), F.col("window").alias("_window"), "items")
-    side = F.broadcast(side) if in_plan else side
-    met = rows.join(side, ["_size", "_window"], "left")
-    spans = F.collect_list(F.when(F.col("items").isNotNull(), F.struct("pos", F.col("_size").alias("size"))))
-    met = met.groupBy("_row").agg(
-        F.any_value("_keep").alias("_keep"),
-        F.any_value("n_words").alias("n_words"),
-        spans.alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return met.select(*(f"_keep.{c}" for c in keep), "n_words", "spans", "items")
+    rows = numbered(docs.select(kept.alias("_keep"), "text"))
+    scanned = scan(rows, ws, sizes, most_in_plan)
+    found = located(rows, scanned, ws, sizes)
+    out = scanned.where("gram is null").join(side(found), "_row", "left")
+    nothing = "cast(array() as array<struct<pos: int, size: int>>)"
+    none = F.array().cast(found.schema["items"].dataType)
+    return out.select(*(f"_keep.{c}" for c in keep), "n_words", F.coalesce("spans", F.expr(nothing)).alias("spans"), F.coalesce("items", none).alias("items"))
 
 
-def covered(spans: Column) -> Column:
-    """The distinct numbers of the words that the spans cover."""
-    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1))))
+def n_hit(spans: Column) -> Column:
+    """The number of words in the spans."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["size"])
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str = "spans") -> DataFrame:
@@ -124,21 +142,25 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str =
 
     remove='documents' drops every document with a hit. remove='spans' cuts the hit words, each with the characters up
     to the next word, out of the text and keeps every document. Documents without a hit are returned as they are. `text`
-    is required; columns by any name are returned, as they travel in a struct. Null texts stay null. docs must be a table
-    read from files, so that its row numbers are the same in every scan.
+    is required; columns by any name are returned, as they travel in a struct. Null texts stay null; repeated rows are
+    treated alike; an empty table gives an empty one.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text", F.monotonically_increasing_id().alias("_row"))
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("_doc"), "text"))
+    ws = cut(windows(bench, n), "test_windows")
+    sizes = sorted(r["size"] for r in ws.select("size").distinct().collect())
     # Only what is hit is gathered, then met with its rows by number: clean texts are not shuffled.
-    found = hits(rows.select(F.col("_row").alias("at"), "text"), bench, n).where(F.size("spans") > 0).select(F.col("at").alias("_row"), "spans")
-    found = cut(found, "contaminated")
-    many = found.count()
-    side = F.broadcast(found) if many <= MOST_BROADCAST else found
+    slim = rows.select("_row", F.struct(F.lit(0).alias("_none")).alias("_keep"), "text")
+    found = side(located(slim, scan(slim, ws, sizes), ws, sizes).select("_row", "spans"))
     if remove == "documents":
-        return rows.select("_row", "_doc").join(side.select("_row"), "_row", "left_anti").select("_doc.*")
-    out = rows.select("_row", "_doc").join(side.withColumn("_cover", covered(F.col("spans"))), "_row", "left")
+        return rows.select("_row", "_doc").join(found.select("_row"), "_row", "left_anti").select("_doc.*")
+    out = rows.select("_row", "_doc").join(found, "_row", "left")
     pieces = F.regexp_extract_all("_doc.text", F.lit(f"{WORD_ANY_CASE}{BREAK}"), F.lit(0))
+    out = out.withColumn("_pieces", F.when(F.col("spans").isNotNull(), pieces))
     lead = F.regexp_extract("_doc.text", f"^{BREAK}", 0)
-    kept = F.filter(pieces, lambda _, i: ~F.array_contains("_cover", i + 1))
+    # What lies between one span and the next, before the first and behind the last.
+    begin = "if(k = 0, 1, spans[k - 1].pos + spans[k - 1].size)"
+    end = "if(k = size(spans), size(_pieces) + 1, spans[k].pos)"
+    kept = F.expr(f"flatten(transform(sequence(0, size(spans)), k -> slice(_pieces, {begin}, {end} - {begin})))")
     text = F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(F.concat(lead, F.array_join(kept, "")))
     return out.select(F.col("_doc").withField("text", text).alias("_doc")).select("_doc.*")
 
@@ -146,15 +168,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, remove: str =
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = hits(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
-    n_hit = F.size(covered(F.col("spans"))).cast("long")
+    hit = n_hit(F.col("spans"))
     listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
+        (hit > 0).alias("contaminated"),
     )
 
 
