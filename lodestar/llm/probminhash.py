@@ -3,17 +3,20 @@
 A document's shingles are its runs of five words (\\w+ of the lower-cased text; a text of fewer words has one shingle),
 each of weight 1 however often it occurs. Every shingle is a Poisson process whose rate is its weight; each arrival hits a
 random one of M registers, and a register keeps the shingle that arrives first. Two documents agree in a register with the
-probability Jaccard similarity of their shingles, which is with equal weights the Jaccard similarity that links go by. Arrivals are only drawn up to a horizon by which all registers
-are likely hit; documents with a register left are drawn on to twice the horizon, so that the outcome is that of the
-unbounded processes.
+probability Jaccard similarity of their shingles, which is with equal weights the Jaccard similarity that links go by.
+Arrivals are only drawn up to a horizon by which all registers are likely hit; documents with a register left are drawn on
+to twice the horizon, so that the outcome is that of the unbounded processes.
 
 BANDS bands of ROWS registers give candidate pairs; a pair of similarity 0.8 is missed with a chance of 5e-5. A link is a
 candidate pair whose exact Jaccard similarity of distinct shingles is at least 0.8. A class is a connected component of
 links, found without listing a bucket's pairs:
 
 1. Copies with equal words are one text. Each bucket's texts are compared with its first text (a star); components follow.
-2. A bucket whose other texts lie in several components may hide links between those. It is compared within tasks of at
-   most two blocks of BLOCK texts, only over texts of different components, and gives at most a spanning forest.
+   A center meets its texts in as many shares as keep a share at SALT texts.
+2. A bucket whose other texts lie in several components may hide links between those. Its texts are dealt into blocks of
+   about BLOCK: a component of more texts has blocks of its own, smaller ones share blocks. Every two blocks are compared
+   in a task, but for two of one component; a task gives at most a spanning forest. So a component of many copies meets
+   the few texts outside it once for each block of those, and is never compared with itself.
 
 So every candidate pair is either compared or known to be connected.
 """
@@ -29,18 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, mix, read, word_hash
+from .common import Memo, cut, mix, numbered, read, side, word_hash
 from .components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
-BLOCK = 500
-#: Word hashes that a task keeps, in each of two generations.
-CACHED_WORDS = 150_000
-#: Texts up to which a list of them is broadcast; a longer one is joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+BLOCK, SALT = 500, 1000
+#: Word hashes that a task keeps, in each of two generations, and characters of the texts that it looks at together.
+CACHED_WORDS, GROUP_CHARS = 100_000, 300_000
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +127,7 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
-def _whole(texts: pa.Array, most: int = 1_500_000):
+def _whole(texts: pa.Array, most: int = GROUP_CHARS):
     """Groups of (row number, text) of about `most` characters; texts are never cut, null and empty ones left out."""
     group: list[tuple[int, str]] = []
     n = 0
@@ -228,16 +229,41 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+def _blocks(of: DataFrame, block: int) -> DataFrame:
+    """(key, uid, comp, own): the block of each text of the mixed buckets of(key, uid, n, comp).
+
+    `own` is a struct of the component, or null for a block that small components share, and a number.
+    """
+    large = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.any_value("n").alias("n")).where(F.col("size") > block)
+    large = cut(large, "large_components")
+    placed = of.join(side(large.select("key", "comp", "size")), ["key", "comp"], "left")
+    # A component's texts are dealt over its blocks, small components as a whole over the shared ones.
+    number = F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / F.lit(block)))).otherwise(
+        F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / F.lit(block)))
+    )
+    own = F.struct(F.when(F.col("size").isNotNull(), F.col("comp")).alias("comp"), number.alias("number"))
+    return placed.select("key", "uid", "comp", own.alias("own"))
+
+
+def hidden_links(of: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """(a, b): links between components, of the texts of mixed buckets of(key, uid, n, comp)."""
+    placed = cut(_blocks(of, block), "blocks")
+    blocks = placed.groupBy("key", "own").agg(F.count(F.lit(1)).alias("size"))
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.key = y.key and (x.own < y.own or x.own = y.own)"))
+    # Two blocks of one component, and one block with itself if it has but that, hold nothing to compare.
+    pairs = pairs.where(F.expr("x.own.comp is null or not (x.own.comp <=> y.own.comp)"))
+    pairs = pairs.select(F.col("x.key").alias("key"), F.col("x.own").alias("i"), F.col("y.own").alias("j"))
+    pairs = pairs.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))
+    asked = placed.join(pairs, ["key", "own"]).select("key", "i", "j", "uid", "comp")
+    return asked.join(sets, "uid").groupBy("key", "i", "j").applyInPandas(_compare, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, _row, class_row, class_id) of docs(doc_id, _row, text), one row per row.
 
     class_row and class_id are _row and doc_id of the class's first row in the order of _row. Null and empty texts are
-    classes of their own. Texts without a word are copies of equal texts only. Repeated rows share a class. _row must be
-    the same in every scan, as for a table read from files.
+    classes of their own. Texts without a word are copies of equal texts only. Repeated rows share a class; long texts are
+    compared whole; an empty table gives an empty one. _row must be the same in every scan, as numbered() gives it.
     """
     prints = cut(fingerprints(docs), "prints")
     texts = prints.where("c1 is not null").groupBy("c1", "c2").agg(F.min("_row").alias("uid"), F.any_value("bands").alias("bands"))
@@ -250,31 +276,27 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     bucket = bucket.where("n > 1").groupBy("n", "center", "top", "mark").agg(F.min("key").alias("key")).select("key", "n", "center")
     bucket = cut(bucket, "buckets")
-    member = cut(member.join(_side(bucket, bucket.count()), "key"), "members")
+    member = cut(member.join(side(bucket), "key"), "members")
 
-    wanted = member.select("uid").distinct()
-    wanted = cut(wanted, "wanted")
-    chosen = docs.select("_row", "text").join(_side(wanted.withColumnRenamed("uid", "_row"), wanted.count()), "_row", "left_semi")
+    wanted = cut(member.select("uid").distinct(), "wanted")
+    chosen = docs.select("_row", "text").join(side(wanted.withColumnRenamed("uid", "_row")), "_row", "left_semi")
     sets = cut(shingle_sets(chosen), "shingles")
 
-    pair = member.where("uid <> center").select("center", "uid").distinct()
-    pair = pair.join(sets, "uid").join(sets.select(F.col("uid").alias("center"), F.col("shingles").alias("other")), "center")
+    pair = member.where("uid <> center").groupBy("center", "uid").agg(F.max("n").alias("n"))
+    pair = pair.withColumn("salts", F.expr(f"cast(1 as bigint) << cast(ceil(log2(ceil(n / {SALT}))) as int)"))
+    heads = pair.select("center", "salts").distinct().join(sets.select(F.col("uid").alias("center"), F.col("shingles").alias("other")), "center")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    pair = pair.withColumn("salt", F.pmod(F.xxhash64("uid"), "salts")).join(sets, "uid").join(heads, ["center", "salts", "salt"])
     common = F.size(F.array_intersect("shingles", "other"))
     union = F.size("shingles") + F.size("other") - common
     star = cut(pair.where(common >= SIMILARITY * union).select(F.col("uid").alias("a"), F.col("center").alias("b")), "star_links")
     first = cut(components(star), "first_components")
 
-    of = member.join(_side(first.withColumnRenamed("node", "uid"), first.count()), "uid", "left")
+    of = member.join(side(first.withColumnRenamed("node", "uid")), "uid", "left")
     of = cut(of.select("key", "uid", "n", "center", F.coalesce("root", "uid").alias("comp")), "placed")
     rest = of.where("uid <> center").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rest = cut(rest, "mixed")
-    mixed = of.join(_side(rest, rest.count()), "key", "left_semi")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    mixed = mixed.withColumn("own", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    mixed = mixed.select("key", "uid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = mixed.join(sets, "uid").groupBy("key", "i", "j").applyInPandas(_compare, "a long, b long")
-    more = cut(found.distinct(), "more_links")
+    more = cut(hidden_links(of.join(side(rest), "key", "left_semi"), sets, block), "more_links")
 
     final = components(star.unionByName(more)).withColumnRenamed("node", "uid").withColumnRenamed("root", "class_row")
     known = prints.join(texts.select("c1", "c2", "uid"), ["c1", "c2"], "left").join(final, "uid", "left")
@@ -283,11 +305,6 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return known.join(head, "class_row").select("doc_id", "_row", "class_row", "class_id")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, which follows the table's order."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """docs, with the columns it has, less all but the first row of each class.
 
@@ -295,8 +312,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     returned as they are. An empty table gives an empty table.
     """
     rows = numbered(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
-    kept = classes(rows.select("doc_id", "_row", "text")).where("_row = class_row").select("_row")
-    return rows.join(kept, "_row", "left_semi").select("_doc.*")
+    kept = cut(classes(rows.select("doc_id", "_row", "text")).where("_row = class_row").select("_row"), "kept")
+    return rows.join(side(kept), "_row", "left_semi").select("_doc.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
