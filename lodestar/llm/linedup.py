@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, mix, read, word_hash
+from .common import Memo, cut, mix, numbered, read, side, word_hash
 
 MIN_WORDS = 4
 NEAR_WORDS = 10
@@ -33,12 +33,6 @@ EVERY_LINE = {"min_words": 1, "near_words": 4}
 #: An odd base of polynomial hashes and its inverse modulo 2^64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: Rows up to which a table of hashes or line numbers is broadcast; a larger one is joined by a shuffle.
-MOST_BROADCAST = 1_000_000
-
-
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
 def _words(line: Column) -> Column:
@@ -123,19 +117,18 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     distinct = every.groupBy("h", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.max("halves").alias("halves"))
     distinct = cut(distinct, "distinct_lines")
 
-    repeated = distinct.where("n > 1").select("h", "h2", "first")
-    repeated = _side(repeated, repeated.count())
+    repeated = side(distinct.where("n > 1").select("h", "h2", "first"))
     again = every.select("at", "h", "h2").join(repeated, ["h", "h2"]).where("at > first").select("at._row", "at.line")
 
     halves = distinct.select("h", "h2", F.explode("halves").alias("half"))
     shared = cut(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
-    partnered = halves.join(_side(shared, shared.count()), "half", "left_semi").select("h", "h2").distinct()
+    partnered = halves.join(side(shared), "half", "left_semi").select("h", "h2").distinct()
     partnered = cut(partnered.join(distinct.select("h", "h2", "first"), ["h", "h2"]), "partnered")
 
     # The words of those lines, read again from their first occurrences; other lines and documents are not split.
     first = partnered.groupBy(F.col("first._row").alias("_row")).agg(F.sort_array(F.collect_set("first.line")).alias("wanted"))
     first = cut(first, "wanted")
-    words = docs.select("doc_id", "_row", "text").join(_side(first, first.count()), "_row")
+    words = docs.select("doc_id", "_row", "text").join(side(first), "_row")
     words = words.withColumn("raw", F.split("text", "\n")).select("doc_id", "_row", "raw", F.explode("wanted").alias("line"))
     words = words.select(F.struct("doc_id", "_row", "line").alias("at"), _words(F.get("raw", "line")).alias("words"))
     words = cut(words, "partnered_words")
@@ -149,10 +142,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     by_key = by_key.where("whole is not null and variant is not null")
     met = same_place.unionByName(by_key.select("key", F.lit(0).alias("place"), F.col("variant").alias("first")))
     met = cut(met.unionByName(by_key.select("key", F.lit(-1).alias("place"), F.col("whole").alias("first"))), "met")
-    side = _side(met, met.count())
+    earlier = side(met)
     # Place -1 is met by every variant of its key: the earlier line is then the variant itself as a whole line.
     asked = variants.select("at", "key", F.explode(F.expr("if(place > 0, array(place, -1), array(0))")).alias("place"))
-    found = asked.join(side, ["key", "place"]).where("first < at").select("at", "first").distinct()
+    found = asked.join(earlier, ["key", "place"]).where("first < at").select("at", "first").distinct()
     both = found.join(words, "at").join(words.select(F.col("at").alias("first"), F.col("words").alias("earlier")), "first")
     near = both.where(F.expr(within_one_edit("words", "earlier"))).select("at").distinct()
     # A near line's repetitions are removed already, as they are not the first of their words.
@@ -164,19 +157,24 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
 
     Requires doc_id and text. Null texts stay null with n_lines 0, empty ones empty; the other lines of a text keep their
     order and line breaks. Rows with equal doc_id count in the table's order; so of repeated rows the first keeps its
-    lines. Columns named n_lines or removed
-    are replaced, all others returned as they are. docs must be a table read from files, so that its row
-    numbers are the same in every scan.
+    lines. Long texts are handled whole; an empty table gives an empty one. Columns named n_lines or removed are replaced,
+    all others returned as they are.
+
+    min_words and near_words define what a repeat is: a line of fewer words than min_words is never one, and a line of
+    fewer than near_words only if it has the same words as an earlier one.
     """
     docs = docs.drop("n_lines", "removed")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
     gone = removed_lines(rows.select("doc_id", "_row", "text"), min_words, near_words).groupBy("_row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     gone = cut(gone, "removed")
-    out = rows.select("_row", "_doc").join(_side(gone, gone.count()), "_row", "left")
-    parts = F.split("_doc.text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("removed", i)), "\n")
+    out = rows.select("_row", "_doc").join(side(gone), "_row", "left")
+    # A column of its own, and used more than once, so that Spark splits a text once and not once a line.
+    out = out.withColumn("_parts", F.split("_doc.text", "\n"))
+    # By way of a hash set of the numbers: linear in the lines, however many are removed.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("removed"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("_doc.text")).otherwise(kept)
-    n = F.when(F.col("_doc.text").isNull(), 0).otherwise(F.size(parts))
+    n = F.when(F.col("_doc.text").isNull(), 0).otherwise(F.size("_parts"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(F.col("_doc").withField("text", text).alias("_doc"), n.alias("n_lines"), removed.alias("removed")).select("_doc.*", "n_lines", "removed")
 
