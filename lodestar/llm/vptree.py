@@ -1,15 +1,17 @@
-"""Nearest neighbours by inner product with a vantage-point tree for each shard of vectors.
+"""Nearest neighbours by inner product with vantage-point trees for each shard of vectors.
 
-Inner product becomes Euclidean distance by one more component: with R the largest norm of the corpus, a vector x
-becomes (x, sqrt(R² - |x|²)) and a query q becomes (q, 0); then |q' - x'|² = |q|² + R² - 2 q·x, so nearest first is
-largest inner product first. A tree splits the points of a node at the median distance to a vantage point and keeps the
-range of distances in each half. A subtree is skipped if the distance from the query to the vantage point, together with
-the query's current k-th distance r, puts the half's range out of reach by the triangle inequality; the rule is relaxed by
-`factor`: the half must come within factor * r. Factor 1 is exact; smaller ones prune more and may miss neighbours.
+A shard's vectors are parted by norm, two classes to a doubling, and each class has a tree. A tree splits the points of a
+node at the median distance to a vantage point and keeps the range of distances in each half, and the largest norm. A
+query is scaled to the largest norm of the tree, which changes no order of its inner products. By the triangle inequality
+no point of a half is nearer to the query than D, the gap between the query's own distance to the vantage point and the
+half's range; as 2 q·x = |q|² + |x|² - |q - x|², no inner product there exceeds (|q|² + |x|²max - D²) / 2. A half is skipped
+if that is below the query's k-th best inner product. The rule is relaxed by `factor`: D / factor stands for D. Factor 1 is
+exact, ties included; smaller ones prune more and may miss neighbours. By Cauchy and Schwarz a whole tree is skipped
+exactly where |q| |x|max is below the k-th best.
 
 Equal vectors are one point with the smallest k + 1 of their ids, as no more can be in a query's answer. Queries go in
-blocks against shards, one (block, shard) at a time; a block's answers per shard are merged at the end. Every task holds
-one tree and one block, both bounded.
+blocks; a task takes a block through a run of shards and keeps one running best, and a block's runs are merged at the end.
+Every task holds one shard and one block, both bounded.
 """
 
 from __future__ import annotations
@@ -24,30 +26,70 @@ from pyspark.sql import functions as F
 from .common import cut, load_arrays as load, new_path, read, save_arrays as save
 
 K = 20
-#: Points of a shard, points of a leaf, queries of a block.
-SHARD, LEAF, QUERIES = 16_384, 256, 2048
+#: Points of a shard, points of a leaf, queries of a block, shards that a task takes a block through at most.
+SHARD, LEAF, QUERIES, RUN = 16_384, 256, 2048, 64
 #: Near-isotropic vectors of 64 dimensions: at this factor recall@20 is above 0.99 (see README).
 FACTOR = 0.9
+#: Rounding, as a share of squared norms, that pruning allows for.
 _EPS = 1e-9
 
 
+class Best:
+    """The k best points found for each query of a block: inner products, largest first place by place, and numbers.
+
+    A point's number orders points of equal inner products; of those the smallest stay.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.numbers = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def least(self, who: np.ndarray) -> np.ndarray:
+        return self.scores[who, -1]
+
+    def take(self, who: np.ndarray, scores: np.ndarray, numbers: np.ndarray) -> None:
+        """Offers every point of `numbers`, with its score for each query of `who`."""
+        some = (scores >= self.scores[who, -1:]).any(axis=1)
+        who, scores = who[some], scores[some]
+        if not len(who):
+            return
+        both = np.concatenate([self.scores[who], scores], axis=1)
+        of = np.concatenate([self.numbers[who], np.broadcast_to(numbers, scores.shape)], axis=1)
+        pick = np.argpartition(-both, self.k - 1, axis=1)[:, : self.k]
+        got = np.take_along_axis(both, pick, 1)
+        order = np.argsort(-got, axis=1, kind="stable")
+        got, pick = np.take_along_axis(got, order, 1), np.take_along_axis(pick, order, 1)
+        # Where more points tie with the last place than it holds, the numbers decide.
+        for r in np.flatnonzero((both >= got[:, -1:]).sum(axis=1) > self.k).tolist():
+            tied = np.flatnonzero(both[r] >= got[r, -1])
+            pick[r] = tied[np.lexsort((of[r, tied], -both[r, tied]))[: self.k]]
+            got[r] = both[r, pick[r]]
+        self.scores[who], self.numbers[who] = got, np.take_along_axis(of, pick, 1)
+
+
 class Tree:
-    """A vantage-point tree over points (n, d + 1); rows are kept in the order of the leaves."""
+    """A vantage-point tree over points (n, d); rows are kept in the order of the leaves."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 7):
         rng = np.random.default_rng(seed)
         order = np.arange(len(points))
-        nodes: list[tuple] = []  # vantage row, least and most distance in the near and far half, near child, far child; a leaf: -1, begin, end
+        norms = np.sqrt((points**2).sum(1))
+        # Vantage row, least and most distance in the near and far half, near child, far child, largest norm; a leaf: -1, begin, end.
+        nodes: list[tuple] = []
         vantage = []
         out = []
+        made = 0
 
         def build(rows: np.ndarray) -> int:
+            nonlocal made
             me = len(nodes)
             nodes.append(())
+            top = norms[rows].max()
             if len(rows) <= leaf:
-                begin = sum(map(len, out))
                 out.append(rows)
-                nodes[me] = (-1, begin, begin + len(rows), 0, 0, 0, 0)
+                nodes[me] = (-1, made, made + len(rows), 0, 0, 0, 0, top)
+                made += len(rows)
                 return me
             # Of a few candidates the one whose distances spread most splits best.
             tried = [rows[i] for i in rng.choice(len(rows), min(5, len(rows)), replace=False)]
@@ -63,7 +105,7 @@ class Tree:
             k = len(vantage) - 1
             left = build(near)
             right = build(far)
-            nodes[me] = (k, dn.min(), dn.max(), df.min(), df.max(), left, right)
+            nodes[me] = (k, dn.min(), dn.max(), df.min(), df.max(), left, right, top)
             return me
 
         if len(points):
@@ -71,59 +113,69 @@ class Tree:
         self.order = np.concatenate(out) if out else order
         self.points = points[self.order]
         self.vantage = np.array(vantage).reshape(len(vantage), points.shape[1])
-        self.nodes = np.array(nodes, np.float64).reshape(len(nodes), 7)
+        self.nodes = np.array(nodes, np.float64).reshape(len(nodes), 8)
+
+    PARTS = ("points", "vantage", "order", "nodes")
 
-    def state(self) -> dict[str, np.ndarray]:
-        return {"points": self.points, "vantage": self.vantage, "order": self.order, "nodes": self.nodes}
+    def state(self, number: int) -> dict[str, np.ndarray]:
+        return {f"{name}{number}": getattr(self, name) for name in self.PARTS}
 
     @staticmethod
-    def of(state: dict[str, np.ndarray]) -> Tree:
+    def of(state: dict[str, np.ndarray], number: int) -> Tree:
         tree = Tree.__new__(Tree)
-        tree.points, tree.vantage, tree.order, tree.nodes = (state[k] for k in ("points", "vantage", "order", "nodes"))
+        for name in Tree.PARTS:
+            setattr(tree, name, state[f"{name}{number}"])
         return tree
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, rows in the original order) of the k nearest found for each query; inf and -1 where there are fewer.
+    def search(self, queries: np.ndarray, best: Best, factor: float, numbers: np.ndarray) -> None:
+        """Offers `best` the points that may be among the best of a query; numbers are those of the points by row.
 
         All queries of a block go down together: at a node those that reach a half go on.
         """
-        n = len(queries)
-        best = np.full((n, k), np.inf)
-        rows = np.full((n, k), -1)
         if not len(self.points):
-            return best, rows
-        dv = np.sqrt(np.maximum(((queries**2).sum(1)[:, None] + (self.vantage**2).sum(1) - 2 * queries @ self.vantage.T), 0)) if len(self.vantage) else None
-        norms = (self.points**2).sum(1)
-        stack: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.arange(n), np.zeros(n))]
+            return
+        top = self.nodes[0, 7]
+        norms = np.sqrt((queries**2).sum(1))
+        with np.errstate(all="ignore"):
+            scale = top / norms
+        reach = np.flatnonzero(~(norms * top * (1 + _EPS) < best.scores[:, -1]))
+        if not len(reach):
+            return
+        dv = None
+        if len(self.vantage):
+            own = queries * scale[:, None]
+            dv = np.sqrt(np.maximum(top**2 + (self.vantage**2).sum(1) - 2 * own @ self.vantage.T, 0))
+        numbers = numbers[self.order]
+        stack: list[tuple[int, np.ndarray, np.ndarray]] = [(0, reach, np.zeros(len(reach)))]
         while stack:
-            node, who, bound = stack.pop()
-            who = who[bound <= factor * best[who, -1] + _EPS]
+            node, who, gap = stack.pop()
+            v, *item, most = self.nodes[node].tolist()
+            bound = (top**2 + most**2 - (gap / factor) ** 2) / 2 + _EPS * top**2
+            # A bound that overflows is no number and skips nothing.
+            who = who[~(bound < best.least(who) * scale[who])]
             if not len(who):
                 continue
-            v, *item = self.nodes[node].tolist()
             if v < 0:
                 begin, end = int(item[0]), int(item[1])
-                q = queries[who]
-                d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + norms[begin:end] - 2 * q @ self.points[begin:end].T, 0))
-                all_d = np.concatenate([best[who], d], axis=1)
-                all_r = np.concatenate([rows[who], np.broadcast_to(np.arange(begin, end), d.shape)], axis=1)
-                pick = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-                got = np.take_along_axis(all_d, pick, 1)
-                o = np.argsort(got, axis=1, kind="stable")
-                best[who] = np.take_along_axis(got, o, 1)
-                rows[who] = np.take_along_axis(np.take_along_axis(all_r, pick, 1), o, 1)
+                best.take(who, queries[who] @ self.points[begin:end].T, numbers[begin:end])
                 continue
             left, right = int(item[4]), int(item[5])
             d = dv[who, int(v)]
-            bounds = [np.maximum(np.maximum(a - d, d - b), 0) for a, b in (item[0:2], item[2:4])]
-            nearer = bounds[0] <= bounds[1]
+            gaps = [np.maximum(np.maximum(a - d, d - b), 0) for a, b in (item[0:2], item[2:4])]
+            nearer = gaps[0] <= gaps[1]
             # The half that is nearer for a query is searched first: it is pushed last.
             for first in (False, True):
-                for child, b, mine in ((left, bounds[0], nearer), (right, bounds[1], ~nearer)):
+                for child, g, mine in ((left, gaps[0], nearer), (right, gaps[1], ~nearer)):
                     chosen = mine == first
                     if chosen.any():
-                        stack.append((child, who[chosen], b[chosen]))
-        return best, np.where(rows >= 0, self.order[rows], -1)
+                        stack.append((child, who[chosen], g[chosen]))
+
+
+def forest(points: np.ndarray, leaf: int = LEAF) -> list[tuple[np.ndarray, Tree]]:
+    """(rows, tree) of each class of norms, the longest vectors first."""
+    norms = np.sqrt((points**2).sum(1))
+    kind = np.floor(2 * np.log2(norms))
+    return [(rows, Tree(points[rows], leaf)) for c in np.unique(kind)[::-1] for rows in [np.flatnonzero(kind == c)]]
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -149,8 +201,8 @@ def search(
 
     The score is the inner product of the original vectors in double precision; ties go to the smaller vec_id. A query's
     own row is no candidate. Rows with a null id or an unusable vector take no part; of one id given twice each row is a
-    candidate. All vectors have one length; others than the most frequent one are an error. Fewer candidates than k
-    are all returned by factor 1. An empty table gives an empty table.
+    candidate. Vectors of several lengths are a ValueError. Fewer candidates than k are all returned. Columns by other
+    names are not looked at; an empty table gives an empty table.
     """
     spark = corpus.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -161,11 +213,12 @@ def search(
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = corpus.withColumn("_n", nth).where(F.col("_n") <= k + 1)
     points = cut(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "points")
-    norm2 = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda s, v: s + v.cast("double") * v.cast("double"))
-    n, top = points.agg(F.count(F.lit(1)), F.max(norm2)).first()
-    m = queries.count()
+    n, shortest, longest = points.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    m, least, most = queries.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     if not n or not m:
         return empty
+    if not shortest == longest == least == most:
+        raise ValueError(f"vectors of {min(shortest, least)} to {max(longest, most)} components; all must have as many")
     shards, blocks = -(-n // shard), -(-m // block)
     folder = new_path(spark, "trees")
 
@@ -179,9 +232,11 @@ def search(
             x = _array(table.column("embedding"))
             ids = table.column("ids").to_pylist()
             number = table.column("_shard")[0].as_py()
-            tree = Tree(np.concatenate([x, np.sqrt(np.maximum(top - (x**2).sum(1), 0))[:, None]], axis=1))
+            trees = {}
+            for i, (rows, tree) in enumerate(forest(x)):
+                trees |= tree.state(i) | {f"rows{i}": rows}
             sizes = np.array([len(row) for row in ids])
-            save(folder, f"tree-{number}.npz", **tree.state(), ids=np.array([i for row in ids for i in row], np.int64), sizes=sizes)
+            save(folder, f"tree-{number}.npz", **trees, ids=np.array([i for row in ids for i in row], np.int64), sizes=sizes)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32())], ["made"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,41 +251,53 @@ def search(
     packed = asked.repartitionById(blocks, F.col("_block")).mapInArrow(gather, "made int")
     packs = sorted(r[0] for r in packed.collect())
 
+    pairs = len(trees) * len(packs)
+    run = max(1, min(RUN, pairs // (2 * spark.sparkContext.defaultParallelism), len(trees)))
+    runs = -(-len(trees) // run)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held, tree = "", {}, None
         for batch in batches:
-            for pair in batch.column(0).to_pylist():
-                number, pack = trees[pair // len(packs)], packs[pair % len(packs)]
-                if name != (name := f"tree-{number}.npz"):
-                    held = load(folder, name)
-                    tree = Tree.of(held)
-                yield from _answers(tree, held["ids"], held["sizes"], load(folder, f"block-{pack}.npz"), k, factor)
+            for task in batch.column(0).to_pylist():
+                first = task % runs * run
+                asked = load(folder, f"block-{packs[task // runs]}.npz")
+                yield from _answers(folder, trees[first : first + run], asked, k, factor)
 
-    pairs = len(trees) * len(packs)
-    tasks = min(pairs, max(len(trees), 2 * spark.sparkContext.defaultParallelism))
-    found = spark.range(0, pairs, 1, tasks).mapInArrow(find, "query_id long, vec_id long, score double")
+    found = spark.range(0, runs * len(packs), 1, runs * len(packs)).mapInArrow(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _answers(tree: Tree, ids: np.ndarray, sizes: np.ndarray, asked: dict, k: int, factor: float) -> Iterator[pa.RecordBatch]:
-    """The k nearest ids that a shard has for each query of a block."""
-    x = asked["x"]
-    begin = np.append(0, np.cumsum(sizes))
-    back = np.empty(len(tree.order), np.int64)
-    back[tree.order] = np.arange(len(tree.order))
+def _answers(folder: str, trees: list[int], asked: dict, k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """The k nearest ids that a run of shards has for each query of a block."""
+    x, who = asked["x"], asked["ids"]
     # One more than k: the query's own vector may be among them. Equal vectors share a point and follow with their ids.
-    _, rows = tree.search(np.concatenate([x, np.zeros((len(x), 1))], axis=1), k + 1, factor)
+    best = Best(len(x), k + 1)
+    copies: dict[int, np.ndarray] = {}
+    for number in trees:
+        held = load(folder, f"tree-{number}.npz")
+        begin = np.cumsum(held["sizes"]) - held["sizes"]
+        first = held["ids"][begin]
+        i = 0
+        while f"rows{i}" in held:
+            Tree.of(held, i).search(x, best, factor, first[held[f"rows{i}"]])
+            i += 1
+        # Of the points that are among the best now, those with several ids.
+        several = np.flatnonzero(held["sizes"] > 1)
+        for r in several[np.isin(first[several], best.numbers)].tolist():
+            copies[int(first[r])] = held["ids"][begin[r] : begin[r] + held["sizes"][r]]
+        copies = {i: copies[i] for i in copies.keys() & set(best.numbers.ravel().tolist())} if copies else copies
     query, vec, scores = [], [], []
-    for q, own, found in zip(asked["ids"].tolist(), x, rows, strict=True):
-        found = found[found >= 0]
-        score = np.repeat((tree.points[back[found], :-1] * own).sum(axis=1), sizes[found])
-        who = np.concatenate([ids[begin[r] : begin[r + 1]] for r in found]) if len(found) else np.zeros(0, np.int64)
-        score, who = score[who != q], who[who != q]
-        best = np.lexsort((who, -score))[:k]
-        query.append(np.full(len(best), q, np.int64))
-        vec.append(who[best])
-        scores.append(score[best])
+    for q, score, found in zip(who.tolist(), best.scores, best.numbers, strict=True):
+        own = np.isfinite(score)
+        score, found = score[own], found[own]
+        sets = [copies[i] if i in copies else np.array([i], np.int64) for i in found.tolist()]
+        score = np.repeat(score, [len(c) for c in sets])
+        ids = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        score, ids = score[ids != q], ids[ids != q]
+        kept = np.lexsort((ids, -score))[:k]
+        query.append(np.full(len(kept), q, np.int64))
+        vec.append(ids[kept])
+        scores.append(score[kept])
     columns = [pa.array(np.concatenate(c)) for c in (query, vec, scores)]
     yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
