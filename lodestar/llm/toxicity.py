@@ -26,7 +26,7 @@ SENTENCE_THRESHOLD = 0.5
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: The training sample's bounds: toxic and clean documents, and characters of a document.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 60_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 20_000
 #: Of the sample, every CALIBRATE-th document sets the offset of the log odds instead of the weights.
 CALIBRATE = 6
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
@@ -161,8 +161,8 @@ def train(
 ) -> ToxicityModel:
     """A model of docs(doc_id, text) and labels(doc_id, toxic), without the held-out fold.
 
-    About `toxic` and `clean` documents of at most `chars` characters, by a hash of doc_id, are fetched; a document with
-    several labels is toxic if one says so.
+    About `toxic` and `clean` documents of at most `chars` characters, by a hash of doc_id, are fetched; of a doc_id given
+    twice one text. A document with several labels is toxic if one says so.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -172,7 +172,8 @@ def train(
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (toxic if k else clean) / n))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share[F.col("toxic")])
     # The sample's ids are bounded by both numbers, so they are broadcast and no text is shuffled.
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, chars)).join(F.broadcast(chosen), "doc_id").collect()
+    rows = docs.select("doc_id", "text").where(F.length("text").between(1, chars)).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     parts = [[r for i, r in enumerate(rows) if (i % CALIBRATE == 0) == part] for part in (False, True)]
     (texts, y), (own, own_y) = (([r["text"] for r in p], np.array([int(r["toxic"]) for r in p])) for p in parts)
