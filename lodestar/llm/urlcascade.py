@@ -112,17 +112,18 @@ def build(universe: DataFrame, rules: list[str]) -> Cascade:
     n = universe.select(F.approx_count_distinct(F.col("a"))).first()[0]
     rate = min(0.5, max(1e-12, len(listed[0]) * math.sqrt(0.5) / max(1, n)))
     first = Bloom.of(*listed, rate, 0)
-    known = {(int(x), int(y)) for x, y in zip(*listed, strict=True)}
+    shared = spark.sparkContext.broadcast(first)
 
     def wrong(batches):
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (0, 1))
-            held = first.holds(a, b)
-            bad = {(x, y) for x, y in zip(a[held].tolist(), b[held].tolist(), strict=True)} - known
-            out = [np.array([p[i] for p in bad], np.uint64).astype(np.int64) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
+            held = shared.value.holds(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(x[held].astype(np.int64)) for x in (a, b)], ["a", "b"])
 
-    false = _pairs(universe.mapInArrow(wrong, "a long, b long").distinct().collect())
+    # What level 0 holds: the listed keys that the corpus has, which the driver knows, and the false positives.
+    held = universe.mapInArrow(wrong, "a long, b long").distinct()
+    false = _pairs(held.join(keys.select(*hashes(F.col("key"))), ["a", "b"], "left_anti").collect())
+    shared.destroy()
     cascade, inside, outside = Cascade([first]), listed, false
     while len(outside[0]):
         level = Bloom.of(*outside, 0.5, len(cascade.levels))
@@ -157,7 +158,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> D
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    verdicts = {rule: "block" if ("block", rule) in rules else "allow" for _, rule in rules}
+    if faulty := next((rule for _, rule in rules if "/" not in rule), None):
+        raise ValueError(f"a rule is a host and a path that begins with /: {faulty!r}")
+    verdicts = dict.fromkeys((rule for _, rule in rules), "allow") | {rule: "block" for verdict, rule in rules if verdict == "block"}
     lengths = sorted({len(r) - r.index("/") for r in verdicts})
     pages = pages.drop("host", "path", "rule", "verdict")
     rows = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
