@@ -17,16 +17,25 @@ THRESHOLD = 0.88
 BLOCK = 500
 
 
-def assign(fresh: DataFrame, reps: DataFrame, excluded: DataFrame, threshold: float = THRESHOLD, reps_bounded: bool = True) -> DataFrame:
+def assign(fresh: DataFrame, reps: DataFrame, excluded: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(asset_id, cluster_id, mode, score): for fresh(asset_id, embedding) the best of reps(cluster_id, mode, rep).
 
     A resident_open cluster wins over dynamic ones whatever the score; then the larger score, then the larger id.
     resident_manual clusters admit nobody, excluded(asset_id, cluster_id) pairs are out. One representative for each
-    current cluster of a channel: a published set that is small by contract, so it goes to every task.
+    current cluster of a channel is a small set, which is counted and broadcast. Of more than vector.MOST_BROADCAST, each
+    asset meets a share of them in each of as many tasks.
     """
     side = reps.where("mode <> 'resident_manual'").where(vector.is_valid("rep"))
-    side = F.broadcast(side) if reps_bounded else side
-    pairs = fresh.where(vector.is_valid("embedding")).join(side, F.size("embedding") == F.size("rep"))
+    fresh = fresh.where(vector.is_valid("embedding"))
+    n = side.count()
+    if n <= vector.MOST_BROADCAST:
+        pairs = fresh.join(F.broadcast(side), F.size("embedding") == F.size("rep"))
+    else:
+        # Shares of the representatives by assets dealt evenly: no key holds all of either.
+        shares = -(-n // vector.MOST_BROADCAST)
+        side = side.withColumn("_share", F.pmod(F.xxhash64("cluster_id"), F.lit(shares))).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        fresh = fresh.withColumn("_deal", F.pmod(F.xxhash64("asset_id"), F.lit(64)).cast("int")).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+        pairs = fresh.join(side, ["_share", "_deal"]).where(F.size("embedding") == F.size("rep")).drop("_share", "_deal")
     pairs = pairs.withColumn("score", vector.cosine("embedding", "rep")).drop("embedding", "rep").where(F.col("score") >= threshold)
     pairs = pairs.join(excluded.select("asset_id", "cluster_id"), ["asset_id", "cluster_id"], "left_anti")
     first = F.when(F.col("mode") == "resident_open", 0).otherwise(1)
@@ -89,6 +98,20 @@ def detach(members: DataFrame, gone: DataFrame, excluded: DataFrame) -> tuple[Da
     return left, excluded.unionByName(gone.select("cluster_id", "asset_id")).distinct()
 
 
+def detach_and_reassign(
+    members: DataFrame, gone: DataFrame, excluded: DataFrame, vectors: DataFrame, reps: DataFrame, threshold: float = THRESHOLD
+) -> tuple[DataFrame, DataFrame]:
+    """(members, exclusions) after taking gone(asset_id, cluster_id) out: each asset goes to the best other cluster that admits it.
+
+    members has asset_id, cluster_id and member_source; vectors(asset_id, embedding) and reps are as for assign().
+    """
+    taken = gone.join(members, ["asset_id", "cluster_id"], "left_semi")
+    left, excluded = detach(members, taken, excluded)
+    free = vectors.join(taken.select("asset_id").distinct(), "asset_id", "left_semi").join(left.select("asset_id"), "asset_id", "left_anti")
+    new = assign(free, reps, excluded, threshold).select("asset_id", "cluster_id", F.lit("algorithm").alias("member_source"))
+    return left.select("asset_id", "cluster_id", "member_source").unionByName(new), excluded
+
+
 def _block_totals(pdf: pd.DataFrame) -> pd.DataFrame:
     """(label, embedding_id, total): sums of distances between blocks i and j of a label, row by row of the first."""
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])

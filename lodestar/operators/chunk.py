@@ -239,8 +239,9 @@ def join_short(text: str, chunks: list[Chunk], count: Counter, least: int, most:
         last = out[-1] if out else None
         near = last is not None and last.path[:-1] == c.path[:-1] and not last.oversized and not c.oversized
         if near and min(count(last.text), count(c.text)) < least and count(text[last.start : c.end]) <= most:
+            # The headings that both stand under, which may be none.
             path = last.path if last.path == c.path else last.path[:-1]
-            out[-1] = Chunk(text[last.start : c.end], last.start, c.end, path or last.path)
+            out[-1] = Chunk(text[last.start : c.end], last.start, c.end, path)
         else:
             out.append(c)
     return out

@@ -58,6 +58,39 @@ def run_list(runs: DataFrame, limit: int) -> DataFrame:
     return runs.orderBy(F.desc_nulls_first("started_at"), F.desc("run_id")).limit(limit)
 
 
+def job_list(jobs: DataFrame, limit: int) -> DataFrame:
+    """Most recently made first, then the larger id; the limit is held to 1 to 200."""
+    return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(max(1, min(200, limit)))
+
+
+def busy(jobs: DataFrame, workspace: str, active: tuple[str, ...] = ("pending", "running")) -> int:
+    """How many jobs of a workspace are under way: nothing of it is deleted while there are any."""
+    return jobs.where((F.col("workspace_id") == workspace) & F.col("status").isin(*active)).count()
+
+
+def save(searches: DataFrame, saved: DataFrame, keep: int = KEEP_SEARCHES) -> DataFrame:
+    """searches after saving saved(workspace_id, created_by, saved_search_id, last_used_at): new ones are no favourites.
+
+    A search that is there already is refreshed: its time moves on, never back, and a favourite stays one. Then a user's
+    oldest beyond `keep` go, but favourites.
+    """
+    keys = ["workspace_id", "created_by", "saved_search_id"]
+    both = searches.select(*keys, "is_favorite", "last_used_at").unionByName(saved.select(*keys, F.lit(False).alias("is_favorite"), "last_used_at"))
+    return prune(both.groupBy(*keys).agg(F.bool_or("is_favorite").alias("is_favorite"), F.max("last_used_at").alias("last_used_at")), keep)
+
+
+def set_favorite(searches: DataFrame, workspace: str, user: int | str, ids: list[str], favorite: bool) -> DataFrame:
+    """searches with the user's own among `ids` made favourites, or not; others' are left alone."""
+    own = (F.col("workspace_id") == workspace) & (F.col("created_by") == user) & F.col("saved_search_id").isin(*ids)
+    return searches.withColumn("is_favorite", F.when(own, F.lit(favorite)).otherwise(F.col("is_favorite")))
+
+
+def delete_searches(searches: DataFrame, workspace: str, user: int | str, ids: list[str]) -> DataFrame:
+    """searches without the user's own among `ids`."""
+    own = (F.col("workspace_id") == workspace) & (F.col("created_by") == user) & F.col("saved_search_id").isin(*ids)
+    return searches.where(~own)
+
+
 def restored(snapshots: DataFrame, assets: DataFrame, workspace: str) -> DataFrame:
     """Snapshot rows with their assets; details are masked where the asset is gone.
 
@@ -70,7 +103,9 @@ def restored(snapshots: DataFrame, assets: DataFrame, workspace: str) -> DataFra
 
 
 def delete_workspace(tables: dict[str, DataFrame], workspace: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """The tables without a workspace's rows, and how many rows went from each."""
+    """The tables without a workspace's rows, and how many rows went from each; a ValueError while jobs are under way."""
+    if "jobs" in tables and (n := busy(tables["jobs"], workspace)):
+        raise ValueError(f"{n} jobs of the workspace are under way")
     counts = {n: t.where(F.col("workspace_id") == workspace).count() for n, t in tables.items()}
     return {n: t.where(F.col("workspace_id") != workspace) for n, t in tables.items()}, counts
 

@@ -146,12 +146,44 @@ class Tables:
     clusters: DataFrame
 
 
+def open_channels(
+    queries: list[tuple[str, float, list[float]]], open_: Callable[[str], DataFrame]
+) -> tuple[list[tuple[str, float, list[float]]], DataFrame, list[str]]:
+    """(queries, vectors, reasons): the vectors of every channel that can be opened, and the queries of those.
+
+    A channel whose vectors cannot be opened leaves the search, for a reason; its weight is shared out by the others. If
+    none can, the search fails. One channel's vectors are one DataFrame, and only its plan is made here.
+    """
+    kept, vectors, reasons = [], None, []
+    for channel, weight, v in queries:
+        try:
+            own = open_(channel).where(F.col("embedding_type") == channel)
+            vectors = own if vectors is None else vectors.unionByName(own)
+        except Exception as error:  # any failure of a channel's store degrades the search
+            reasons.append(f"channel {channel} failed: {error}")
+            continue
+        kept.append((channel, weight, v))
+    if vectors is None:
+        raise RuntimeError("every channel failed: " + "; ".join(reasons))
+    total = sum(w for _, w, _ in kept)
+    return [(c, w / total, v) for c, w, v in kept] if reasons else kept, vectors, reasons
+
+
 def run(
-    spark: SparkSession, request: Request, queries: list[tuple[str, float, list[float]]], t: Tables, relevance: DataFrame | None = None
+    spark: SparkSession,
+    request: Request,
+    queries: list[tuple[str, float, list[float]]],
+    t: Tables,
+    relevance: DataFrame | None = None,
+    features: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, clusters) of a search, lazily: recall, fusion, validation, filters, reranking, folding, roll-up.
 
-    Filters by favourite, cluster and time hold after recall, so a selective one may leave fewer than top_k results.
+    results: position, asset_id, folded, score, reason, matched_feature. Blocks and times by which results fold are the
+    assets' own parent_no, block_index, start_ms and end_ms. Candidates are validated once more after reranking, whose
+    order stays: what is no longer live, or not of the request's types, goes. `features` has (asset_id, embedding_type,
+    text) for matched_feature. Filters by favourite, cluster and time hold after recall, so a selective one may leave
+    fewer than top_k results.
     """
     f = request.filters
     seconds = [None if x is None else math.floor(x.timestamp()) for x in (f.created_from, f.created_to)]
@@ -168,13 +200,21 @@ def run(
     found = found.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "asset_id")))
     if relevance is not None:
         found = search.rerank(found, relevance).drop("pos", "relevance").withColumnRenamed("new_pos", "pos")
-    shown = live.select("asset_id", "index_role", F.col("parent_no").alias("parent"), F.col("block_index").alias("block"))
-    start = F.col("block") * 5000
-    rows = found.join(shown, "asset_id").select(
-        F.lit(0).alias("query_no"), "pos", "asset_id", "source_file_id", "asset_type", "index_role", "parent", "block", start.alias("start_ms"), (start + 4000).alias("end_ms")
-    )
+    # The second validation: an inner join, which keeps pos.
+    shown = live.select("asset_id", "index_role", F.col("parent_no").alias("parent"), F.col("block_index").alias("block"), "start_ms", "end_ms")
+    rows = found.join(shown, "asset_id")
+    if f.asset_types:
+        rows = rows.where(F.col("asset_type").isin(*f.asset_types))
+    rows = rows.select(F.lit(0).alias("query_no"), "pos", "asset_id", "source_file_id", "asset_type", "index_role", "parent", "block", "start_ms", "end_ms")
     results = fold.fold(rows, request.top_k)
     # A result's score goes to all assets folded into it.
-    scored = results.join(found.select("asset_id", "score", search.reason(F.col("evidence")).alias("reason")), "asset_id")
+    why = found.select("asset_id", "score", "evidence", search.reason(F.col("evidence")).alias("reason"))
+    texts = F.create_map().cast("map<string,string>")
+    if features is not None:
+        entry = F.collect_list(F.struct("embedding_type", "text"))
+        own = features.where("text is not null").groupBy("asset_id").agg(F.map_from_entries(entry).alias("_texts"))
+        why, texts = why.join(own, "asset_id", "left"), F.coalesce("_texts", texts)
+    why = why.withColumn("matched_feature", search.matched_feature(F.col("evidence"), texts))
+    scored = results.join(why.select("asset_id", "score", "reason", "matched_feature"), "asset_id")
     folded = scored.select(F.explode("folded").alias("asset_id"), "score")
     return scored.drop("query_no"), search.cluster_rollup(folded, t.members, t.clusters, min(request.top_k, search.CLUSTER_TOP_K))

@@ -59,23 +59,19 @@ def prefilter(
     return vectors
 
 
-def recall(queries: DataFrame, vectors: DataFrame, limit: int, queries_bounded: bool = True) -> DataFrame:
+def recall(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """Exact cosine top `limit` of queries(query_no, embedding_type, weight, query) in their channels.
 
-    A search has at most twelve query vectors; those are broadcast. Otherwise both sides meet by channel through a
-    shuffle. Ranks go by score, then embedding_id.
+    A search has at most twelve query vectors; up to vector.MOST_BROADCAST are counted and broadcast. With more, both
+    sides meet by channel through a shuffle. Ranks go by score, then embedding_id.
     """
     fine = vectors.where(vector.is_valid("embedding"))
-    side = F.broadcast(queries) if queries_bounded else queries
+    side = vector.counted(queries)
     scored = fine.join(side.drop("ch"), "embedding_type").withColumn("score", vector.cosine("query", "embedding")).drop("query", "embedding")
     w = Window.partitionBy("query_no", "embedding_type").orderBy(F.desc("score"), "embedding_id")
     return scored.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def _order(channel: str = "embedding_type"):
-    return Window.partitionBy(channel).orderBy("rank")
-
-
 def fuse_rrf(hits: DataFrame, k: int = RRF_K, cap: int = CANDIDATE_CAP) -> DataFrame:
     """Weighted reciprocal rank fusion of hits(embedding_type, weight, rank, embedding_id, asset_id, score).
 
@@ -127,14 +123,20 @@ def in_cluster(rows: DataFrame, members: DataFrame, cluster_id: str) -> DataFram
     return rows.join(members.where(F.col("cluster_id") == cluster_id).select("asset_id"), "asset_id", "left_semi")
 
 
-def validate(fused: DataFrame, live_assets: DataFrame, records: DataFrame) -> DataFrame:
+def indexed(records: DataFrame, models: tuple[str, ...] = ()) -> DataFrame:
+    """records of embeddings that are indexed, by one of the models if any are named."""
+    records = records.where("status = 'indexed'")
+    return records.where(F.col("model_name").isin(*models)) if models else records
+
+
+def validate(fused: DataFrame, live_assets: DataFrame, records: DataFrame, models: tuple[str, ...] = ()) -> DataFrame:
     """Keeps the matches that are current, at most the best of each channel, and scores assets anew by them.
 
     A match is current if its embedding is indexed and has the asset's revision. Candidates are capped before this, so a
     stale one uses up its place.
     """
     match = fused.select("asset_id", F.explode("matches").alias("m")).select("asset_id", "m.*").withColumnRenamed("score", "similarity")
-    state = records.where("status = 'indexed'").select("embedding_id", F.col("embedding_revision").alias("_revision"))
+    state = indexed(records, models).select("embedding_id", F.col("embedding_revision").alias("_revision"))
     own = live_assets.select("asset_id", "source_file_id", "asset_type", "embedding_revision")
     met = match.join(own, "asset_id").join(state, "embedding_id").where("_revision = embedding_revision")
     best = F.row_number().over(Window.partitionBy("asset_id", "embedding_type").orderBy("rank"))

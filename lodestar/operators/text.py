@@ -62,6 +62,12 @@ def embedding_text(channel: Column, feature: Column, description: Column, path:
     return F.when(channel == "description", blank_to_null(description)).when(channel == "asset_usage", usage).otherwise(feature)
 
 
+def canonical_json(**values: Column) -> Column:
+    """JSON of the values in one form: keys in order, no blanks, nulls written out, letters as they are; the input of keys."""
+    ordered = F.struct(*(values[k].alias(k) for k in sorted(values)))
+    return F.to_json(ordered, {"ignoreNullFields": "false"})
+
+
 def framed_hash(*parts: Column) -> Column:
     """sha256 of the parts, each after its byte length as eight big-endian bytes."""
     framed = [x for p in parts for x in (F.unhex(F.lpad(F.hex(F.octet_length(p)), 16, "0")), p.cast("binary"))]

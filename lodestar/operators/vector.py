@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,17 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     ok = is_valid(a) & is_valid(b) & (F.size(a) == F.size(b))
     value = dot(a, b) / (norm(a) * norm(b))
     return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+
+
+#: Vectors up to which a table of them is broadcast.
+MOST_BROADCAST = 5_000
+
+
+def counted(vectors: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """vectors with a hint to broadcast them if they are `most` at most; counting ends at one more than that."""
+    return F.broadcast(vectors) if vectors.limit(most + 1).count() <= most else vectors
+
+
+def lookup(vectors: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """vectors whose embedding_id is in ids(embedding_id), each id once; invalid ones are silently left out."""
+    return vectors.where(is_valid("embedding", size)).join(ids.select("embedding_id").distinct(), "embedding_id", "left_semi")

@@ -34,6 +34,7 @@ TABLES = {
             case when l.quality is null then 'stale' when l.quality = 1 then ' good ' else '' end as feature_value,
             case when l.toxic = 1 then 'flagged' end as feature_user_value,
             cast(d.doc_id % 10 as int) as block_index, d.doc_id % 3 as parent_no,
+            cast(d.doc_id % 10 * 5000 as bigint) as start_ms, cast(d.doc_id % 10 * 5000 + 4000 as bigint) as end_ms,
             cast(1700000000 + d.doc_id * 60 as bigint) as created_at_ts, d.n_chars, {sha}(d.text) as content_hash,
             case d.doc_id % 9 when 0 then 'failed' else 'completed' end as status
         from documents d left join labels l on d.doc_id = l.doc_id""",

@@ -9,7 +9,7 @@ from ..operators import assets, chunk, density, fold, search, text, video
 from ..streaming import jobs
 from .domain import WORKSPACE, Domain, ctes
 from .registry import query
-from .search_queries import LIVE_SQL, _hits
+from .search_queries import FULL, LIVE_SQL, _hits
 
 
 @query("chunk_markdown")
@@ -32,7 +32,7 @@ def chunk_identity(d: Domain) -> DataFrame:
 def cluster_run(d: Domain) -> DataFrame:
     """A run for each channel of the live assets, at most 20,000 vectors each."""
     own = d.vectors.join(assets.live(d.assets, d.source_files, WORKSPACE).select("asset_id"), "asset_id", "left_semi")
-    return density.cluster_runs(own, parameters=density.Parameters(epsilon=0.0))
+    return density.cluster_runs(own)
 
 
 @query("cluster_run_summary")
@@ -44,15 +44,37 @@ def cluster_run_summary(d: Domain) -> DataFrame:
     )
 
 
-@query("fold_results")
+#: The fold as a recursion over the ranked rows: a list of results is carried from row to row.
+FOLD_SQL = """state(pos, heads) as (
+    select cast(0 as bigint), cast([] as struct(asset_id varchar, src varchar, role varchar, parent bigint, kind varchar, block int, s bigint, e bigint, folded varchar[])[])
+    union all
+    select n.pos, case when n.k > 0 then list_transform(n.heads, lambda h, i: case when i = n.k then struct_pack(asset_id := h.asset_id, src := h.src, role := h.role,
+                parent := h.parent, kind := h.kind, block := case when h.kind = 'markdown_block' then greatest(h.block, n.block) else h.block end,
+                s := case when h.kind = 'markdown_block' then h.s else least(h.s, n.start_ms) end, e := case when h.kind = 'markdown_block' then h.e else greatest(h.e, n.end_ms) end,
+                folded := list_append(h.folded, n.asset_id)) else h end)
+            when len(list_filter(n.heads, lambda h: h.src = n.source_file_id)) >= 3 then n.heads
+            else list_append(n.heads, struct_pack(asset_id := n.asset_id, src := n.source_file_id, role := n.index_role, parent := n.parent, kind := n.asset_type,
+                block := n.block, s := n.start_ms, e := n.end_ms, folded := [n.asset_id])) end
+    from (select r.*, t.heads, coalesce(list_position(list_transform(t.heads, lambda h: h.src = r.source_file_id and h.role = r.index_role and h.parent = r.parent
+            and h.kind = r.asset_type and case h.kind when 'markdown_block' then abs(h.block - r.block) <= 1 when 'video_segment' then
+                (greatest(h.s, r.start_ms) - least(h.e, r.end_ms) between 0 and 1999) or (greatest(h.s, r.start_ms) < least(h.e, r.end_ms)
+                and (least(h.e, r.end_ms) - greatest(h.s, r.start_ms)) / least(h.e - h.s, r.end_ms - r.start_ms)::double > 0.30) else false end), true), 0) as k
+        from state t join ranked r on r.pos = t.pos + 1 where len(t.heads) < 20) n),
+    folded as (select i as position, heads[i].asset_id as asset_id, array_to_string(heads[i].folded, ',') as folded
+        from (select heads, cast(unnest(range(1, len(heads) + 1)) as int) as i from (select heads from state order by pos desc limit 1)))"""
+RANKED_SQL = """ranked as (select row_number() over (order by round(v.score, 12) desc, v.asset_id) as pos, v.asset_id, v.source_file_id, v.asset_type, a.index_role,
+    a.parent_no as parent, a.block_index as block, a.start_ms, a.end_ms from valid v join assets a using (asset_id))"""
+
+
+@query("fold_results", f"{FULL.replace('with ', 'with recursive ', 1)}, {RANKED_SQL}, {FOLD_SQL} select 0 as query_no, position, asset_id, folded from folded")
 def fold_results(d: Domain) -> DataFrame:
     """Neighbours fold, then the source cap."""
     rows = search.validate(search.fuse_rrf(_hits(d)), assets.live(d.assets, d.source_files, WORKSPACE), d.embedding_records)
-    own = d.assets.select("asset_id", "index_role", F.col("parent_no").alias("parent"), F.col("block_index").alias("block"))
+    own = d.assets.select("asset_id", "index_role", F.col("parent_no").alias("parent"), F.col("block_index").alias("block"), "start_ms", "end_ms")
+    # At most the candidate cap's rows.
     rows = rows.join(own, "asset_id").withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "asset_id")))
-    start = F.col("block") * 5000
-    rows = rows.select(F.lit(0).alias("query_no"), "pos", "asset_id", "source_file_id", "asset_type", "index_role", "parent", "block", start.alias("start_ms"), (start + 4000).alias("end_ms"))
-    return fold.fold(rows, 20)
+    rows = rows.select(F.lit(0).alias("query_no"), "pos", "asset_id", "source_file_id", "asset_type", "index_role", "parent", "block", "start_ms", "end_ms")
+    return fold.fold(rows, 20).withColumn("folded", F.array_join("folded", ","))
 
 
 @query("video_segments")

@@ -90,7 +90,11 @@ def embedding_text(d: Domain) -> DataFrame:
     return d.assets.select("asset_id", text.embedding_text(channel, F.trim("feature_value"), F.col("description"), F.lit("a/b/secret.md")).alias("body"))
 
 
-@query("framed_hash")
+@query(
+    "framed_hash",
+    """select doc_id, sha256(unhex(lpad(hex(octet_length(encode(lang))), 16, '0')) || encode(lang)
+        || unhex(lpad(hex(octet_length(encode(text))), 16, '0')) || encode(text)) as hash from documents""",
+)
 def framed_hash(d: Domain) -> DataFrame:
     """Length-framed hash of several parts."""
     return d.raw("documents").select("doc_id", text.framed_hash(F.col("lang"), F.col("text")).alias("hash"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     """(path, relative_path, extension, kind, size, modified) of the files under root that a handler reads; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     base = root.split("://", 1)[-1].rstrip("/")
-    relative = F.regexp_replace("path", f"^.*?{base}/", "")
+    relative = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
     files = files.withColumns({"relative_path": relative, "extension": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))})
     kind = F.lit(None).cast("string")
     for name, extensions in HANDLERS.items():
@@ -95,5 +96,5 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(results: DataFrame, execution_id: str, path: str) -> None:
-    """Appends a run's ranked results; they are never changed afterwards."""
-    results.withColumn("execution_id", F.lit(execution_id)).write.mode("append").parquet(path)
+    """Writes a run's ranked results to a folder of its own under path; writing a run again, as a retry does, replaces it."""
+    results.drop("execution_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/execution_id={execution_id}")
