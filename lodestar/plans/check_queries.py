@@ -178,13 +178,13 @@ def json_text(d: Domain) -> DataFrame:
 
 @query(
     "ocr_accept",
-    """with l as (select conv_id as image, turn as no, trim(left(text, 20), ' ') as t, (conv_id % 10) / 10.0e0 as score from conversations where turn < 3 and trim(left(text, 20), ' ') <> ''),
+    """with l as (select conv_id as image, turn as no, trim(text, ' ') as t, (conv_id % 10) / 10.0e0 as score from conversations where trim(text, ' ') <> ''),
     g as (select image, string_agg(t, chr(10) order by no) as text, avg(score) as m, count(*) as n from l group by image)
     select i.image, case when m >= 0.55 and length(text) >= 2 then text end as text, case when m is null then 'empty' when m >= 0.55 and length(text) >= 2 then 'accepted' else 'filtered' end as status,
-    round(m, 6) as confidence, coalesce(n, 0) as line_count from (select distinct conv_id as image from conversations where turn < 3) i left join g on g.image = i.image""",
+    round(m, 6) as confidence, coalesce(n, 0) as line_count from (select distinct conv_id as image from conversations) i left join g on g.image = i.image""",
 )
 def ocr_accept(d: Domain) -> DataFrame:
-    """Recognised text is accepted by confidence and length; all turns, where the oracle SQL has 20 characters of the first three."""
+    """Recognised text is accepted by confidence and length."""
     lines = d.raw("conversations").select(
         F.col("conv_id").alias("image"), F.col("turn").alias("no"), F.col("text"), ((F.col("conv_id") % 10) / 10.0).alias("score")
     )
@@ -226,12 +226,12 @@ def representative_faults(d: Domain) -> DataFrame:
 
 @query(
     "path_terms",
-    """with t as (select distinct part from (select unnest(string_split(left(text, 300), ' ')) as part from documents) where part is not null)
+    """with t as (select distinct part from (select unnest(string_split(text, ' ')) as part from documents) where part is not null)
     select part, trim(part, ' ') <> '' and lower(trim(part, ' ')) not in ('the', 'and') and not regexp_matches(trim(part, ' '), '[0-9]') and not ends_with(trim(part, ' '), 'ing')
     and not regexp_matches(trim(part, ' '), '^[0-9a-fA-F]{8,}$') and regexp_matches(trim(part, ' '), '^[A-Za-z][A-Za-z _-]{2,30}$') as semantic from t""",
 )
 def path_terms(d: Domain) -> DataFrame:
-    """Names that tell what is inside, over whole texts; the oracle SQL has their first 300 characters."""
+    """Names that tell what is inside, over whole texts."""
     parts = d.raw("documents").select(F.explode(F.split("text", " ")).alias("part")).distinct()
     generic = F.lower(F.trim("part")).isin("the", "and")
     return parts.select("part", checks.semantic_term(F.col("part"), generic, ("ing",)).alias("semantic"))

@@ -383,14 +383,11 @@ def effective_names(d: Domain) -> DataFrame:
 
 @query(
     "cluster_medoids",
-    f"""{ctes('vectors')}, p as (select label, embedding_id, doc_id, embedding from vectors where ch = 0 and doc_id < 400),
+    f"""{ctes('vectors')}, p as (select label, embedding_id, doc_id, embedding from vectors where ch = 0),
     s as (select a.label, a.embedding_id, sum(sqrt(list_reduce(list_transform(list_zip(a.embedding, b.embedding), lambda x: (cast(x[1] as double) - x[2]) * (cast(x[1] as double) - x[2])), lambda s, v: s + v, 0::double))) as total
         from p a join p b using (label) group by a.label, a.embedding_id)
     select label, arg_min(embedding_id, struct_pack(t := round(total, 9), e := embedding_id)) as medoid, round(min(total), 6) as total from s group by label""",
 )
 def cluster_medoids(d: Domain) -> DataFrame:
-    """The member with the least sum of distances, over all vectors of the channel.
-
-    The oracle SQL has document ids below 400 only, so it agrees on tables with no more of them.
-    """
+    """The member with the least sum of distances, over all vectors of the channel."""
     return assign.medoids(d.vectors.where("ch = 0"))

@@ -29,7 +29,7 @@ def content_sha256(d: Domain) -> DataFrame:
     return d.raw("documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-_WORDS = "replace(left(text, 400), ' ', ';')"
+_WORDS = "replace(text, ' ', ';')"
 
 
 @query(
@@ -38,14 +38,14 @@ _WORDS = "replace(left(text, 400), ' ', ';')"
     u as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) as l from t) select doc_id, array_to_string(l[1:5], '; ') as terms from u""",
 )
 def feature_normalize(d: Domain) -> DataFrame:
-    """Distinct bounded terms of whole texts; the oracle SQL has their first 400 characters."""
+    """Distinct bounded terms of whole texts."""
     raw = F.replace("text", F.lit(" "), F.lit(";"))
     return d.raw("documents").select("doc_id", text.feature_terms(raw).alias("terms"))
 
 
-@query("name_bounds", "select doc_id, left(trim(left(text, 60)), 40) as name, length(left(trim(text, ' '), 500)) as n from documents")
+@query("name_bounds", "select doc_id, left(trim(text, ' '), 40) as name, length(left(trim(text, ' '), 500)) as n from documents")
 def name_bounds(d: Domain) -> DataFrame:
-    """Names and descriptions are trimmed and cut; the oracle SQL trims names after 60 characters."""
+    """Names and descriptions are trimmed and cut."""
     own = d.raw("documents")
     return own.select("doc_id", text.bounded(F.col("text"), 40).alias("name"), F.length(text.bounded(F.col("text"), 500)).cast("long").alias("n"))
 

@@ -1,4 +1,4 @@
-"""Queries over the whole input, where their oracle SQL cuts it."""
+"""Queries over the whole input, on small tables."""
 
 from conftest import DATA
 
