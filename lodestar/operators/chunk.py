@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice, pairwise, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ class Node:
     end: int
     level: int = 0
     title: str = ""
+    path: tuple[str, ...] = ()
 
 
 @dataclass
@@ -122,26 +124,23 @@ def _atoms(text: str, node: Node, count: Counter, most: int, pattern: re.Pattern
     return [(a, b, "indivisible_sentence" if count(text[a:b]) > most else None) for a, b in spans]
 
 
-def pack_atoms(text: str, atoms, count: Counter, most: int, target: int | None = None, path: tuple[str, ...] = ()) -> list[Chunk]:
-    """Atoms joined greedily up to `most`; one that is too large stands alone. With a target, a chunk also ends where its
-    size is nearer to the target than with the next atom. Sizes are counted on the joined text."""
+def pack_atoms(text: str, atoms, count: Counter, most: int) -> list[Chunk]:
+    """Atoms joined greedily up to `most`; one that is too large stands alone. Sizes are counted on the joined text."""
     out: list[Chunk] = []
     begin = end = None
     for a, b, reason in atoms:
         if reason:
             if begin is not None:
-                out.append(Chunk(text[begin:end], begin, end, path))
-            out.append(Chunk(text[a:b], a, b, path, reason))
+                out.append(Chunk(text[begin:end], begin, end))
+            out.append(Chunk(text[a:b], a, b, oversized=reason))
             begin = None
             continue
-        if begin is not None:
-            size, now = count(text[begin:b]), count(text[begin:end])
-            if size > most or (target and now >= target and abs(now - target) <= abs(size - target)):
-                out.append(Chunk(text[begin:end], begin, end, path))
-                begin = None
+        if begin is not None and count(text[begin:b]) > most:
+            out.append(Chunk(text[begin:end], begin, end))
+            begin = None
         begin, end = (a if begin is None else begin), b
     if begin is not None:
-        out.append(Chunk(text[begin:end], begin, end, path))
+        out.append(Chunk(text[begin:end], begin, end))
     return out
 
 
@@ -215,35 +214,117 @@ def markdown_nodes(text: str) -> list[Node]:
     return out
 
 
-def chunk_markdown(text: str, count: Counter = len, least: int = CHILD_MIN, target: int = CHILD_TARGET, most: int = CHILD_MAX, merged: int = MERGE_MAX) -> list[Chunk]:
-    """Blocks with their heading paths: sections are split by heading, packed, and short ones joined under one parent."""
-    sections: list[tuple[tuple[str, ...], list[Node]]] = [((), [])]
-    stack: list[tuple[int, str]] = []
-    for node in markdown_nodes(text):
+def _with_paths(nodes: list[Node]) -> list[Node]:
+    """Nodes with the headings they stand under; a heading of level n replaces all from the nth on."""
+    path: tuple[str, ...] = ()
+    for node in nodes:
         if node.kind == "heading":
-            stack = [x for x in stack if x[0] < node.level] + [(node.level, node.title)]
-            sections.append((tuple(t for _, t in stack), []))
-        elif node.kind != "rule":
-            sections[-1][1].append(node)
+            path = (*path[: node.level - 1], node.title)
+        node.path = path
+    return nodes
+
+
+def _shared(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """The headings that all paths begin with."""
+    return tuple(level[0] for level in takewhile(lambda level: len(set(level)) == 1, zip(*paths, strict=False)))
+
+
+def _parts(nodes: list[Node], level: int) -> list[list[Node]]:
+    """The nodes cut before each heading of this level."""
+    cuts = [0, *(i for i, n in enumerate(nodes) if i and n.kind == "heading" and n.level == level), len(nodes)]
+    return [nodes[i:j] for i, j in pairwise(cuts)]
+
+
+#: Why a block of Markdown exceeds the maximum (fixed values).
+_REASONS = {"fence": "indivisible_code_fence", "code": "indivisible_code_fence", "table": "indivisible_table", "list": "indivisible_list_item"}
+
+
+def pack_section(text: str, nodes: list[Node], count: Counter, least: int, target: int, most: int) -> list[Chunk]:
+    """The blocks of one section packed up to `most`: a chunk ends where its size is as near to the target as it would be
+    with the next atom, and before an atom with which a rest under `least` fits. Sizes are sums over atoms."""
+    atoms = []
+    for node in nodes:
+        whole = [(node.start, node.end, None)]
+        own = _atoms(text, node, count, most, _MARKDOWN_SENTENCE) if node.kind in ("paragraph", "list") else whole
+        reason = _REASONS.get(node.kind, "indivisible_content_node")
+        atoms += [(a, b, reason if count(text[a:b]) > most else None, node.path) for a, b, _ in own]
+    sizes = [count(text[a:b]) for a, b, _, _ in atoms]
+    rest = sum(sizes)
     out: list[Chunk] = []
-    for path, nodes in sections:
-        atoms = [x for n in nodes for x in _atoms(text, n, count, most, _MARKDOWN_SENTENCE)]
-        out.extend(pack_atoms(text, atoms, count, most, target, path))
+    group: list[tuple] = []
+    held = 0
+
+    def close():
+        if group:
+            reason = group[0][2] if len(group) == 1 else None
+            out.append(Chunk(text[group[0][0] : group[-1][1]], group[0][0], group[-1][1], _shared([g[3] for g in group]), reason))
+            group.clear()
+
+    for atom, size in zip(atoms, sizes, strict=True):
+        rest -= size
+        whole = held + size
+        tail = 0 < rest < least and size + rest <= most
+        if group and (whole > most or tail or (whole > target and abs(whole - target) >= abs(held - target))):
+            close()
+            held = 0
+        group.append(atom)
+        held += size
+        if size > most:
+            close()
+            held = 0
+    close()
+    return out
+
+
+def chunk_markdown(text: str, count: Counter = len, least: int = CHILD_MIN, target: int = CHILD_TARGET, most: int = CHILD_MAX, merged: int = MERGE_MAX) -> list[Chunk]:
+    """Blocks with their heading paths: what exceeds `most` is cut at headings of level 1, its parts at level 2 and so on
+    to 6, and then packed; short blocks are joined under one parent. Parts without content have no block."""
+    out: list[Chunk] = []
+    todo = [(_with_paths(markdown_nodes(text)), 1)]
+    while todo:
+        nodes, level = todo.pop()
+        body = [n for n in nodes if n.kind not in ("heading", "rule")]
+        if not body:
+            continue
+        start, end = nodes[0].start, nodes[-1].end
+        if count(text[start:end]) <= most:
+            out.append(Chunk(text[start:end], start, end, _shared([n.path for n in body])))
+        elif level > 6:
+            out.extend(pack_section(text, body, count, least, target, most))
+        else:
+            todo.extend((part, level + 1) for part in reversed(_parts(nodes, level)))
     return join_short(text, out, count, least, merged)
 
 
+def _next_suffice(chunks: list[Chunk], at: int, sizes: list[int], least: int, most: int) -> bool:
+    """Whether the chunks from `at` on under one parent reach `least` without exceeding `most`."""
+    total = 0
+    for c, size in zip(islice(chunks, at, None), islice(sizes, at, None), strict=True):
+        if c.oversized or c.path[:-1] != chunks[at].path[:-1]:
+            return False
+        total += size
+        if total >= least:
+            return total <= most
+    return False
+
+
 def join_short(text: str, chunks: list[Chunk], count: Counter, least: int, most: int) -> list[Chunk]:
-    """Chunks under `least` joined forward to the next one of the same parent heading while the whole stays within `most`."""
+    """Chunks under `least` joined to the one before of the same parent heading while the whole stays within `most`. One
+    that follows a chunk long enough stays where it and those after it reach `least` by themselves."""
+    sizes = [count(c.text) for c in chunks]
     out: list[Chunk] = []
-    for c in chunks:
+    held = 0
+    for i, (c, size) in enumerate(zip(chunks, sizes, strict=True)):
         last = out[-1] if out else None
         near = last is not None and last.path[:-1] == c.path[:-1] and not last.oversized and not c.oversized
-        if near and min(count(last.text), count(c.text)) < least and count(text[last.start : c.end]) <= most:
-            # The headings that both stand under, which may be none.
-            path = last.path if last.path == c.path else last.path[:-1]
-            out[-1] = Chunk(text[last.start : c.end], last.start, c.end, path)
-        else:
-            out.append(c)
+        if near and (held < least or (size < least and not _next_suffice(chunks, i, sizes, least, most))):
+            whole = count(text[last.start : c.end])
+            if whole <= most:
+                out[-1] = Chunk(text[last.start : c.end], last.start, c.end, _shared([last.path, c.path]))
+                held = whole
+                continue
+        out.append(c)
+        held = size
     return out
 
 
@@ -286,6 +367,18 @@ def image_contexts(text: str) -> list[dict]:
     return out
 
 
+def image_references(docs: DataFrame) -> DataFrame:
+    """image_contexts of each of docs(doc_id, text); null texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r | {"doc_id": doc} for doc, t in zip(*batch.to_pydict().values(), strict=True) for r in image_contexts(t or "")]
+            yield pa.RecordBatch.from_pylist(rows, IMAGE_ARROW)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, path string, caption string, heading string, preceding string")
+
+
+IMAGE_ARROW = pa.schema([("doc_id", pa.int64()), *((n, pa.string()) for n in ("path", "caption", "heading", "preceding"))])
 CHUNK_SCHEMA = "doc_id long, role string, parent int, child int, start int, end int, headings string, text string"
 
 

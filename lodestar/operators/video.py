@@ -51,31 +51,67 @@ def frame_fault(light: Column, contrast: Column, sharp: Column, dark: float, bri
 
 def chain_clusters(embeddings: np.ndarray, threshold: float) -> list[int]:
     """Labels of average-linkage agglomeration in which only neighbours in time may merge, while their distance is small."""
-    groups = [[i] for i in range(len(embeddings))]
-    sums = [e.astype(float) for e in embeddings]
-    while len(groups) > 1:
-        # Mean pairwise cosine distance of unit vectors is one less the product of the groups' means.
-        gaps = [1 - (sums[i] / len(groups[i])) @ (sums[i + 1] / len(groups[i + 1])) for i in range(len(groups) - 1)]
-        k = int(np.argmin(gaps))
-        if gaps[k] > threshold:
-            break
-        groups[k] += groups.pop(k + 1)
-        sums[k] = sums[k] + sums.pop(k + 1)
-    return [label for label, g in enumerate(groups) for _ in g]
-
-
-def merge_short(regions: list[tuple[float, float]], least: float = 1000) -> list[tuple[float, float]]:
-    """Regions in time order, those shorter than `least` joined to a neighbour: the next one for the first, else the shorter."""
+    n = len(embeddings)
+    sums, size = np.array(embeddings, dtype=float), np.ones(n)
+    first, following = np.arange(n), np.arange(1, n + 1)
+    # Mean pairwise cosine distance of unit vectors is one less the product of the groups' means. A group is known by its
+    # first frame; gaps[i] is the distance of the group of frame i to the next one.
+    gaps = np.full(n, np.inf)
+    gaps[:-1] = 1 - (sums[:-1] * sums[1:]).sum(axis=1)
+    before = np.arange(-1, n - 1)
+    while n and gaps[k := int(gaps.argmin())] <= threshold:
+        taken = following[k]
+        sums[k] += sums[taken]
+        size[k] += size[taken]
+        first[taken], gaps[taken] = k, np.inf
+        following[k] = following[taken]
+        if following[k] < n:
+            before[following[k]] = k
+        for i in (before[k], k):
+            if i >= 0:
+                j = following[i]
+                gaps[i] = 1 - (sums[i] @ sums[j]) / (size[i] * size[j]) if j < n else np.inf
+    return (np.cumsum(first == np.arange(n)) - 1).tolist()
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
+def _nearer(sums: list[np.ndarray], i: int) -> int:
+    """The neighbour of i in time whose centre is nearer; the earlier one of two."""
+    own = _unit(sums[i])
+    return min((j for j in (i - 1, i + 1) if 0 <= j < len(sums)), key=lambda j: (1 - float(own @ _unit(sums[j])), j))
+
+
+def absorb_runs(labels: list[int], embeddings: np.ndarray, least: int = 2) -> list[int]:
+    """Labels in which runs of fewer than `least` frames have the label of the nearer neighbour, the first one first."""
+    cuts = [i for i in range(len(labels)) if not i or labels[i] != labels[i - 1]]
+    spans = [[labels[a], a, b] for a, b in zip(cuts, [*cuts[1:], len(labels)], strict=True)]
+    sums = [embeddings[a:b].sum(axis=0) for _, a, b in spans]
+    while len(spans) > 1 and (i := next((k for k, (_, a, b) in enumerate(spans) if b - a < least), None)) is not None:
+        spans[i][0] = spans[_nearer(sums, i)][0]
+        # Runs of one label that now meet are one; three of them where both neighbours have it.
+        for j in (i, i - 1):
+            if 0 <= j < len(spans) - 1 and spans[j][0] == spans[j + 1][0]:
+                spans[j][2] = spans.pop(j + 1)[2]
+                sums[j] = sums[j] + sums.pop(j + 1)
+    return [label for label, a, b in spans for _ in range(a, b)]
+
+
+def merge_short(regions: list[tuple[float, float]], least: float = 1000, sums: list[np.ndarray] | None = None) -> list[tuple[float, float]]:
+    """Regions in time order, those shorter than `least` joined to the neighbour whose centre is nearer by the sums of
+    their frames (which are changed alike); without sums, to the shorter one."""
     out = list(regions)
-    while len(out) > 1:
-        short = [i for i, (a, b) in enumerate(out) if b - a < least]
-        if not short:
-            break
-        i = short[0]
-        sides = [j for j in (i - 1, i + 1) if 0 <= j < len(out)]
-        j = min(sides, key=lambda j: (out[j][1] - out[j][0], j))
+    while len(out) > 1 and (i := next((k for k, (a, b) in enumerate(out) if b - a < least), None)) is not None:
+        if sums is not None:
+            j = _nearer(sums, i)
+        else:
+            j = min((j for j in (i - 1, i + 1) if 0 <= j < len(out)), key=lambda j: (out[j][1] - out[j][0], j))
         lo, hi = min(i, j), max(i, j)
         out[lo : hi + 1] = [(out[lo][0], out[hi][1])]
+        if sums is not None:
+            sums[lo] = sums[lo] + sums.pop(hi)
     return out
 
 
@@ -85,28 +121,44 @@ def boundaries(times: list[float], labels: list[int], end: float) -> list[tuple[
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def merge_to_target(durations: list[float], means: np.ndarray, target: float, hard: float, gate: float, stop: float = 0.5) -> list[list[int]]:
-    """Neighbouring regions merged greedily by cost .5 (d / target)² + .5 shift while similarity, length and cost allow."""
+def shift_costs(at: np.ndarray, activity: np.ndarray, ends: list[float], side: float = 1000) -> np.ndarray:
+    """How much activity changes at each end: the medians of log activity within `side` on both sides, between the 10th and
+    90th percentile of all ends. Without frames on a side its level is 0."""
+    if not ends:
+        return np.zeros(0)
+
+    def level(a: float, b: float) -> float:
+        own = activity[np.searchsorted(at, a) : np.searchsorted(at, b)]
+        return math.log1p(float(np.median(own))) if len(own) else 0.0
+
+    raw = np.array([abs(level(e, e + side) - level(e - side, e)) for e in ends])
+    low, high = np.quantile(raw, [0.1, 0.9])
+    return np.clip((raw - low) / max(float(high - low), np.finfo(float).eps), 0, 1)
+
+
+def merge_to_target(
+    durations: list[float], sums: np.ndarray, target: float, hard: float, gate: float, stop: float = 0.5, shifts: np.ndarray | None = None
+) -> list[list[int]]:
+    """Neighbouring regions merged greedily by cost .5 (d / target)² + .5 shift while similarity, length and cost allow.
+
+    sums are those of the regions' frames, shifts the costs of the ends of all regions but the last (none: 0).
+    """
     groups = [[i] for i in range(len(durations))]
     size = [float(d) for d in durations]
-    mean = [m / max(np.linalg.norm(m), 1e-12) for m in means]
+    total = [np.asarray(x, float) for x in sums]
+    shifts = np.zeros(max(len(groups) - 1, 0)) if shifts is None else shifts
     while len(groups) > 1:
-        best = None
+        found = []
         for i in range(len(groups) - 1):
-            similarity, d = float(mean[i] @ mean[i + 1]), size[i] + size[i + 1]
-            if similarity < gate or d > hard:
-                continue
-            cost = 0.5 * (d / target) ** 2 + 0.5 * (1 - similarity)
-            if cost <= stop and (best is None or cost < best[0]):
-                best = (cost, i)
-        if best is None:
+            whole = size[i] + size[i + 1]
+            if whole <= hard and float(_unit(total[i]) @ _unit(total[i + 1])) >= gate:
+                found.append((0.5 * (whole / target) ** 2 + 0.5 * float(shifts[groups[i][-1]]), i))
+        cost, i = min(found, default=(math.inf, 0))
+        if cost > stop:
             break
-        i = best[1]
-        both = mean[i] * size[i] + mean[i + 1] * size[i + 1]
         groups[i] += groups.pop(i + 1)
         size[i] += size.pop(i + 1)
-        mean.pop(i + 1)
-        mean[i] = both / max(np.linalg.norm(both), 1e-12)
+        total[i] = total[i] + total.pop(i + 1)
     return groups
 
 
@@ -146,28 +198,55 @@ def representative_frames(embeddings: np.ndarray, most: int = 3, least_silhouett
 
 
 def frames_of(segments: DataFrame, frames: DataFrame) -> DataFrame:
-    """(segment_id, frame_id): frames in [start, end), with the end for the last segment; else the one nearest the middle."""
-    last = F.max("end").over(Window.partitionBy("video"))
-    seg = segments.withColumn("_last", F.col("end") == last)
-    met = seg.join(frames, "video")
-    inside = (F.col("at") >= F.col("start")) & ((F.col("at") < F.col("end")) | (F.col("_last") & (F.col("at") == F.col("end"))))
-    middle = F.abs(F.col("at") - (F.col("start") + F.col("end")) / 2)
-    got = met.groupBy("segment_id").agg(
-        F.array_sort(F.collect_list(F.when(inside, F.col("frame_id")))).alias("own"), F.min_by("frame_id", F.struct(middle, "frame_id")).alias("near")
-    )
-    return got.select("segment_id", F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(F.array("near"))).alias("frame_id"))
-
+    """(segment_id, frame_id): frames in [start, end), with the end for the last segment; else the one nearest the middle.
 
-def segment_videos(frames: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """(video, segment, start, end) of frames(video, at, embedding): one group function per video, which is bounded by its length."""
+    A video's segments must not overlap. Each frame then meets the latest segment that has begun, by a sort of the video.
+    """
+    last = F.max("end").over(Window.partitionBy("video"))
+    begins = segments.select("video", F.col("start").alias("at"), F.lit(0).alias("turn"), F.struct("segment_id", "end", (F.col("end") == last).alias("last")).alias("seg"))
+    order = Window.partitionBy("video").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    both = begins.unionByName(frames.select("video", "at", F.lit(1).alias("turn"), "frame_id"), allowMissingColumns=True)
+    both = both.withColumn("seg", F.last("seg", ignorenulls=True).over(order))
+    own = both.where("turn = 1 and (at < seg.end or (seg.last and at = seg.end))").select("seg.segment_id", "frame_id")
+
+    middle = ((F.col("start") + F.col("end")) / 2).alias("at")
+    empty = segments.join(own.select("segment_id").distinct(), "segment_id", "left_anti").select("video", middle, "segment_id")
+    points = frames.groupBy("video", F.col("at").cast("double").alias("at")).agg(F.min("frame_id").alias("frame_id"))
+    both = empty.unionByName(points.select("video", "at", F.struct("at", "frame_id").alias("pick")), allowMissingColumns=True)
+    until = Window.partitionBy("video").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    since = Window.partitionBy("video").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("before", F.max("pick").over(until)).withColumn("after", F.min("pick").over(since)).where("segment_id is not null")
+    away = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("away"), F.col(f"{c}.frame_id").alias("frame_id"))) for c in ("before", "after")]
+    near = both.select("segment_id", F.least(*away)["frame_id"].alias("frame_id")).where("frame_id is not null")
+    return own.unionByName(near)
+
+
+def segment_videos(frames: DataFrame, threshold: float | None = None, relaxed: float = 0.05) -> DataFrame:
+    """(video, segment, start, end) in ms of frames(video, at, embedding[, activity]): chains of alike frames, runs of one
+    frame and regions under a second absorbed, then regions merged towards the target duration. Without a threshold each
+    video has the upper quartile of its adjacent distances within [.08, .25]. One group function per video, which is
+    bounded by its length."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         e = np.stack([np.asarray(x, float) for x in pdf["embedding"]])
         e = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
-        times = pdf["at"].astype(float).tolist()
-        regions = merge_short(boundaries(times, chain_clusters(e, threshold), times[-1] + 1))
-        return pd.DataFrame({"video": pdf["video"].iloc[0], "segment": range(len(regions)), "start": [a for a, _ in regions], "end": [b for _, b in regions]})
+        at = pdf["at"].to_numpy(float)
+        limit = threshold
+        if limit is None:
+            limit = float(np.clip(np.quantile(1 - (e[:-1] * e[1:]).sum(axis=1), 0.75), 0.08, 0.25)) if len(e) > 1 else 0.08
+        labels = absorb_runs(chain_clusters(e, limit), e)
+        cuts = [0, *(i for i in range(1, len(labels)) if labels[i] != labels[i - 1])]
+        sums = list(np.add.reduceat(e, cuts))
+        regions = merge_short(boundaries(at.tolist(), labels, float(at[-1]) + 1), sums=sums)
+        activity = pdf["activity"].to_numpy(float) if "activity" in pdf else np.zeros(len(at))
+        target = boundary_ratio((at[-1] + 1) / 1000)
+        groups = merge_to_target(
+            [(b - a) / 1000 for a, b in regions], sums, target, 1.5 * target, float(np.clip(1 - limit - relaxed, -1, 1)),
+            shifts=shift_costs(at, activity, [b for _, b in regions[:-1]]),
+        )
+        spans = [(regions[g[0]][0], regions[g[-1]][1]) for g in groups]
+        return pd.DataFrame({"video": pdf["video"].iloc[0], "segment": range(len(spans)), "start": [a for a, _ in spans], "end": [b for _, b in spans]})
 
     return frames.groupBy("video").applyInPandas(run, "video long, segment int, start double, end double")
 

@@ -79,8 +79,9 @@ def fold_results(d: Domain) -> DataFrame:
 
 @query("video_segments")
 def video_segments(d: Domain) -> DataFrame:
-    """K4 to K7: each label's vectors as a video in order of id."""
-    frames = d.raw("embeddings").select(F.col("label").cast("long").alias("video"), (F.col("vec_id") * 1000).alias("at"), "embedding")
+    """K4 to K7: each label's vectors as a video of two frames a second in order of id."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    frames = d.raw("embeddings").select(F.col("label").cast("long").alias("video"), ((place - 1) * 500).alias("at"), "embedding")
     return video.segment_videos(frames, 0.9)
 
 
@@ -95,7 +96,7 @@ def video_segments(d: Domain) -> DataFrame:
     select m.segment_id, m.frame_id from m join c using (segment_id) where (c.n > 0 and inside) or (c.n = 0 and m.frame_id = c.near)""",
 )
 def segment_frames(d: Domain) -> DataFrame:
-    """A segment's frames, or the nearest one."""
+    """A segment's frames, or the nearest one. Every third event is a frame, so that segments without one exist."""
     e = d.raw("events").withColumn("video", F.col("user_id") % 20).withColumn("k", F.floor(F.col("event_id") / 50).cast("int"))
     seg = e.select("video", "k").distinct().select(
         "video", F.concat(F.col("video").cast("string"), F.lit("_"), F.col("k").cast("string")).alias("segment_id"), (F.col("k") * 50).alias("start"), (F.col("k") * 50 + 50).alias("end")
@@ -147,9 +148,12 @@ def completion_gate(d: Domain) -> DataFrame:
     select f.path, count(*) as n, string_agg(distinct caption, ',' order by caption) as captions from r join f on r.path = f.path group by f.path""",
 )
 def image_contexts(d: Domain) -> DataFrame:
-    """References meet files by normal path; their contexts are collected."""
+    """References of Markdown texts meet files by normal path; their contexts are collected. A third of the
+    documents refer and half of them are files, so that each side lacks some of the other's."""
     docs = d.raw("documents")
-    refs = docs.where("doc_id % 3 = 0").select(text.normal_path(F.concat(F.lit(" "), "lang", F.lit("\\"), "source", F.lit(".md"))).alias("path"), F.col("lang").alias("caption"))
+    body = F.format_string("# %s\n\nSee below.\n\n![%s](%s\\%s.md)", "source", "lang", "lang", "source")
+    refs = chunk.image_references(docs.where("doc_id % 3 = 0").select("doc_id", body.alias("text")))
+    refs = refs.select(text.normal_path(F.col("path")).alias("path"), "caption")
     files = docs.where("doc_id % 2 = 0").select(F.concat("lang", F.lit("/"), "source", F.lit(".md")).alias("path")).distinct()
     met = refs.join(files, "path").groupBy("path")
     return met.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("caption")), ",").alias("captions"))
