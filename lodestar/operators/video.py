@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -87,7 +88,7 @@ def _nearer(sums: list[np.ndarray], i: int) -> int:
 def absorb_runs(labels: list[int], embeddings: np.ndarray, least: int = 2) -> list[int]:
     """Labels in which runs of fewer than `least` frames have the label of the nearer neighbour, the first one first."""
     cuts = [i for i in range(len(labels)) if not i or labels[i] != labels[i - 1]]
-    spans = [[labels[a], a, b] for a, b in zip(cuts, [*cuts[1:], len(labels)], strict=True)]
+    spans = [[labels[a], a, b] for a, b in pairwise([*cuts, len(labels)])]
     sums = [embeddings[a:b].sum(axis=0) for _, a, b in spans]
     while len(spans) > 1 and (i := next((k for k, (_, a, b) in enumerate(spans) if b - a < least), None)) is not None:
         spans[i][0] = spans[_nearer(sums, i)][0]
