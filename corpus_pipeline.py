@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay or go together; an empty table gives an empty one; columns of any name are returned as they are.
     """
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    found = langid.identify(_carried(docs).select("_all", "text"), model)
+    found = langid.identify(_carried(docs).select("_all"), model, within="_all")
     return found.where(found.lang_pred != langid.UNDETERMINED).select("_all.*")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import io
 import posixpath
 import shutil
@@ -183,6 +184,36 @@ def passes(texts: list[str | None], most: int = PASS_CHARS) -> Iterator[tuple[li
         yield rows, parts
 
 
+#: Rows of an Arrow batch of whole texts, where the session leaves Spark's 10,000: JVM and Python hold several batches at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(docs: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """docs.mapInArrow(run, schema) in batches of BATCH_ROWS, after which workers give free memory back.
+
+    Batches are as the session says if it says so. Spark reads the setting when a plan is executed, so it stays.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, "0") == "0":
+        conf.set(_BATCH, str(BATCH_ROWS))
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return docs.mapInArrow(trimmed, schema)
+
+
+def give_back() -> None:
+    """Returns memory that is free within the process to the system; a worker that waits for its next task needs none."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Memo(dict):
     """A two-generation cache of make(key): the younger half is kept when `size` keys are reached.
 

@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PASS_CHARS, read, with_fields
+from .common import PASS_CHARS, map_texts, read, with_fields
 
 UNDETERMINED = "und"
 #: Characters of the blocks that are parsed in lockstep.
@@ -346,12 +347,12 @@ def sample_by_language(
     return {k: " ".join(v) for k, v in out.items()}
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", within: str | None = None) -> DataFrame:
     """docs with lang_pred string, score double (0 to 1) and bits_per_char double.
 
     Every whole text is parsed. Null texts and texts without a letter get 'und', score 0. Where languages tie, the
     alphabetically first wins. Repeated rows get equal answers; an empty table gives an empty table. Columns of `docs`
-    by those three names are replaced.
+    by those three names are replaced. With `within`, the text is the field `text` of that struct column.
     """
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score", "bits_per_char")
@@ -360,11 +361,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     def run(batches):
         classes = shared.value.classes()
         for batch in batches:
-            langs, score, bits = shared.value.predict(batch.column(text).to_pylist(), classes)
+            texts = batch.column(text) if within is None else pc.struct_field(batch.column(within), text)
+            langs, score, bits = shared.value.predict(texts.to_pylist(), classes)
             new = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "bits_per_char"])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "lang_pred string, score double, bits_per_char double"))
+    return map_texts(docs, run, with_fields(docs.schema, "lang_pred string, score double, bits_per_char double"))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, mix, numbered, read, side, word_hash
+from .common import Memo, cut, map_texts, mix, numbered, read, side, word_hash
 from .components import components
 
 WORDS = 5
@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), bands]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_row", "c1", "c2", "bands"])
 
-    return docs.select("doc_id", "_row", "text").mapInArrow(run, "doc_id long, _row long, c1 long, c2 long, bands array<long>")
+    return map_texts(docs.select("doc_id", "_row", "text"), run, "doc_id long, _row long, c1 long, c2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(g.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([uid, sets], ["uid", "shingles"])
 
-    return docs.select("_row", "text").mapInArrow(run, "uid long, shingles array<long>")
+    return map_texts(docs.select("_row", "text"), run, "uid long, shingles array<long>")
 
 
 def links_across(uid: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:

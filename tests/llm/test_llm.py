@@ -7,10 +7,12 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import (
+    common,
     components,
     decontam,
     htmlcut,
@@ -532,3 +534,29 @@ def test_release_deletes_cut_tables(spark):
     assert table.count() == 5 and path.exists()
     common.release(spark)
     assert not path.exists()
+
+
+def test_batches_of_texts_are_small_unless_the_session_says_otherwise(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 2500, 1, 1)
+    before = spark.conf.get(key, "0")
+    try:
+        spark.conf.unset(key)
+        assert [r.n for r in common.map_texts(rows, sizes, "n long").collect()] == [1000, 1000, 500]
+        spark.conf.set(key, "10000")
+        assert [r.n for r in common.map_texts(rows, sizes, "n long").collect()] == [2500]
+    finally:
+        spark.conf.unset(key) if before == "0" else spark.conf.set(key, before)
+
+
+def test_language_of_a_text_within_a_struct(spark):
+    model = langid.LanguageModel.train({"a": "aba abba " * 20, "b": "cdc cddc " * 20})
+    docs = spark.createDataFrame([(1, "abba aba"), (2, "cddc cdc"), (3, None), (4, "12")], "doc_id long, text string")
+    plain = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    inside = langid.identify(docs.selectExpr("struct(doc_id, text) as _all"), model, within="_all")
+    assert {r["_all"].doc_id: r.lang_pred for r in inside.collect()} == plain == {1: "a", 2: "b", 3: "und", 4: "und"}
