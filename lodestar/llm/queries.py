@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmlcut, langid, linedup, packing, probminhash, tokenfile, toxicity, urlcascade, vptree
+from . import decontam, htmlcut, langid, linedup, packing, probminhash, simhash, tokenfile, toxicity, urlcascade, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": htmlcut.op8,
         "op9_decontaminate": decontam.op9,
         "op10_line_dedup": linedup.op10,
+        "op13_simhash": simhash.op13,
     }
 
 
