@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmlcut, langid, linedup, packing, pivots, probminhash, simhash, tokenfile, toxicity, urlcascade, vptree
+from . import decontam, htmlcut, langid, lexical, linedup, packing, pivots, probminhash, simhash, tokenfile, toxicity, urlcascade, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": htmlcut.op8,
         "op9_decontaminate": decontam.op9,
         "op10_line_dedup": linedup.op10,
+        "op11_block_max": lexical.op11,
         "op12_hard_negatives": pivots.op12,
         "op13_simhash": simhash.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": urlcascade.OP2_SQL, "op9_decontaminate": decontam.OP9_SQL, "op12_hard_negatives": pivots.OP12_SQL}
+    return {
+        "op2_url_cascade": urlcascade.OP2_SQL,
+        "op9_decontaminate": decontam.OP9_SQL,
+        "op11_block_max": lexical.OP11_SQL,
+        "op12_hard_negatives": pivots.OP12_SQL,
+    }
