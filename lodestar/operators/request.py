@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ class Filters:
         if self.created_from and self.created_to and self.created_from > self.created_to:
             raise ValueError("created_from is after created_to")
 
+    def seconds(self) -> list[int | None]:
+        return [None if x is None else math.floor(x.timestamp()) for x in (self.created_from, self.created_to)]
+
 
 @dataclass
 class Request:
@@ -169,6 +174,78 @@ def open_channels(
     return [(c, w / total, v) for c, w, v in kept] if reasons else kept, vectors, reasons
 
 
+def _recall(spark: SparkSession, request: Request, queries: list[tuple[str, float, list[float]]], vectors: DataFrame) -> DataFrame:
+    """The hits of the queries in their channels, under what of the filters is pushed into the scan of vectors."""
+    f = request.filters
+    rows = [(i, c, w, v) for i, (c, w, v) in enumerate(queries)]
+    frame = spark.createDataFrame(rows, "query_no int, embedding_type string, weight double, query array<double>")
+    first, last = f.seconds()
+    vectors = search.prefilter(vectors, request.workspace_id, f.asset_types, f.sources, created_from=first, created_to=last)
+    return search.recall(frame, vectors, search.channel_limit(request.top_k))
+
+
+_HIT = "embedding_type string, weight double, rank int, embedding_id string, asset_id string, score double"
+
+
+def recall_channels(
+    spark: SparkSession, request: Request, queries: list[tuple[str, float, list[float]]], open_: Callable[[str], DataFrame]
+) -> tuple[list[tuple[str, float, list[float]]], DataFrame, list[str]]:
+    """(queries, hits, reasons): every channel's recall as an action of its own, all at once; a channel that fails leaves.
+
+    A channel fails when it is opened, or when its rows are read: a file that is lost or broken, a store that does not
+    answer, vectors of another shape. The others' hits stay, and their weights are scaled to a sum of one, which keeps
+    their order. If every channel fails, the search does. A channel has channel_limit() hits at most, 100, which are
+    fetched; what follows reads them from there, so no channel is read twice.
+    """
+
+    def one(query: tuple[str, float, list[float]]) -> list | Exception:
+        channel = query[0]
+        try:
+            own = open_(channel).where(F.col("embedding_type") == channel)
+            hits = _recall(spark, request, [query], own)
+            return [tuple(r) for r in hits.select(*[c.split()[0] for c in _HIT.split(", ")]).collect()]
+        except Exception as error:  # any failure of a channel's store degrades the search
+            return error
+
+    with ThreadPoolExecutor(len(queries)) as pool:
+        outcomes = list(pool.map(inheritable_thread_target(spark)(one), queries))
+    failed = [isinstance(x, Exception) for x in outcomes]
+    reasons = [f"channel {q[0]} failed: {_brief(x)}" for q, x in zip(queries, outcomes, strict=True) if isinstance(x, Exception)]
+    if all(failed):
+        raise RuntimeError("every channel failed: " + "; ".join(reasons))
+    total = sum(w for (_, w, _), gone in zip(queries, failed, strict=True) if not gone) if reasons else 1.0
+    kept = [(c, w / total, v) for (c, w, v), gone in zip(queries, failed, strict=True) if not gone]
+    hits = [(c, w / total, *rest) for rows, gone in zip(outcomes, failed, strict=True) if not gone for c, w, *rest in rows]
+    return kept, spark.createDataFrame(hits, _HIT), reasons
+
+
+def _brief(error: Exception) -> str:
+    return f"{type(error).__name__}: {str(error).strip().splitlines()[0][:200] if str(error).strip() else ''}"
+
+
+def search_isolated(
+    spark: SparkSession,
+    request: Request,
+    queries: list[tuple[str, float, list[float]]],
+    open_: Callable[[str], DataFrame],
+    t: Tables,
+    relevance: DataFrame | None = None,
+    features: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(results, clusters, reasons) of run(), but that channels, and then the clusters, may fail without the results.
+
+    Clusters, CLUSTER_TOP_K at most, are fetched; if that fails there are none, for a reason. t.vectors is not read.
+    """
+    queries, hits, reasons = recall_channels(spark, request, queries, open_)
+    results, clusters = run(spark, request, queries, t, relevance, features, hits)
+    try:
+        clusters = spark.createDataFrame(clusters.collect(), clusters.schema)
+    except Exception as error:  # the roll-up's tables are not the results'
+        clusters = spark.createDataFrame([], "cluster_id string, cluster_score double")
+        reasons.append(f"cluster result aggregation failed: {_brief(error)}")
+    return results, clusters, list(dict.fromkeys(reasons))
+
+
 def run(
     spark: SparkSession,
     request: Request,
@@ -176,22 +253,20 @@ def run(
     t: Tables,
     relevance: DataFrame | None = None,
     features: DataFrame | None = None,
+    hits: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(results, clusters) of a search, lazily: recall, fusion, validation, filters, reranking, folding, roll-up.
+    """(results, clusters) of a search, lazily: recall (or the hits given), fusion, validation, filters, reranking, folding, roll-up.
 
     results: position, asset_id, folded, score, reason, matched_feature. Blocks and times by which results fold are the
     assets' own parent_no, block_index, start_ms and end_ms. Candidates are validated once more after reranking, whose
-    order stays: what is no longer live, or not of the request's types, goes. `features` has (asset_id, embedding_type,
+    order stays: what is no longer live, current, or of the request's types, goes. `features` has (asset_id, embedding_type,
     text) for matched_feature. Filters by favourite, cluster and time hold after recall, so a selective one may leave
     fewer than top_k results.
     """
     f = request.filters
-    seconds = [None if x is None else math.floor(x.timestamp()) for x in (f.created_from, f.created_to)]
-    rows = [(i, c, w, v) for i, (c, w, v) in enumerate(queries)]
-    frame = spark.createDataFrame(rows, "query_no int, embedding_type string, weight double, query array<double>")
-    vectors = search.prefilter(t.vectors, request.workspace_id, f.asset_types, f.sources, created_from=seconds[0], created_to=seconds[1])
-    hits = search.recall(frame, vectors, search.channel_limit(request.top_k))
-    live = search.prefilter(assets.live(t.assets, t.sources, request.workspace_id), asset_types=f.asset_types, created_from=seconds[0], created_to=seconds[1])
+    hits = _recall(spark, request, queries, t.vectors) if hits is None else hits
+    first, last = f.seconds()
+    live = search.prefilter(assets.live(t.assets, t.sources, request.workspace_id), asset_types=f.asset_types, created_from=first, created_to=last)
     found = search.validate(search.fuse(hits, request.fusion), live, t.records)
     found = search.only_favorites(found, t.favorites, f.favorite, request.workspace_id, request.user)
     if f.cluster_id:
@@ -200,7 +275,8 @@ def run(
     found = found.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "asset_id")))
     if relevance is not None:
         found = search.rerank(found, relevance).drop("pos", "relevance").withColumnRenamed("new_pos", "pos")
-    # The second validation: an inner join, which keeps pos.
+    # The second validation keeps pos.
+    found = search.revalidate(found, live, t.records)
     shown = live.select("asset_id", "index_role", F.col("parent_no").alias("parent"), F.col("block_index").alias("block"), "start_ms", "end_ms")
     rows = found.join(shown, "asset_id")
     if f.asset_types:

@@ -148,6 +148,18 @@ def validate(fused: DataFrame, live_assets: DataFrame, records: DataFrame, model
     )
 
 
+def revalidate(found: DataFrame, live_assets: DataFrame, records: DataFrame, models: tuple[str, ...] = ()) -> DataFrame:
+    """validate() of rows that have been: evidence that is no longer current goes, scores are the sums of the rest.
+
+    An asset left without evidence, or no longer live, goes. All other columns, the order of a reranking among them, stay.
+    """
+    state = indexed(records, models).select("embedding_id", F.col("embedding_revision").alias("_revision"))
+    own = live_assets.select("asset_id", F.col("embedding_revision").alias("_own"))
+    met = found.select("asset_id", F.explode("evidence").alias("e")).join(state, F.col("e.embedding_id") == F.col("embedding_id")).join(own, "asset_id")
+    still = met.where("_revision = _own").groupBy("asset_id").agg(F.sum(-F.col("e.order")).alias("_score"), F.array_sort(F.collect_list("e")).alias("_evidence"))
+    return found.join(still, "asset_id").withColumns({"score": F.col("_score"), "evidence": F.col("_evidence")}).drop("_score", "_evidence")
+
+
 def matched_feature(evidence: Column, texts: Column) -> Column:
     """The text of the first feature channel of the evidence that has one; texts is a map by channel."""
     feature = F.filter(evidence, lambda e: ~e["embedding_type"].isin("native", "description") & texts[e["embedding_type"]].isNotNull())

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import assets, assign, checks, history, request, search, vector
 from ..operators import text as text_
-from .domain import WORKSPACE, Domain, ctes
+from ..tables import Scratch
+from .domain import CHANNELS, WORKSPACE, Domain, ctes
 from .pipeline_queries import FOLD_SQL, RANKED_SQL
 from .registry import query
 from .search_queries import ASSIGN, FULL, _cos
@@ -41,6 +42,31 @@ def search_end_to_end(d: Domain) -> DataFrame:
     return results.withColumn("folded", F.array_join("folded", ",")).withColumn("score", F.round("score", 9))
 
 
+_LEFT = "(select ch, embedding_type, query, case ch when 0 then 4 when 1 then 3 else 2 end / 9.0e0 as weight from queries where ch < 3) q"
+
+
+@query(
+    "search_channel_lost",
+    f"""{FULL.replace("with ", "with recursive ", 1).replace("join queries q", f"join {_LEFT}")}, {RANKED_SQL}, {FOLD_SQL}
+    select f.position, f.asset_id, f.folded, round(v.score, 9) as score, 'visual_style' as lost from folded f join valid v using (asset_id)""",
+)
+def search_channel_lost(d: Domain) -> DataFrame:
+    """four channels, of which one has files that cannot be read: the results of the other three, and why."""
+    own = request.Request(WORKSPACE, "text", "query", channels=CHANNELS)
+    vectors = {r["embedding_type"]: list(r["query"]) for r in d.queries.collect()}  # four query vectors
+    weights = dict(zip(CHANNELS, (4, 3, 2, 1), strict=True))
+    made = iter(own.channels)
+    queries, _ = request.embed(request.plan(own, lambda r: (dict(zip(CHANNELS, CHANNELS, strict=True)), weights)), lambda s, q: vectors[next(made)])
+    t = request.Tables(d.vectors, d.assets, d.source_files, d.embedding_records, d.favorites, d.cluster_members, d.clusters)
+    with Scratch(d.spark) as scratch:
+        broken = scratch.path("broken_channel")
+        d.vectors.where("ch = 3").select("embedding_id").write.text(broken)  # no Parquet: opens, and fails when read
+        opened = {"visual_style": d.spark.read.schema(d.vectors.schema).parquet(broken)}
+        results, _, reasons = request.search_isolated(d.spark, own, queries, lambda channel: opened.get(channel, d.vectors), t)
+    lost = ",".join(r.split()[1] for r in reasons)
+    return results.select("position", "asset_id", F.array_join("folded", ",").alias("folded"), F.round("score", 9).alias("score"), F.lit(lost).alias("lost"))
+
+
 @query(
     "vector_lookup",
     f"{ctes('vectors')} select embedding_id, asset_id from vectors where doc_id % 6 = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0",
