@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -50,3 +52,33 @@ def counted(vectors: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 def lookup(vectors: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """vectors whose embedding_id is in ids(embedding_id), each id once; invalid ones are silently left out."""
     return vectors.where(is_valid("embedding", size)).join(ids.select("embedding_id").distinct(), "embedding_id", "left_semi")
+
+
+#: The fields that a table of vectors must have.
+FIELDS = (
+    "embedding_id", "workspace_id", "project_id", "asset_id", "source_file_id", "asset_type", "file_type", "embedding_type", "model_name",
+    "embedding_revision", "created_at_ts", "vector",
+)
+
+
+def ensure_table(spark: SparkSession, path: str, dimension: int, schema: T.StructType) -> bool:
+    """True if a table of vectors was made at path, false if one was there and fits.
+
+    One that lacks fields of FIELDS is made anew if it has no row, else it is an error, as is a vector of another
+    dimension: one that is there is looked for, and the search ends at the first. schema is that of a new table.
+    """
+    if missing := sorted(set(FIELDS) - set(schema.fieldNames())):
+        raise ValueError(f"the schema misses fields {missing}")
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:  # no table, or one without a file
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        return True
+    if missing := sorted(set(FIELDS) - set(table.columns)):
+        if not table.isEmpty():
+            raise ValueError(f"the table at {path} misses fields {missing} and has rows; migrate it before searching")
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        return True
+    if wrong := table.where(F.size("vector") != dimension).select(F.size("vector")).first():
+        raise ValueError(f"the table at {path} has vectors of dimension {wrong[0]}, expected {dimension}")
+    return False

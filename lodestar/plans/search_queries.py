@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import assets, assign, search, vector
+from ..operators import assets, assign, graph, search, vector
+from ..tables import Scratch
 from .domain import MODEL, WORKSPACE, Domain, ctes
 from .registry import query
 
@@ -77,6 +78,38 @@ def recall_filtered(d: Domain) -> DataFrame:
     return search.recall(d.queries, rows, LIMIT).select("embedding_type", "asset_id", "rank", F.round("score", 6).alias("score"))
 
 
+_SHARES = (1, 10, 100)
+
+
+@query(
+    "recall_graph",
+    f"""{ctes('queries', 'vectors')}, every as (select unnest([1, 10, 100]) as percent)
+    select percent, v.embedding_type, least(count(*), {LIMIT}) as n_exact, cast(0 as bigint) as n_outside, true as recall_fine
+    from vectors v join queries q on v.embedding_type = q.embedding_type, every
+    where v.workspace_id = 'ws1' and v.doc_id % (100 // percent) = 0 group by percent, v.embedding_type""",
+)
+def recall_graph(d: Domain) -> DataFrame:
+    """recall over small-world graphs under filters of 1, 10 and 100 percent, held against the exact recall."""
+    with Scratch(d.spark) as scratch:
+        index = scratch.cut(graph.index(d.vectors), "graphs")
+        out = None
+        for percent in _SHARES:
+            every = 100 // percent
+            found = graph.recall(index, d.queries, LIMIT, lambda p, n=every: (p["workspace_id"] == WORKSPACE) & (p["doc_id"] % n == 0))
+            admitted = search.prefilter(d.vectors, WORKSPACE).where(F.col("doc_id") % every == 0)
+            exact = search.recall(d.queries, admitted, LIMIT).select("embedding_type", "embedding_id", F.lit(1).alias("exact"))
+            inside = admitted.select("embedding_id", F.lit(1).alias("inside"))
+            met = exact.join(found.select("embedding_type", "embedding_id", F.lit(1).alias("found")), ["embedding_type", "embedding_id"], "full").join(inside, "embedding_id", "left")
+            told = met.groupBy("embedding_type").agg(
+                F.count("exact").alias("n_exact"),
+                F.count_if(F.col("found").isNotNull() & F.col("inside").isNull()).alias("n_outside"),
+                (F.count_if(F.col("exact").isNotNull() & F.col("found").isNotNull()) >= 0.9 * F.count("exact")).alias("recall_fine"),
+            )
+            told = told.select(F.lit(percent).alias("percent"), "*")
+            out = told if out is None else out.unionByName(told)
+        return scratch.keep(out, "graph_recall")
+
+
 @query("weights_normalised", f"{ctes('queries')} select embedding_type, round(weight / sum(weight) over (), 9) as weight from queries where ch < 3")
 def weights_normalised(d: Domain) -> DataFrame:
     """Weights of the channels left, over their sum."""

@@ -51,3 +51,96 @@ def test_revalidation_keeps_order_and_drops_stale_evidence(spark):
     )
     got = {r.asset_id: (r.pos, round(r.score, 9), [e.embedding_id for e in r.evidence]) for r in search.revalidate(found, live, records).collect()}
     assert got == {"a": (3, 0.2, ["e2"]), "b": (1, 0.4, ["e3"])}
+
+
+def points(n, d, seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    centers = r.normal(size=(12, d))
+    return centers[r.integers(0, 12, n)] + 0.7 * r.normal(size=(n, d))
+
+
+def test_graph_links_reach_every_row_and_are_bounded():
+    import numpy as np
+
+    from lodestar.operators import graph
+
+    x = points(700, 16, 1)
+    x[:3] = -50 * x[:3]  # far from all others
+    x[10:30] = x[10]  # equal rows
+    ids = [f"e{i}" for i in range(700)]
+    starts, targets = graph.Graph.build(x, ids)
+    g = graph.Graph(x, starts, targets)
+    assert len(g.starts) >= 2
+    seen, todo = {g.entry}, [g.entry]
+    while todo:
+        new = set(g.near(0, todo.pop()).tolist()) - seen
+        seen |= new
+        todo += new
+    assert len(seen) == 700
+    sizes = np.diff(g.starts[0])
+    assert (sizes > 2 * graph.LINKS).sum() < 20 and sizes.max() < 4 * graph.LINKS
+
+
+@pytest.mark.parametrize("percent", [1, 10, 100])
+def test_walks_find_admitted_rows_only_and_nearly_all(percent):
+    import numpy as np
+
+    from lodestar.operators import graph
+
+    x, queries = points(3000, 32, 2), points(40, 32, 3)
+    starts, targets = graph.Graph.build(x, [f"e{i}" for i in range(3000)])
+    g = graph.Graph(x, starts, targets)
+    admitted = np.random.default_rng(4).random(3000) < percent / 100
+    hit = total = 0
+    for q in queries / np.linalg.norm(queries, axis=1, keepdims=True):
+        found = g.search(q, admitted, 128)[:20]
+        assert admitted[found].all() and len(set(found)) == len(found)
+        want = [i for i in np.argsort(-(g.x @ q), kind="stable") if admitted[i]][:20]
+        hit, total = hit + len(set(found) & set(want)), total + len(want)
+    assert hit / total >= 0.97
+
+
+def test_recall_over_several_shards(spark):
+    from lodestar.operators import graph
+
+    rows = [
+        (f"{c}{i}", f"a{i}", c, v.tolist(), "w" if i % 10 else "v", i, 1)
+        for c, seed in (("native", 5), ("subject", 6)) for i, v in enumerate(points(900, 8, seed))
+    ]
+    rows += [("zero", "z", "native", [0.0] * 8, "v", 1, 1), ("null", "z", "native", None, "v", 1, 1)]
+    table = spark.createDataFrame(rows, "embedding_id string, asset_id string, embedding_type string, embedding array<double>, workspace_id string, n int, embedding_revision int")
+    asked = spark.createDataFrame(
+        [(0, "native", 0.5, [1.0] * 8), (1, "subject", 0.3, [-1.0] + [0.5] * 7), (2, "native", 0.2, [0.0] * 8), (3, "other", 0.1, [1.0] * 8), (4, "native", 0.1, [1.0])],
+        "query_no int, embedding_type string, weight double, query array<double>",
+    )
+    index = graph.index(table, shard=200).cache()
+    assert 6 <= index.count() <= 10 and index.select(F.sum(F.size("payload"))).first()[0] == 1800
+    for admit, exact in ((None, table), (lambda p: p["workspace_id"] == "v", table.where("workspace_id = 'v'"))):
+        got = {(r.query_no, r["rank"], r.embedding_id, round(r.score, 9), r.asset_id, r.weight) for r in graph.recall(index, asked, 15, admit).collect()}
+        want = search.recall(asked.where("query_no < 2"), exact, 15).collect()
+        want = {(r.query_no, r["rank"], r.embedding_id, round(r.score, 9), r.asset_id, r.weight) for r in want}
+        assert len(want) == 30 and len(got & want) >= 27 and len(got) == 30
+    index.unpersist()
+
+
+def test_a_vector_table_is_made_or_must_fit(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from lodestar.operators import vector
+
+    schema = T.StructType([T.StructField(f, T.ArrayType(T.FloatType()) if f == "vector" else T.LongType() if f == "created_at_ts" else T.StringType()) for f in vector.FIELDS])
+    path = str(tmp_path / "vectors")
+    assert vector.ensure_table(spark, path, 2, schema) and not vector.ensure_table(spark, path, 2, schema)
+    row = [[1.0, 2.0] if f == "vector" else 1 if f == "created_at_ts" else "x" for f in vector.FIELDS]
+    spark.createDataFrame([row], schema).write.mode("append").parquet(path)
+    assert not vector.ensure_table(spark, path, 2, schema)
+    with pytest.raises(ValueError, match="dimension 2, expected 3"):
+        vector.ensure_table(spark, path, 3, schema)
+    old = str(tmp_path / "old")
+    spark.createDataFrame([], "embedding_id string").write.parquet(old)
+    assert vector.ensure_table(spark, old, 2, schema) and "vector" in spark.read.parquet(old).columns
+    spark.createDataFrame([("e",)], "embedding_id string").write.mode("overwrite").parquet(old)
+    with pytest.raises(ValueError, match="has rows"):
+        vector.ensure_table(spark, old, 2, schema)
