@@ -1,7 +1,6 @@
 """Deterministic chunking of plain text and Markdown into token-bounded blocks.
 
-The scanners are small pure functions over one document; chunk_documents applies them in Arrow batches. Markdown is read
-as a subset of CommonMark: ATX and setext headings, fences, lists, tables, quotes, rules and paragraphs.
+The scanners are small pure functions over one document; chunk_documents applies them in Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,17 +13,16 @@ from itertools import islice, pairwise, takewhile
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import markdown
+
 Counter = Callable[[str], int]
 MAX_TEXT = 400
 CHILD_MIN, CHILD_TARGET, CHILD_MAX, MERGE_MAX, PARENT_MAX = 250, 400, 500, 600, 2000
 _TEXT_SENTENCE = re.compile(r"[^。！？；;.!?]*(?:[。！？；;]+|[.!?]+(?:\s+|$)|[.!?]+|$)")
-_MARKDOWN_SENTENCE = re.compile(r".*?(?:[。！？；;.!?]+(?=\s|$)|$)", re.S)
+_MARKDOWN_SENTENCE = re.compile(r"[。！？!?；;]+(?:\s+|$)|[.!?]+\s+")
+_MARKDOWN_ITEM = re.compile(r"^ {0,3}(?:[-+*]|\d+[.)])\s+", re.M)
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
-_ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#*)?[ \t]*$")
-_SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
-_RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _ITEM = re.compile(r"^ {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]+")
-_TABLE_RULE = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 
 
 @dataclass
@@ -151,67 +149,21 @@ def chunk_text(text: str, count: Counter = len, most: int = MAX_TEXT) -> list[Ch
 
 
 def markdown_nodes(text: str) -> list[Node]:
-    """Top-level blocks in order."""
-    rows = _lines(text)
-    out: list[Node] = []
-    i = 0
+    """Top-level blocks in order, line ends included; blocks of HTML and link definitions are none."""
+    return [Node(b.kind, start, end, b.level, markdown.plain(b.title)) for b, start, end in markdown.blocks(text) if b.kind != "html"]
 
-    def blank(k: int) -> bool:
-        return not rows[k][2].strip()
 
-    while i < len(rows):
-        a, b, line = rows[i]
-        if blank(i):
-            i += 1
-            continue
-        if m := _FENCE.match(line):
-            k = i + 1
-            while k < len(rows) and not ((e := _FENCE.match(rows[k][2])) and e[1][0] == m[1][0] and len(e[1]) >= len(m[1])):
-                k += 1
-            k = min(k, len(rows) - 1)
-            out.append(Node("fence", a, rows[k][1]))
-            i = k + 1
-            continue
-        if m := _ATX.match(line):
-            out.append(Node("heading", a, b, len(m[1]), (m[2] or "").strip()))
-            i += 1
-            continue
-        if _RULE.match(line):
-            out.append(Node("rule", a, b))
-            i += 1
-            continue
-        if i + 1 < len(rows) and "|" in line and "|" in rows[i + 1][2] and _TABLE_RULE.match(rows[i + 1][2]):
-            k = i + 1
-            while k + 1 < len(rows) and not blank(k + 1) and "|" in rows[k + 1][2]:
-                k += 1
-            out.append(Node("table", a, rows[k][1]))
-            i = k + 1
-            continue
-        kind = "list" if _ITEM.match(line) else "quote" if line.lstrip().startswith(">") else "code" if line.startswith(("    ", "\t")) else "paragraph"
-        k = i
-        while k + 1 < len(rows):
-            following = rows[k + 1][2]
-            if kind == "paragraph" and (m := _SETEXT.match(following)) and not blank(k):
-                break
-            if blank(k + 1):
-                more = kind in ("list", "code") and k + 2 < len(rows) and not blank(k + 2)
-                if more and (rows[k + 2][2].startswith(("  ", "\t")) or (kind == "list" and _ITEM.match(rows[k + 2][2]))):
-                    k += 2
-                    continue
-                break
-            if _ATX.match(following) or _FENCE.match(following) or (_RULE.match(following) and kind != "list"):
-                break
-            if kind == "paragraph" and (_ITEM.match(following) or following.lstrip().startswith(">")):
-                break
-            k += 1
-        if kind == "paragraph" and k + 1 < len(rows) and (m := _SETEXT.match(rows[k + 1][2])):
-            title = " ".join(r[2].strip() for r in rows[i : k + 1])
-            out.append(Node("heading", a, rows[k + 1][1], 1 if m[1][0] == "=" else 2, title))
-            i = k + 2
-            continue
-        out.append(Node(kind, a, rows[k][1]))
-        i = k + 1
-    return out
+def _markdown_atoms(text: str, node: Node, count: Counter, most: int) -> list[tuple[int, int]]:
+    """The node, or, if it is too large, a paragraph's sentences or a list's items, with the space after them."""
+    if count(text[node.start : node.end]) <= most:
+        return [(node.start, node.end)]
+    starts = [node.start]
+    if node.kind == "paragraph":
+        starts += [m.end() for m in _MARKDOWN_SENTENCE.finditer(text, node.start, node.end)]
+    elif node.kind == "list":
+        starts += [m.start() for m in _MARKDOWN_ITEM.finditer(text, node.start, node.end)]
+    starts = sorted({a for a in starts if a < node.end})
+    return list(pairwise([*starts, node.end]))
 
 
 def _with_paths(nodes: list[Node]) -> list[Node]:
@@ -244,10 +196,8 @@ def pack_section(text: str, nodes: list[Node], count: Counter, least: int, targe
     with the next atom, and before an atom with which a rest under `least` fits. Sizes are sums over atoms."""
     atoms = []
     for node in nodes:
-        whole = [(node.start, node.end, None)]
-        own = _atoms(text, node, count, most, _MARKDOWN_SENTENCE) if node.kind in ("paragraph", "list") else whole
         reason = _REASONS.get(node.kind, "indivisible_content_node")
-        atoms += [(a, b, reason if count(text[a:b]) > most else None, node.path) for a, b, _ in own]
+        atoms += [(a, b, reason if count(text[a:b]) > most else None, node.path) for a, b in _markdown_atoms(text, node, count, most)]
     sizes = [count(text[a:b]) for a, b, _, _ in atoms]
     rest = sum(sizes)
     out: list[Chunk] = []
@@ -367,6 +317,25 @@ def image_contexts(text: str) -> list[dict]:
     return out
 
 
+def block_table(docs: DataFrame) -> DataFrame:
+    """The top-level blocks of docs(doc_id, text): doc_id, kind, first and last (offsets), level, headings they stand under.
+
+    A null text, or one without a block, has no row; a text is read whole in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                nodes = _with_paths(markdown_nodes(text.as_py() or ""))
+                rows = [{"doc_id": doc, "kind": n.kind, "first": n.start, "last": n.end, "level": n.level, "headings": list(n.path)} for n in nodes]
+                yield pa.RecordBatch.from_pylist(rows, _BLOCKS)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, first long, last long, level int, headings array<string>")
+
+
+_BLOCKS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("level", pa.int32()), ("headings", pa.list_(pa.string()))])
+
+
 def image_references(docs: DataFrame) -> DataFrame:
     """image_contexts of each of docs(doc_id, text); null texts have none."""
 
