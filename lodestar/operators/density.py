@@ -6,6 +6,7 @@ a larger group is an error instead of a silent sample.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,20 +62,24 @@ def _distances(x: np.ndarray) -> np.ndarray:
 
 
 def spanning_tree(reach: np.ndarray) -> np.ndarray:
-    """Edges (a, b, weight) of a minimum spanning tree, by weight."""
+    """Edges (a, b, weight) of the minimum spanning tree, by weight. Equal weights go by the smaller, then the larger end.
+
+    Mutual reachabilities are often equal, and trees of another order would give other clusters: this order makes it one.
+    """
     n = len(reach)
-    best, source = np.full(n, np.inf), np.zeros(n, int)
-    free = np.ones(n, bool)
+    best, low, high = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, int)
+    free, every = np.ones(n, bool), np.arange(n)
     at, out = 0, []
     for _ in range(n - 1):
         free[at] = False
-        closer = free & (reach[at] < best)
-        best[closer], source[closer] = reach[at][closer], at
-        nxt = int(np.where(free, best, np.inf).argmin())
-        out.append((source[nxt], nxt, best[nxt]))
-        at = nxt
+        a, b, w = np.minimum(every, at), np.maximum(every, at), reach[at]
+        closer = free & ((w < best) | ((w == best) & ((a < low) | ((a == low) & (b < high)))))
+        best[closer], low[closer], high[closer] = w[closer], a[closer], b[closer]
+        least = np.flatnonzero(free & (best == best[free].min()))
+        at = int(least[np.lexsort((high[least], low[least]))[0]])
+        out.append((low[at], high[at], best[at]))
     tree = np.array(out).reshape(-1, 3)
-    return tree[np.argsort(tree[:, 2], kind="stable")]
+    return tree[np.lexsort((tree[:, 1], tree[:, 0], tree[:, 2]))]
 
 
 def _dendrogram(tree: np.ndarray, n: int) -> tuple[list[tuple[int, int]], list[float], list[int]]:
@@ -113,9 +118,9 @@ def condensed(tree: np.ndarray, n: int, least: int) -> list[tuple[int, int, floa
         return out
 
     rows, next_id = [], n + 1
-    todo = [(2 * n - 2, n)]
+    todo = deque([(2 * n - 2, n)])
     while todo:
-        node, own = todo.pop(0)
+        node, own = todo.popleft()
         lam = 1 / height[node - n] if height[node - n] > 0 else np.inf
         sides = children[node - n]
         large = [s for s in sides if size[s] >= least]
@@ -185,6 +190,14 @@ def cluster(x: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.nd
     d = _distances(x)
     core = np.partition(d, min(p.min_samples, n - 1), axis=1)[:, min(p.min_samples, n - 1)]
     tree = spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None, :])))
+    return *labels_of(tree, n, p), tree
+
+
+def labels_of(tree: np.ndarray, n: int, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, probabilities) of n points by their minimum spanning tree, whose edges are in the order of their weights."""
+    labels, probability = np.full(n, -1), np.zeros(n)
+    if n < 2:
+        return labels, probability
     rows = condensed(tree, n, p.min_cluster_size)
     chosen = select(rows, n, p.method, p.epsilon)
     number = {c: i for i, c in enumerate(chosen)}
@@ -201,7 +214,7 @@ def cluster(x: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.nd
             labels[c] = number[q]
             most = top[q]
             probability[c] = 1.0 if most == 0 or not np.isfinite(lam) or not np.isfinite(most) else min(lam, most) / most
-    return labels, probability, tree
+    return labels, probability
 
 
 def relative_validity(labels: np.ndarray, tree: np.ndarray) -> float:

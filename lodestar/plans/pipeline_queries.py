@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import assets, chunk, density, fold, search, text, video
+from ..operators import assets, chunk, density, fold, search, spanning, text, video
 from ..streaming import jobs
+from ..tables import Scratch
 from .domain import WORKSPACE, Domain, ctes
 from .registry import query
 from .search_queries import FULL, LIVE_SQL, _hits
@@ -18,6 +19,27 @@ def chunk_markdown(d: Domain) -> DataFrame:
     return chunk.chunk_documents(d.raw("documents"))
 
 
+_MARKED = """select doc_id, array_join(transform(split(text, '\n'), (s, i) -> case i % 4 when 0 then concat('# x', s) when 1 then concat('x', s, '\n')
+    when 2 then concat('- x', s, '\n') else concat('> x', s) end), '\n') as text from {documents} where text is not null"""
+
+
+@query(
+    "markdown_bounds",
+    """with lines as (select doc_id, i, parts[i + 1] as s, len(parts) as n
+        from (select doc_id, parts, unnest(range(len(parts))) as i from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null))),
+    marked as (select *, length(s) + case i % 4 when 0 then 4 when 1 then 3 when 2 then 5 else 4 end as size from lines),
+    placed as (select *, cast(sum(size) over (partition by doc_id order by i) - size as bigint) as a from marked)
+    select doc_id, case i % 4 when 0 then 'heading' when 1 then 'paragraph' when 2 then 'list' else 'quote' end as kind,
+        a as first, cast(a + size - case when i % 4 = 1 or i = n - 1 then 1 else 0 end as bigint) as last,
+        cast(case i % 4 when 0 then 1 else 0 end as int) as level
+    from placed""",
+)
+def markdown_bounds(d: Domain) -> DataFrame:
+    """H5: the bounds of top-level blocks, over every document with its lines made headings, paragraphs, items and quotes."""
+    marked = d.spark.sql(_MARKED, documents=d.raw("documents"))
+    return chunk.block_table(marked).select("doc_id", "kind", "first", "last", "level")
+
+
 @query("chunk_identity")
 def chunk_identity(d: Domain) -> DataFrame:
     """Asset keys and content hashes of blocks, with the parent's key."""
@@ -44,6 +66,33 @@ def cluster_run_summary(d: Domain) -> DataFrame:
     )
 
 
+@query(
+    "core_distance",
+    """select vec_id, round(d, 9) as core from (select a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+            lambda p: (cast(p[1] as double) - cast(p[2] as double)) ** 2))) as d, row_number() over (partition by a.vec_id order by d) as n
+        from embeddings a join embeddings b on a.vec_id <> b.vec_id) where n = 3""",
+)
+def core_distance(d: Domain) -> DataFrame:
+    """The distance of every vector to its third nearest other, by blocks of near ones."""
+    with Scratch(d.spark) as scratch:
+        points = scratch.cut(d.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("y")), "points")
+        blocks = spanning.Blocks(points, scratch)
+        spanning.core_distances(blocks, 3)
+        out = scratch.keep(spanning.core_table(blocks), "core")
+    return out.select(F.col("id").alias("vec_id"), F.round("core", 9).alias("core"))
+
+
+@query("cluster_blobs", "select vec_id, min(vec_id) over (partition by label) as cluster, 0.0e0 as noise from embeddings")
+def cluster_blobs(d: Domain) -> DataFrame:
+    """The clusters of all embeddings, drawn apart by label, through the spanning tree of blocks; the share of noise."""
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    apart = F.concat(kinds, F.transform("embedding", lambda v: v.cast("double") * 0.1))
+    found = spanning.cluster_table(d.raw("embeddings").select(F.col("vec_id").alias("id"), apart.alias("x")), None)
+    first = found.groupBy("label").agg(F.min("id").alias("cluster"))
+    noise = found.agg(F.avg((F.col("label") < 0).cast("double")).alias("noise"))
+    return found.join(first, "label").crossJoin(noise).select(F.col("id").alias("vec_id"), "cluster", "noise")
+
+
 #: The fold as a recursion over the ranked rows: a list of results is carried from row to row.
 FOLD_SQL = """state(pos, heads) as (
     select cast(0 as bigint), cast([] as struct(asset_id varchar, src varchar, role varchar, parent bigint, kind varchar, block int, s bigint, e bigint, folded varchar[])[])

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import io
+import posixpath
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
@@ -66,3 +70,23 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Writes a file under a name of its own and moves it into place, so that a task that runs twice does no harm."""
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    own, final = posixpath.join(path, f".{name}.{uuid.uuid4().hex}"), posixpath.join(path, name)
+    with fs.open_output_stream(own) as f:
+        f.write(data.getvalue())
+    if not isinstance(fs, pyarrow.fs.LocalFileSystem) and fs.get_file_info(final).type != pyarrow.fs.FileType.NotFound:
+        fs.delete_file(final)
+    fs.move(own, final)
+
+
+def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    with fs.open_input_file(posixpath.join(path, name)) as f, np.load(io.BytesIO(f.read())) as data:
+        return dict(data)
