@@ -35,20 +35,22 @@ _EPS = 1e-9
 
 
 class Best:
-    """The k best points found for each query of a block: inner products, largest first place by place, and numbers.
+    """The k best points found for each query of a block: inner products, largest first place by place, numbers and places.
 
-    A point's number orders points of equal inner products; of those the smallest stay.
+    A point's number orders points of equal inner products; of those the smallest stay. Several points may have one number;
+    a place is a point's own.
     """
 
     def __init__(self, queries: int, k: int):
         self.k = k
         self.scores = np.full((queries, k), -np.inf)
         self.numbers = np.full((queries, k), np.iinfo(np.int64).max)
+        self.places = np.full((queries, k), -1)
 
     def least(self, who: np.ndarray) -> np.ndarray:
         return self.scores[who, -1]
 
-    def take(self, who: np.ndarray, scores: np.ndarray, numbers: np.ndarray) -> None:
+    def take(self, who: np.ndarray, scores: np.ndarray, numbers: np.ndarray, places: np.ndarray) -> None:
         """Offers every point of `numbers`, with its score for each query of `who`."""
         some = (scores >= self.scores[who, -1:]).any(axis=1)
         who, scores = who[some], scores[some]
@@ -56,6 +58,7 @@ class Best:
             return
         both = np.concatenate([self.scores[who], scores], axis=1)
         of = np.concatenate([self.numbers[who], np.broadcast_to(numbers, scores.shape)], axis=1)
+        at = np.concatenate([self.places[who], np.broadcast_to(places, scores.shape)], axis=1)
         pick = np.argpartition(-both, self.k - 1, axis=1)[:, : self.k]
         got = np.take_along_axis(both, pick, 1)
         order = np.argsort(-got, axis=1, kind="stable")
@@ -63,9 +66,9 @@ class Best:
         # Where more points tie with the last place than it holds, the numbers decide.
         for r in np.flatnonzero((both >= got[:, -1:]).sum(axis=1) > self.k).tolist():
             tied = np.flatnonzero(both[r] >= got[r, -1])
-            pick[r] = tied[np.lexsort((of[r, tied], -both[r, tied]))[: self.k]]
+            pick[r] = tied[np.lexsort((at[r, tied], of[r, tied], -both[r, tied]))[: self.k]]
             got[r] = both[r, pick[r]]
-        self.scores[who], self.numbers[who] = got, np.take_along_axis(of, pick, 1)
+        self.scores[who], self.numbers[who], self.places[who] = got, np.take_along_axis(of, pick, 1), np.take_along_axis(at, pick, 1)
 
 
 class Tree:
@@ -127,10 +130,11 @@ class Tree:
             setattr(tree, name, state[f"{name}{number}"])
         return tree
 
-    def search(self, queries: np.ndarray, best: Best, factor: float, numbers: np.ndarray) -> None:
-        """Offers `best` the points that may be among the best of a query; numbers are those of the points by row.
+    def search(self, queries: np.ndarray, best: Best, factor: float, numbers: np.ndarray, places: np.ndarray | None = None) -> None:
+        """Offers `best` the points that may be among the best of a query; numbers and places are those of the points by row.
 
-        All queries of a block go down together: at a node those that reach a half go on.
+        Without places, numbers tell the points apart. All queries of a block go down together: at a node those that reach
+        a half go on.
         """
         if not len(self.points):
             return
@@ -145,7 +149,7 @@ class Tree:
         if len(self.vantage):
             own = queries * scale[:, None]
             dv = np.sqrt(np.maximum(top**2 + (self.vantage**2).sum(1) - 2 * own @ self.vantage.T, 0))
-        numbers = numbers[self.order]
+        numbers, places = numbers[self.order], (numbers if places is None else places)[self.order]
         stack: list[tuple[int, np.ndarray, np.ndarray]] = [(0, reach, np.zeros(len(reach)))]
         while stack:
             node, who, gap = stack.pop()
@@ -157,7 +161,7 @@ class Tree:
                 continue
             if v < 0:
                 begin, end = int(item[0]), int(item[1])
-                best.take(who, queries[who] @ self.points[begin:end].T, numbers[begin:end])
+                best.take(who, queries[who] @ self.points[begin:end].T, numbers[begin:end], places[begin:end])
                 continue
             left, right = int(item[4]), int(item[5])
             d = dv[who, int(v)]
@@ -200,8 +204,9 @@ def search(
     """(query_id, rank, vec_id, score): for each of queries(vec_id, embedding) its k nearest found of corpus(vec_id, embedding).
 
     The score is the inner product of the original vectors in double precision; ties go to the smaller vec_id. A query's
-    own row is no candidate. Rows with a null id or an unusable vector take no part; of one id given twice each row is a
-    candidate. Vectors of several lengths are a ValueError. Fewer candidates than k are all returned. Columns by other
+    own row is no candidate: of the corpus's rows of its id and vector, one. Rows with a null id or an unusable vector take
+    no part. Of one id given several times each row is a candidate, also for a query of that id, and each of such queries
+    has ranks of its own. Vectors of several lengths are a ValueError. Fewer candidates than k are all returned. Columns by other
     names are not looked at; an empty table gives an empty table.
     """
     spark = corpus.sparkSession
@@ -260,46 +265,50 @@ def search(
             for task in batch.column(0).to_pylist():
                 first = task % runs * run
                 asked = load(folder, f"block-{packs[task // runs]}.npz")
-                yield from _answers(folder, trees[first : first + run], asked, k, factor)
-
-    found = spark.range(0, runs * len(packs), 1, runs * len(packs)).mapInArrow(find, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                yield from _answers(folder, trees[first : first + run], asked, packs[task // runs] << 32, k, factor)
+
+    found = spark.range(0, runs * len(packs), 1, runs * len(packs)).mapInArrow(find, "asked long, query_id long, own double, vec_id long, score double")
+    # A query's own row: the first of its id whose score is that of its vector with itself, but for rounding.
+    own = (F.col("vec_id") == F.col("query_id")) & (F.abs(F.col("score") - F.col("own")) <= 1e-9 * F.col("own"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    gone = F.coalesce(F.min(F.when(own, F.col("rank"))).over(Window.partitionBy("asked")), F.lit(k + 1))
+    found = found.withColumn("gone", gone).where(F.col("rank") != F.col("gone")).withColumn("rank", F.col("rank") - (F.col("rank") > F.col("gone")).cast("int"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _answers(folder: str, trees: list[int], asked: dict, k: int, factor: float) -> Iterator[pa.RecordBatch]:
-    """The k nearest ids that a run of shards has for each query of a block."""
+def _answers(folder: str, trees: list[int], asked: dict, key: int, k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """The k + 1 nearest rows that a run of shards has for each query of a block: one more, as a query's own may be among them."""
     x, who = asked["x"], asked["ids"]
-    # One more than k: the query's own vector may be among them. Equal vectors share a point and follow with their ids.
     best = Best(len(x), k + 1)
+    # Equal vectors share a point, which has the smallest of their ids for a number, and follow with their ids.
     copies: dict[int, np.ndarray] = {}
-    for number in trees:
+    for i, number in enumerate(trees):
         held = load(folder, f"tree-{number}.npz")
         begin = np.cumsum(held["sizes"]) - held["sizes"]
-        first = held["ids"][begin]
-        i = 0
-        while f"rows{i}" in held:
-            Tree.of(held, i).search(x, best, factor, first[held[f"rows{i}"]])
-            i += 1
+        first, place = held["ids"][begin], (i << 32) + np.arange(len(begin))
+        t = 0
+        while f"rows{t}" in held:
+            rows = held[f"rows{t}"]
+            Tree.of(held, t).search(x, best, factor, first[rows], place[rows])
+            t += 1
         # Of the points that are among the best now, those with several ids.
         several = np.flatnonzero(held["sizes"] > 1)
-        for r in several[np.isin(first[several], best.numbers)].tolist():
-            copies[int(first[r])] = held["ids"][begin[r] : begin[r] + held["sizes"][r]]
-        copies = {i: copies[i] for i in copies.keys() & set(best.numbers.ravel().tolist())} if copies else copies
+        for r in several[np.isin(place[several], best.places)].tolist():
+            copies[int(place[r])] = held["ids"][begin[r] : begin[r] + held["sizes"][r]]
+        copies = {p: copies[p] for p in copies.keys() & set(best.places.ravel().tolist())} if copies else copies
     query, vec, scores = [], [], []
-    for q, score, found in zip(who.tolist(), best.scores, best.numbers, strict=True):
+    for score, found, places in zip(best.scores, best.numbers, best.places, strict=True):
         own = np.isfinite(score)
-        score, found = score[own], found[own]
-        sets = [copies[i] if i in copies else np.array([i], np.int64) for i in found.tolist()]
-        score = np.repeat(score, [len(c) for c in sets])
+        sets = [copies[p] if p in copies else np.array([n], np.int64) for n, p in zip(found[own].tolist(), places[own].tolist(), strict=True)]
+        score = np.repeat(score[own], [len(c) for c in sets])
         ids = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        score, ids = score[ids != q], ids[ids != q]
-        kept = np.lexsort((ids, -score))[:k]
-        query.append(np.full(len(kept), q, np.int64))
+        kept = np.lexsort((ids, -score))[: k + 1]
+        query.append(len(kept))
         vec.append(ids[kept])
         scores.append(score[kept])
-    columns = [pa.array(np.concatenate(c)) for c in (query, vec, scores)]
-    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+    columns = [np.repeat(c, query) for c in (key + np.arange(len(x)), who, (x**2).sum(1))] + [np.concatenate(c) for c in (vec, scores)]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["asked", "query_id", "own", "vec_id", "score"])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
