@@ -137,12 +137,17 @@ def hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit("second")).alias("b")
 
 
-def _keys(host_: str, path_: str, lengths: list[int]) -> Column:
-    """All keys that a rule could have for a URL: suffixes of the host by prefixes of the path."""
-    labels = F.split(F.col(host_), r"\.", -1)
+def _keys(host_: str, path_: str, lengths: list[int], longest: int) -> Column:
+    """All keys that a rule could have for a URL: suffixes of the host, no longer than a rule's host, by prefixes of the path.
+
+    Only the host's end is split, so that a host of any number of labels costs no more than the longest rule's.
+    """
+    labels = F.split(F.right(F.col(host_), F.lit(longest + 1)), r"\.", -1)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
+    # One longer than the rules' may begin within a label.
+    suffixes = F.filter(suffixes, lambda s: F.length(s) <= longest)
     fit = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(path_))
     all_ = F.flatten(F.transform(suffixes, lambda s: F.transform(fit, lambda n: F.concat(s, F.substring(F.col(path_), F.lit(1), n)))))
     return F.when(F.col(host_) == "", F.array().cast("array<string>")).otherwise(all_)
@@ -154,21 +159,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> D
     A rule host/path fits the host and its subdomains if the URL's path begins with the rule's. Null URLs and those
     without '://' have empty host and path, no rule, and the verdict on what is not listed: allow. Of two verdicts on one
     rule, block holds. Columns by those four names are replaced, columns named _keys, _a or _b dropped; repeated rows get
-    equal answers.
+    equal answers, an empty table gives an empty one. A URL of any length is read whole.
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     if faulty := next((rule for _, rule in rules if "/" not in rule), None):
         raise ValueError(f"a rule is a host and a path that begins with /: {faulty!r}")
     verdicts = dict.fromkeys((rule for _, rule in rules), "allow") | {rule: "block" for verdict, rule in rules if verdict == "block"}
-    lengths = sorted({len(r) - r.index("/") for r in verdicts})
+    lengths, longest = sorted({len(r) - r.index("/") for r in verdicts}), max((r.index("/") for r in verdicts), default=0)
     pages = pages.drop("host", "path", "rule", "verdict")
     rows = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    universe = rows.select(F.explode(F.array_distinct(_keys("host", "path", lengths))).alias("key")).select(*hashes(F.col("key")))
+    universe = rows.select(F.explode(F.array_distinct(_keys("host", "path", lengths, longest))).alias("key")).select(*hashes(F.col("key")))
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast((build(universe, list(verdicts)), verdicts))  # bounded by MOST_RULES
 
-    rows = rows.withColumn("_keys", _keys("host", "path", lengths))
+    rows = rows.withColumn("_keys", _keys("host", "path", lengths, longest))
     rows = rows.withColumns(
         {"_a": F.transform("_keys", lambda k: F.xxhash64(k)), "_b": F.transform("_keys", lambda k: F.xxhash64(k, F.lit("second")))}
     )
