@@ -319,16 +319,16 @@ class LanguageModel:
 
 
 def sample_by_language(
-    labelled: DataFrame, chars: int = 40_000, total_chars: int = 800_000, docs: int = 400, doc_chars: int = 20_000
+    labelled: DataFrame, chars: int = 40_000, total_chars: int = 800_000, docs: int = 400
 ) -> dict[str, str]:
     """At most `chars` characters of text for each language, from labelled(doc_id, text, lang).
 
-    Bounds: about `docs` documents of at most `doc_chars` characters are fetched for each language, or fewer for a total of
-    20 * `docs`, chosen by a hash of doc_id; a document given twice is fetched once, and of none more than a language may
-    have. All languages together get `total_chars` at most.
+    Bounds: about `docs` documents are fetched for each language, or fewer for a total of 20 * `docs`, chosen by a hash of
+    doc_id; a document given twice is fetched once, and of none more than a language may have. All languages together get
+    `total_chars` at most. A language of long texts only is learned from their beginnings.
     """
     fit = labelled.where("lang is not null and text is not null and doc_id is not null")
-    fit = fit.where(F.length("text").between(1, doc_chars))
+    fit = fit.where(F.length("text") >= 1)
     counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
