@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import assets, chunk, density, fold, search, spanning, text, video
-from ..streaming import jobs
+from ..streaming import jobs, spool
 from ..tables import Scratch
 from .domain import WORKSPACE, Domain, ctes
 from .registry import query
@@ -178,6 +178,29 @@ def stream_upsert(d: Domain) -> DataFrame:
     return jobs.upsert(state, batch, "doc_id", "version")
 
 
+@query(
+    "import_completion",
+    f"""{ctes('assets')}, last as (select source_file_id, max(generation) as g from assets group by source_file_id),
+    n as (select a.source_file_id, g, count(distinct asset_id) as stored from assets a join last using (source_file_id) where a.generation = g group by a.source_file_id, g),
+    e as (select *, stored + case length(source_file_id) % 3 when 0 then 0 when 1 then -1 else 1 end as expected from n)
+    select source_file_id, cast(g as int) as generation, case when stored = expected then 'done' else 'error' end as state, stored, cast(expected as int) as expected
+    from e where stored >= expected and expected > 0""",
+)
+def import_completion(d: Domain) -> DataFrame:
+    """The segments of all sources through a spool and a stream that ends each source once: whole, or with too many."""
+    counts = d.assets.groupBy("source_file_id", "generation").agg(F.count_distinct("asset_id").alias("n"))
+    more = F.element_at(F.array(F.lit(0), F.lit(-1), F.lit(1)), F.length("source_file_id") % 3 + 1)
+    manifests = d.assets.join(counts, ["source_file_id", "generation"]).select(
+        "source_file_id", "generation", "asset_id", (F.col("n") + more).cast("int").alias("expected"), F.col("n_chars").cast("long").alias("bytes"), F.lit(0).alias("attempt")
+    )
+    with Scratch(d.spark) as scratch:
+        own = spool.Spool(d.spark, scratch.path("spool"))
+        own.put(manifests.repartition(4, "source_file_id"), "segments")
+        sink = scratch.path("ended")
+        spool.run(own.stream(2), sink, scratch.path("checkpoint")).awaitTermination()
+        return scratch.keep(d.spark.read.schema(spool.ENDED).parquet(f"{sink}/batch=*"), "completions")
+
+
 @query(
     "completion_gate",
     f"""{ctes('source_files', 'assets')}, c as (select source_file_id, count(distinct asset_id) as stored from assets where generation = 1 group by source_file_id)
