@@ -5,6 +5,7 @@ The scanners are small pure functions over one document; chunk_documents applies
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -25,6 +26,39 @@ _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _ITEM = re.compile(r"^ {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]+")
 
 
+class TokenCounter:
+    """Counts the tokens of texts by a tokenizer's file, for the chunkers' `count`; each worker loads it when it first counts.
+
+    Counts are kept by the hash of a text, the last `cache` of them.
+    """
+
+    def __init__(self, path: str, cache: int = 20_000):
+        self.path, self.cache = path, cache
+        self._held: dict[bytes, int] = {}
+        self._own = None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "cache": self.cache, "_held": {}, "_own": None}
+
+    def count_many(self, texts: list[str]) -> list[int]:
+        keys = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+        found = {k: self._held[k] for k in keys if k in self._held}
+        if new := {k: t for k, t in zip(keys, texts, strict=True) if k not in found}:
+            if self._own is None:
+                from tokenizers import Tokenizer
+
+                self._own = Tokenizer.from_file(self.path)
+            encoded = self._own.encode_batch(list(new.values()), add_special_tokens=False)
+            found |= {k: len(e.ids) for k, e in zip(new, encoded, strict=True)}
+            self._held |= {k: found[k] for k in new}
+            for k in list(islice(self._held, max(0, len(self._held) - self.cache))):
+                del self._held[k]
+        return [found[k] for k in keys]
+
+    def __call__(self, text: str) -> int:
+        return self.count_many([text])[0]
+
+
 @dataclass
 class Node:
     """A block of the source by character offsets; heading nodes have a level and a title."""

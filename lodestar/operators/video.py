@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _order():
     return Window.partitionBy("video").orderBy("ts", "event_id")
 
@@ -172,6 +175,50 @@ def distinct_frames(embeddings: np.ndarray, most_similar: float) -> list[int]:
     return kept
 
 
+def kept_frames(frames: DataFrame, most_alike: float) -> DataFrame:
+    """(video, frame_id, reason) of frames(video, at, frame_id, thumbnail array<int>, fault): why a frame is left out, null if it is kept.
+
+    A frame with a fault has that; one whose thumbnail differs from the last kept frame's by `most_alike` or less, as a
+    mean over 255, is a near_duplicate. Frames are gone through in the order of time, then frame_id; what goes from one to
+    the next is one thumbnail, so a video's length costs no memory. A video is one task's work, as each frame depends on
+    those before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, last = None, None
+        for batch in batches:
+            reasons = []
+            for own, thumbnail, fault in zip(*(batch.column(c).to_pylist() for c in ("video", "thumbnail", "fault")), strict=True):
+                if own != video:
+                    video, last = own, None
+                now = np.asarray(thumbnail, np.float32)
+                if fault is None and last is not None and float(np.abs(now - last).mean()) / 255 <= most_alike:
+                    fault = "near_duplicate"
+                if fault is None:
+                    last = now
+                reasons.append(fault)
+            yield pa.RecordBatch.from_arrays([batch.column("video"), batch.column("frame_id"), pa.array(reasons, pa.string())], ["video", "frame_id", "reason"])
+
+    rows = frames.select("video", "at", "frame_id", "thumbnail", "fault").repartition("video").sortWithinPartitions("video", "at", "frame_id")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("video", "frame_id")}
+    return rows.mapInArrow(run, f"video {kinds['video']}, frame_id {kinds['frame_id']}, reason string")
+
+
+def segment_representatives(frames: DataFrame, most: int = 3) -> DataFrame:
+    """(segment_id, position, frame_id): up to `most` representative frames of each segment of frames(segment_id, at, frame_id, embedding).
+
+    One group function for each segment, which merge_to_target() bounds by time.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "frame_id"])
+        chosen = representative_frames(np.stack([np.asarray(x, float) for x in pdf["embedding"]]), most)
+        return pd.DataFrame({"segment_id": pdf["segment_id"].iloc[0], "position": range(len(chosen)), "frame_id": pdf["frame_id"].iloc[chosen].to_numpy()})
+
+    kinds = {c: frames.schema[c].dataType.simpleString() for c in ("segment_id", "frame_id")}
+    return frames.groupBy("segment_id").applyInPandas(run, f"segment_id {kinds['segment_id']}, position int, frame_id {kinds['frame_id']}")
+
+
 def representative_frames(embeddings: np.ndarray, most: int = 3, least_silhouette: float = 0.15, rounds: int = 50) -> list[int]:
     """Up to `most` frames in time order: the real frame nearest to each centre of the k-means with the best silhouette.
 

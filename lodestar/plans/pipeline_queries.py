@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import assets, chunk, density, fold, search, spanning, text, video
+from ..operators import assets, chunk, density, fold, paths, search, spanning, text, video
 from ..streaming import jobs, spool
 from ..tables import Scratch
 from .domain import WORKSPACE, Domain, ctes
@@ -240,3 +240,28 @@ def path_context(d: Domain) -> DataFrame:
     """The most frequent directories; ties by name."""
     rows = assets.live(d.assets, d.source_files, WORKSPACE).groupBy(text.directory(F.col("relative_path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "dir")))
+
+
+_PATHS = """concat_ws('/', lang, concat('The ', source), case when doc_id % 4 = 0 then 'v2' when doc_id % 4 = 1 then 'misc' else {word1} end,
+    concat(case when doc_id % 3 = 0 then 'deadbeef01' else {word2} end, '.md'))"""
+
+
+@query(
+    "cluster_paths",
+    f"""with m as (select doc_id % 17 as cluster_id, {_PATHS.format(word1="regexp_replace(lower(text[1:4]), '[^a-z]', '', 'g')", word2="regexp_replace(lower(text[5:7]), '[^a-z]', 'x', 'g')")} as path
+        from documents where text is not null and lang is not null and source is not null),
+    p as (select cluster_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') as path, count(*) as n from m group by 1, 2),
+    q as (select *, string_split(path, '/') as parts from p),
+    r as (select *, array_to_string(parts[1:len(parts) - 1], '/') as directory, list_filter(parts[1:len(parts) - 1], lambda x: lower(x) not in ('misc') and not regexp_matches(x, '[0-9]')
+        and not regexp_matches(x, '^[0-9a-fA-F]{{8,}}$') and regexp_matches(x, '^[A-Za-z][A-Za-z _-]{{2,30}}$'))[-1] as term from q),
+    dirs as (select cluster_id, 'directory' as kind, directory as value, sum(n) as n, row_number() over (partition by cluster_id order by sum(n) desc, directory) as rank from r group by cluster_id, directory),
+    terms as (select cluster_id, 'term' as kind, term as value, sum(n) as n, row_number() over (partition by cluster_id order by sum(n) desc, term) as rank from r where term is not null group by cluster_id, term having sum(n) >= 2),
+    files as (select cluster_id, 'file' as kind, path as value, n, row_number() over (partition by cluster_id order by parts[-1] = 'deadbeef01.md' , path) as rank from r)
+    select cluster_id, kind, cast(rank as int) as rank, value, cast(n as bigint) as n from (select * from dirs where rank <= 5 union all by name select * from terms where rank <= 8 union all by name select * from files where rank <= 5)""",
+)
+def cluster_paths(d: Domain) -> DataFrame:
+    """Directories, telling words and files of all clusters at once."""
+    docs = d.raw("documents").where("text is not null and lang is not null and source is not null")
+    word1, word2 = "regexp_replace(lower(substring(text, 1, 4)), '[^a-z]', '')", "regexp_replace(lower(substring(text, 5, 3)), '[^a-z]', 'x')"
+    members = docs.select((F.col("doc_id") % 17).alias("cluster_id"), "doc_id", F.expr(_PATHS.format(word1=word1, word2=word2)).alias("relative_path"))
+    return paths.contexts(members.withColumnRenamed("doc_id", "asset_id"), ("misc",), ("参考",))

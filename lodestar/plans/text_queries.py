@@ -223,5 +223,25 @@ def eval_metrics(d: Domain) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("precision_at_5", "recall_at_10")})
 
 
+@query(
+    "kept_frames",
+    f"""with recursive {_SERIES}, f as (select video, event_id, row_number() over (partition by video order by ts, event_id) as n, cast(floor(value) as int) as a,
+        cast(floor(2 * value) as int) as b, case when value < 2 then 'dark' end as fault from s),
+    k(video, n, event_id, a, b, reason) as (
+        select distinct video, cast(0 as bigint), cast(null as bigint), cast(null as int), cast(null as int), cast(null as varchar) from f
+        union all
+        select video, n, event_id, case when why is null then na else a end, case when why is null then nb else b end, why
+        from (select f.video, f.n, f.event_id, k.a, k.b, f.a as na, f.b as nb,
+            coalesce(f.fault, case when (abs(f.a - k.a) + abs(f.b - k.b)) / 2.0e0 / 255 <= 0.02 then 'near_duplicate' end) as why
+            from k join f on f.video = k.video and f.n = k.n + 1))
+    select video, event_id as frame_id, reason from k where n > 0""",
+)
+def kept_frames(d: Domain) -> DataFrame:
+    """K9: frames with a fault, and those near to the last one kept."""
+    light = F.array(F.floor("value").cast("int"), F.floor(2 * F.col("value")).cast("int"))
+    rows = _series(d).select("video", F.col("ts").alias("at"), F.col("event_id").alias("frame_id"), light.alias("thumbnail"), F.when(F.col("value") < 2, "dark").alias("fault"))
+    return video.kept_frames(rows, 0.02)
+
+
 def _series(d: Domain) -> DataFrame:
     return d.raw("events").select((F.col("user_id") % 50).alias("video"), "ts", "event_id", "value")

@@ -95,6 +95,22 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVALUATION).json(path)
 
 
+def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(line, request, relevant_asset_ids, error) of a JSON-lines file of labelled cases; blank lines are skipped.
+
+    A line that is no JSON object, or has no request, has an error that names it. Each file is read as one row, as only
+    then its lines have numbers: files of labelled cases are made by hand.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "raw"))
+    lines = lines.where(F.trim(F.regexp_replace("raw", "\\s", "")) != "")
+    schema = EVALUATION.replace(", _corrupt_record string", "")
+    # Spark makes a struct of nulls of what it cannot parse, so objects are told by their form first.
+    whole = F.get_json_object("raw", "$").startswith("{")
+    rows = lines.select((F.col("at") + 1).alias("line"), F.from_json("raw", schema).alias("c"), F.coalesce(whole, F.lit(False)).alias("whole"))
+    why = F.when(~F.col("whole"), "no JSON object").when(F.col("c.request").isNull(), "no request")
+    return rows.select("line", "c.*", F.when(why.isNotNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), why)).alias("error"))
+
+
 def write_snapshot(results: DataFrame, execution_id: str, path: str) -> None:
     """Writes a run's ranked results to a folder of its own under path; writing a run again, as a retry does, replaces it."""
     results.drop("execution_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/execution_id={execution_id}")
