@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pdf
 from .files import archive_fault
 
 #: The largest image, the least sides and area of one that counts, lightness from which one is blank.
@@ -343,22 +344,29 @@ _ARROW = pa.schema([
 
 
 def document_images(files: DataFrame) -> DataFrame:
-    """A row for each image that the archives among files(path, content) show, whether it counts or why not (fault).
+    """A row for each image that the archives and PDF files among files(path, content) show, whether it counts or why not (fault).
 
-    A file that is no archive, or not a safe one, is a row with its fault alone; a null content too.
+    A file that is neither, or not a safe archive, is a row with its fault alone; a null content and an encrypted file too.
     """
 
     def of(path: str, content: bytes | None) -> Iterator[dict]:
-        if content is None or (why := archive_fault(content)):
+        if content is not None and b"%PDF-" in content[:1024]:
+            found = pdf.images(content)
+        elif content is None or (why := archive_fault(content)):
             yield {"path": path, "fault": "no content" if content is None else why}
             return
-        for where, data in archive_images(content):
-            row = where | {"path": path, "sha256": hashlib.sha256(data).hexdigest() if len(data) <= MAX_BYTES else None, "size": len(data)}
-            try:
-                kind, w, h = inspect(data)
-                yield row | {"mime": MIME[kind], "width": w, "height": h}
-            except Fault as fault:
-                yield row | {"fault": str(fault)}
+        else:
+            found = ((where, data, None) for where, data in archive_images(content))
+        for where, data, why in found:
+            row = where | {"path": path, "fault": why}
+            if data is not None:
+                row |= {"sha256": hashlib.sha256(data).hexdigest() if len(data) <= MAX_BYTES else None, "size": len(data)}
+                try:
+                    kind, w, h = inspect(data)
+                    row |= {"mime": MIME[kind], "width": w, "height": h}
+                except Fault as fault:
+                    row["fault"] = str(fault)
+            yield row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +379,7 @@ def document_images(files: DataFrame) -> DataFrame:
 
 def distinct_images(occurrences: DataFrame) -> DataFrame:
     """Each document's images that count, equal bytes once: path, sha256, mime, width, height, and all occurrences in order."""
-    place = F.struct("nth", "format", "part", "relation", "member", "page")
+    place = F.struct(F.coalesce("page", F.lit(0)).alias("page"), "nth", "format", "part", "relation", "member")
     fine = occurrences.where("fault is null").groupBy("path", "sha256")
     return fine.agg(F.min("mime").alias("mime"), F.min("width").alias("width"), F.min("height").alias("height"), F.array_sort(F.collect_list(place)).alias("occurrences"))
 

@@ -164,3 +164,77 @@ def test_camera_facts(spark):
     assert got["loop.jpg"].captured_at == "2000:01:01 00:00:00"
     assert got["cut.jpg"].width == 640 and "outside" in got["cut.jpg"].fault and got["head.jpg"].fault == "no TIFF head" and "outside" in got["far.jpg"].fault
     assert got["no.jpg"].fault == got["null"].fault == "invalid_image"
+
+
+def pdf_file(objects, packed=(), trailer=b"xref\n0 1\n9999999999 00000 n\ntrailer <</Root 1 0 R>>\nstartxref\n77777\n%%EOF"):
+    """A PDF of objects {number: bytes} with a table of wrong offsets; `packed` numbers go into an object stream."""
+    out = b"%PDF-1.5\n"
+    for n, body in objects.items():
+        if n not in packed:
+            out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    if packed:
+        bodies = [objects[n] for n in packed]
+        heads = b" ".join(b"%d %d" % (n, sum(len(b) + 1 for b in bodies[:i])) for i, n in enumerate(packed))
+        data = zlib.compress(heads + b" " + b" ".join(bodies))
+        out += b"90 0 obj <</Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d>>\nstream\n%s\nendstream endobj\n" % (len(packed), len(heads) + 1, len(data), data)
+    return out + trailer
+
+
+def stream(head, data, length=None):
+    return b"<<" + head + b" /Length %d>>\nstream\n" % (len(data) if length is None else length) + data + b"\nendstream"
+
+
+@pytest.mark.parametrize("packed", [(), (1, 2, 3, 4, 8)])
+def test_images_of_pdf_files(spark, packed):
+    from lodestar.sources import pdf
+
+    r = np.random.default_rng(3)
+    rgb, grey, ink = r.integers(0, 200, (70, 80, 3), np.uint8), r.integers(0, 200, (90, 90, 1), np.uint8), r.integers(0, 99, (64, 64, 4), np.uint8)
+    up = rgb.reshape(70, -1).astype(int)
+    up = b"".join(b"\2" + ((row - before) % 256).astype(np.uint8).tobytes() for row, before in zip(up, np.vstack([np.zeros_like(up[:1]), up[:-1]]), strict=True))
+    photo = jpeg()
+    size = b"/Subtype /Image /Width %d /Height %d /BitsPerComponent 8 /ColorSpace "
+    objects = {
+        1: b"<</Type /Catalog /Pages 2 0 R>>",
+        2: b"<</Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources <</XObject <</A 10 0 R /F 12 0 R>>>>>>",
+        3: b"<</Type /Page /Parent 2 0 R /Contents 14 0 R>>",
+        4: b"<</Type /Page /Parent 2 0 R /Resources 8 0 R % a comment\n>>",
+        8: b"<</XObject <</P 11 0 R /A 10 0 R /Bad 15 0 R /K 16 0 R>>>>",
+        10: stream(size % (80, 70) + b"/DeviceRGB /Filter /FlateDecode /DecodeParms <</Predictor 12 /Colors 3 /Columns 80>>", zlib.compress(up), 5),
+        11: stream(size % (640, 480) + b"/DeviceRGB /Filter [/ASCIIHexDecode /DCTDecode]", photo.hex().encode() + b">"),
+        12: stream(b"/Subtype /Form /Resources <</XObject <</G 13 0 R /F 12 0 R>>>>", b""),
+        13: stream(size % (90, 90) + b"[/ICCBased 17 0 R] /Filter /RunLengthDecode", b"".join(b"\x7f" + grey.tobytes()[i : i + 128] for i in range(0, 8064, 128)) + b"\x23" + grey.tobytes()[8064:] + b"\x80"),
+        14: stream(b"/Filter /FlateDecode", zlib.compress(b"q\nBI /W 64 /H 70 /BPC 8 /CS /G ID " + bytes(range(1, 65)) * 70 + b" EI\nQ")),
+        15: stream(size % (50, 50) + b"/DeviceRGB /Filter /FlateDecode", b"not packed"),
+        16: stream(size % (64, 64) + b"/DeviceCMYK", ink.tobytes()),
+        17: stream(b"/N 1", b"profile"),
+    }
+    data = pdf_file(objects, packed)
+    found = {(w["page"], w["nth"]): (w["member"], body, fault) for w, body, fault in pdf.images(data)}
+    assert [(k, v[0]) for k, v in sorted(found.items())] == [
+        ((1, 0), "object 10"), ((1, 1), "object 13"), ((1, 2), "inline 0"), ((2, 0), "object 11"), ((2, 1), "object 10"), ((2, 2), "object 15"), ((2, 3), "object 16"),
+    ]
+    light = lambda body: np.concatenate([v for v, _ in images.png_lines(body)])
+    assert light(found[(1, 0)][1]).tolist() == ((rgb.astype(int) @ [19595, 38470, 7471] + 0x8000) >> 16).ravel().tolist()
+    assert light(found[(1, 1)][1]).tolist() == grey.ravel().tolist() and light(found[(1, 2)][1])[:64].tolist() == list(range(1, 65))
+    assert found[(2, 0)][1] == photo and found[(2, 2)][1] is None and found[(2, 2)][2].startswith("extraction_failed")
+    assert images.inspect(found[(2, 3)][1]) == ("PNG", 64, 64)
+    files = spark.createDataFrame([("a.pdf", data), ("none.pdf", b"%PDF-1.4\n"), ("locked.pdf", data + b"/Encrypt 5 0 R")], "path string, content binary")
+    rows = images.document_images(files)
+    assert {(r.path, r.fault) for r in rows.where("path <> 'a.pdf'").collect()} == {("locked.pdf", "encrypted")}
+    once = images.distinct_images(rows).collect()
+    assert sorted([(o.page, o.nth) for o in r.occurrences] for r in once) == [[(1, 0), (2, 1)], [(1, 1)], [(1, 2)], [(2, 0)], [(2, 3)]]
+
+
+def test_torn_pdf_files_end():
+    import time
+
+    from lodestar.sources import pdf
+
+    whole = pdf_file({1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [2 0 R 3 0 R]>>", 3: b"<</Type /Page /Parent 3 0 R /Contents [3 0 R]>>"})
+    start = time.perf_counter()
+    for cut in range(0, len(whole), 7):
+        list(pdf.images(whole[:cut]))
+    for odd in (b"[" * 5000, b"<<" * 5000, b"(" * 5000, b"1 0 obj " * 3000, b"1 0 obj 1 0 R endobj", b"2 0 obj <</Type /Page /Resources 2 0 R>> endobj"):
+        list(pdf.images(b"%PDF-1.4\n1 0 obj\n" + odd))
+    assert time.perf_counter() - start < 10
