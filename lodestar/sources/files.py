@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,82 @@ def archive_fault(data: bytes) -> str | None:
     return None
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_markdown(data: bytes) -> str:
+    """The text of a word-processing archive as Markdown: headings by their styles, list items, tables, paragraphs.
+
+    Runs are joined as they are, tabs and line breaks become spaces. ValueError for what is no such archive or not a safe one.
+    """
+    if why := archive_fault(data):
+        raise ValueError(why)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if "word/document.xml" not in z.namelist():
+            raise ValueError("no document part")
+        try:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+        except ElementTree.ParseError as error:
+            raise ValueError(f"broken document part: {error}") from error
+
+    def text(element) -> str:
+        parts = (e.text or "" if e.tag == f"{_W}t" else " " if e.tag in (f"{_W}tab", f"{_W}br") else "" for e in element.iter())
+        return " ".join("".join(parts).split())
+
+    out: list[str] = []
+    body = root.find(f"{_W}body")
+    for e in body if body is not None else ():
+        if e.tag == f"{_W}tbl":
+            rows = [[text(c).replace("|", "\\|") for c in r.findall(f"{_W}tc")] for r in e.findall(f"{_W}tr")]
+            width = max(map(len, rows), default=0)
+            lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+            out.append("\n".join([*lines[:1], "|" + " --- |" * width, *lines[1:]]) if lines else "")
+        elif e.tag == f"{_W}p" and (own := text(e)):
+            style = e.find(f"{_W}pPr/{_W}pStyle")
+            level = re.fullmatch(r"(?:heading|标题)\s*([1-6])|title", (style.get(f"{_W}val") or "") if style is not None else "", re.I)
+            item = e.find(f"{_W}pPr/{_W}numPr") is not None
+            out.append(f"{'#' * int(level[1] or 1)} {own}" if level else f"- {own}" if item else own)
+    return "\n\n".join(x for x in out if x)
+
+
+#: What makes text of a file's bytes, by its extension; others may be given, also in place of these.
+CONVERTERS: dict[str, Callable[[bytes], str]] = {
+    **dict.fromkeys(("md", "markdown", "txt"), lambda data: data.decode("utf-8-sig")),
+    "docx": docx_markdown,
+}
+
+
+def read_documents(spark: SparkSession, root: str, converters: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(path, relative_path, extension, sha256, text, error) of the documents under root, each by its extension's converter.
+
+    Whatever a converter raises is its file's error and no other's; a kind without a converter is an error too. A file is
+    converted by one task, one after another; a file without a byte is not listed by Spark and has no row. There is no
+    converter of PDF text among CONVERTERS: give one for "pdf".
+    """
+    known = CONVERTERS | (converters or {})
+    found = discover(spark, root).where("kind = 'document'").select("path", "relative_path", "extension")
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    # Paths of one listing meet themselves: small keys; the contents are read where they are converted.
+    kinds = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    rows = content.where(kinds.isin(*HANDLERS["document"])).select("path", kinds.alias("extension"), F.sha2("content", 256).alias("sha256"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, errors = [], []
+            for kind, data in zip(batch.column("extension").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    if kind not in known:
+                        raise LookupError(f"no converter for .{kind}")
+                    texts.append(known[kind](data.as_py() or b""))
+                    errors.append(None)
+                except Exception as error:  # a file's failure is its own
+                    texts.append(None)
+                    errors.append(f"{type(error).__name__}: {error}"[:300])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "sha256")), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "sha256", "text", "error"])
+
+    return found.join(rows.mapInArrow(run, "path string, sha256 string, text string, error string"), "path")
+
+
 def embedded_images(files: DataFrame, least_bytes: int = 1) -> DataFrame:
     """(path, member, sha256, occurrences) of the images in files(path, content) that are archives; equal ones count once."""
 

@@ -238,3 +238,27 @@ def test_torn_pdf_files_end():
     for odd in (b"[" * 5000, b"<<" * 5000, b"(" * 5000, b"1 0 obj " * 3000, b"1 0 obj 1 0 R endobj", b"2 0 obj <</Type /Page /Resources 2 0 R>> endobj"):
         list(pdf.images(b"%PDF-1.4\n1 0 obj\n" + odd))
     assert time.perf_counter() - start < 10
+
+
+def test_documents_by_their_converters(spark, tmp_path):
+    from lodestar.sources import files
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, style="", num="": f'<w:p><w:pPr>{f"<w:pStyle w:val={chr(34)}{style}{chr(34)}/>" if style else ""}{num}</w:pPr><w:r><w:t>{t}</w:t><w:tab/><w:t>end</w:t></w:r></w:p>'
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a|b')}{cell('c')}</w:tr><w:tr>{cell('d')}</w:tr></w:tbl>"
+    body = f"<w:document {w}><w:body>{p('Top', 'Heading1')}{p('text')}{p('one', num='<w:numPr/>')}<w:p/>{table}{p('Sub', 'heading 2')}</w:body></w:document>"
+    (tmp_path / "in").mkdir()
+    for name, data in {
+        "a.docx": docx({"word/document.xml": body}), "in/b.md": "\ufeff# hé".encode(), "c.txt": b"\xff\xfe", "d.docx": b"nope", "e.docx": docx({"other": "x"}), "f.docx": docx({"word/document.xml": "<w"}),
+        "g.pdf": b"%PDF", "h.png": png(np.zeros((2, 2, 3))), "i.MD": b"x",
+    }.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.relative_path: (r.text, r.error) for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.docx", "in/b.md", "c.txt", "d.docx", "e.docx", "f.docx", "g.pdf", "i.MD"}
+    assert got["a.docx"] == ("# Top end\n\ntext end\n\n- one end\n\n| a\\|b | c |\n| --- | --- |\n| d |  |\n\n## Sub end", None)
+    assert got["in/b.md"] == ("# hé", None) and got["i.MD"] == ("x", None)
+    assert all(got[n][0] is None for n in ("c.txt", "d.docx", "e.docx", "f.docx", "g.pdf"))
+    assert "not an archive" in got["d.docx"][1] and "no document part" in got["e.docx"][1] and "broken" in got["f.docx"][1] and "no converter for .pdf" in got["g.pdf"][1]
+    own = files.read_documents(spark, str(tmp_path), {"pdf": lambda data: f"{len(data)} bytes"})
+    assert {r.text for r in own.where("extension = 'pdf'").collect()} == {"4 bytes"}
