@@ -146,3 +146,16 @@ def medoids(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     total = parts.groupBy("label", "embedding_id").agg(F.sum("total").alias("total"))
     best = total.groupBy("label").agg(F.min_by("embedding_id", F.struct(F.round("total", 9).alias("t"), "embedding_id")).alias("medoid"), F.min("total").alias("total"))
     return best.select("label", "medoid", F.round("total", 6).alias("total"))
+
+
+def nearest_to_medoid(rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """(label, rank, embedding_id, distance): the `limit` members nearest to each medoid of found(label, medoid), itself first.
+
+    Ranks go by Euclidean distance, then embedding_id; Spark keeps `limit` rows of a label in each task before they meet.
+    """
+    centers = rows.join(found.select("label", F.col("medoid").alias("embedding_id")), ["label", "embedding_id"], "left_semi")
+    centers = centers.groupBy("label").agg(F.first("embedding").alias("_center"))
+    gap = F.aggregate(F.zip_with("embedding", "_center", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, v: s + v)
+    met = rows.select("label", "embedding_id", "embedding").join(vector.counted(centers), "label").withColumn("distance", F.sqrt(gap))
+    order = Window.partitionBy("label").orderBy("distance", "embedding_id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("label", "rank", "embedding_id", "distance")

@@ -68,6 +68,11 @@ def busy(jobs: DataFrame, workspace: str, active: tuple[str, ...] = ("pending",
     return jobs.where((F.col("workspace_id") == workspace) & F.col("status").isin(*active)).count()
 
 
+def active_counts(jobs: DataFrame, active: tuple[str, ...] = ("pending", "running")) -> DataFrame:
+    """(workspace_id, n): the jobs under way of all workspaces that have any."""
+    return jobs.where(F.col("status").isin(*active)).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def save(searches: DataFrame, saved: DataFrame, keep: int = KEEP_SEARCHES) -> DataFrame:
     """searches after saving saved(workspace_id, created_by, saved_search_id, last_used_at): new ones are no favourites.
 

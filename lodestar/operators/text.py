@@ -92,6 +92,54 @@ def asset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("asset_key", "action", revision.alias("revision"), "user_name")
 
 
+def store_understanding(assets: DataFrame, understood: DataFrame) -> DataFrame:
+    """assets after what a model understood of some: name, description and features, and the revisions that this moves on.
+
+    assets(asset_id, asset_name, asset_name_source, asset_description, asset_features, feature_revision,
+    embedding_revision, processing_status, ..), understood(asset_id, asset_name, asset_description, asset_features);
+    features are JSON in one form. Both revisions go up by one if there was another description, or other features; the
+    first understanding of an asset moves none. A name that a user gave stays. What was understood of an asset that is not
+    there is left out; see unknown_assets().
+    """
+    new = understood.select("asset_id", *[F.col(c).alias(f"_{c}") for c in ("asset_name", "asset_description", "asset_features")], F.lit(True).alias("_told"))
+    met = assets.join(new, "asset_id", "left")
+    told = F.coalesce("_told", F.lit(False))
+    described = F.col("asset_description").isNotNull() & ~F.col("asset_description").eqNullSafe(F.col("_asset_description"))
+    featured = F.coalesce(F.col("asset_features") != "{}", F.lit(False)) & ~F.col("asset_features").eqNullSafe(F.col("_asset_features"))
+    more = F.when(told & (described | featured), 1).otherwise(0)
+    renamed = told & ~F.col("asset_name_source").eqNullSafe(F.lit("user"))
+    values = {
+        "asset_name": F.when(renamed, F.col("_asset_name")).otherwise(F.col("asset_name")),
+        "asset_name_source": F.when(renamed, "model").otherwise(F.col("asset_name_source")),
+        "asset_description": F.when(told, F.col("_asset_description")).otherwise(F.col("asset_description")),
+        "asset_features": F.when(told, F.col("_asset_features")).otherwise(F.col("asset_features")),
+        "feature_revision": F.col("feature_revision") + more,
+        "embedding_revision": F.col("embedding_revision") + more,
+        "processing_status": F.when(told, "processing").otherwise(F.col("processing_status")),
+    }
+    return met.select(*[values[c].alias(c) if c in values else F.col(c) for c in assets.columns])
+
+
+def unknown_assets(rows: DataFrame, assets: DataFrame) -> DataFrame:
+    """The rows whose asset_id is no asset's."""
+    return rows.join(assets.select("asset_id"), "asset_id", "left_anti")
+
+
+def attach_parents(drafts: DataFrame) -> DataFrame:
+    """drafts(source_file_id, asset_key, hierarchy_key, parent_hierarchy_key, asset_id, ..) with parent_asset_id and fault.
+
+    A child's parent is the draft of its source with that hierarchy_key; its asset_id is that of the parent's asset_key. A
+    child whose parent is not among the drafts has the fault 'missing parent', one that names several 'ambiguous parent',
+    one that is its own 'own parent'; drafts without a parent_hierarchy_key have neither parent nor fault.
+    """
+    parents = drafts.where("hierarchy_key is not null").groupBy("source_file_id", F.col("hierarchy_key").alias("parent_hierarchy_key"))
+    parents = parents.agg(F.min("asset_id").alias("parent_asset_id"), F.count_distinct("asset_key").alias("_n"))
+    met = drafts.join(parents, ["source_file_id", "parent_hierarchy_key"], "left")
+    own = F.col("hierarchy_key").eqNullSafe(F.col("parent_hierarchy_key"))
+    fault = F.when(F.col("parent_hierarchy_key").isNull(), None).when(F.col("_n").isNull(), "missing parent").when(own, "own parent").when(F.col("_n") > 1, "ambiguous parent")
+    return met.select(*drafts.columns, F.when(fault.isNull(), F.col("parent_asset_id")).alias("parent_asset_id"), fault.alias("fault"))
+
+
 def unchanged(files: DataFrame, known: DataFrame) -> DataFrame:
     """files that must be processed: path, sha and fingerprint of a completed one are not known yet."""
     return files.join(known.where("status = 'completed'"), ["path", "sha", "fingerprint"], "left_anti")

@@ -102,12 +102,11 @@ def job_list(d: Domain) -> DataFrame:
 
 @query(
     "workspace_busy",
-    f"select workspace_id, count(*) as n from ({_JOBS.format('varchar')}) where workspace_id in ('ws1', 'ws2', 'ws3') and status in ('pending', 'running') group by workspace_id",
+    f"select workspace_id, count(*) as n from ({_JOBS.format('varchar')}) where status in ('pending', 'running') group by workspace_id",
 )
 def workspace_busy(d: Domain) -> DataFrame:
-    """Jobs under way, which keep a workspace from being deleted."""
-    jobs = _jobs(d)
-    return d.spark.createDataFrame([(w, n) for w in ("ws1", "ws2", "ws3") if (n := history.busy(jobs, w))], "workspace_id string, n long")
+    """Jobs under way, which keep a workspace from being deleted, of all workspaces."""
+    return history.active_counts(_jobs(d))
 
 
 @query(

@@ -265,3 +265,20 @@ def cluster_paths(d: Domain) -> DataFrame:
     word1, word2 = "regexp_replace(lower(substring(text, 1, 4)), '[^a-z]', '')", "regexp_replace(lower(substring(text, 5, 3)), '[^a-z]', 'x')"
     members = docs.select((F.col("doc_id") % 17).alias("cluster_id"), "doc_id", F.expr(_PATHS.format(word1=word1, word2=word2)).alias("relative_path"))
     return paths.contexts(members.withColumnRenamed("doc_id", "asset_id"), ("misc",), ("参考",))
+
+
+_DRAFTS = """select source_file_id, concat('key', doc_id) as asset_key, concat('h', doc_id) as hierarchy_key, asset_id,
+    case when doc_id % 3 = 0 then null when doc_id % 7 = 0 then concat('h', doc_id) when doc_id % 5 = 0 then 'gone' else concat('h', up) end as parent_hierarchy_key
+    from (select *, min(doc_id) over (partition by source_file_id) as up from {assets}) as numbered"""
+
+
+@query(
+    "parent_links",
+    f"""{ctes('assets')}, t as ({_DRAFTS.format(assets='assets')}), p as (select source_file_id, hierarchy_key as parent_hierarchy_key, asset_id as found from t)
+    select asset_key, case when parent_hierarchy_key <> hierarchy_key then found end as parent_asset_id,
+        case when parent_hierarchy_key is null then null when found is null then 'missing parent' when parent_hierarchy_key = hierarchy_key then 'own parent' end as fault
+    from t left join p using (source_file_id, parent_hierarchy_key)""",
+)
+def parent_links(d: Domain) -> DataFrame:
+    """Children to their parents' assets, with what is wrong with those that have none."""
+    return text.attach_parents(d.spark.sql(_DRAFTS, assets=d.assets)).select("asset_key", "parent_asset_id", "fault")

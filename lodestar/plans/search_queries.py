@@ -424,3 +424,19 @@ def effective_names(d: Domain) -> DataFrame:
 def cluster_medoids(d: Domain) -> DataFrame:
     """The member with the least sum of distances, over all vectors of the channel."""
     return assign.medoids(d.vectors.where("ch = 0"))
+
+
+@query(
+    "nearest_members",
+    f"""{ctes('vectors')}, c as (select label, ch, min(embedding_id) as medoid from vectors group by label, ch),
+    m as (select c.*, v.embedding as center from c join vectors v on v.embedding_id = c.medoid and v.label = c.label and v.ch = c.ch)
+    select concat(v.ch, '_', v.label) as label, cast(row_number() over (partition by v.ch, v.label order by {{gap}}, v.embedding_id) as int) as rank, v.embedding_id, round({{gap}}, 9) as distance
+    from vectors v join m on v.label = m.label and v.ch = m.ch qualify rank <= 12""".replace(
+        "{gap}", "sqrt(list_reduce(list_transform(list_zip(v.embedding, m.center), lambda p: (cast(p[1] as double) - cast(p[2] as double)) ** 2), lambda s, x: s + x, 0::double))"
+    ),
+)
+def nearest_members(d: Domain) -> DataFrame:
+    """The members nearest to a cluster's center, of all clusters."""
+    rows = d.vectors.select(F.concat_ws("_", "ch", "label").alias("label"), "embedding_id", "embedding")
+    centers = rows.groupBy("label").agg(F.min("embedding_id").alias("medoid"))
+    return assign.nearest_to_medoid(rows, centers, 12).withColumn("distance", F.round("distance", 9))

@@ -223,6 +223,29 @@ def eval_metrics(d: Domain) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("precision_at_5", "recall_at_10")})
 
 
+_OLD = """select asset_id, doc_id, asset_name, case when doc_id % 5 = 0 then 'user' when doc_id % 5 = 1 then null else 'model' end as asset_name_source,
+    case when doc_id % 4 = 0 then null else description end as asset_description, case when doc_id % 3 = 0 then '{{}}' else concat('{{"s":"', feature_status, '"}}') end as asset_features,
+    1 as feature_revision, embedding_revision, status as processing_status from {assets}"""
+_NEW = """select asset_id, concat('new ', asset_name) as asset_name, case when doc_id % 6 = 0 then concat(description, '!') else description end as asset_description,
+    concat('{{"s":"', case when doc_id % 10 = 0 then 'new' else feature_status end, '"}}') as asset_features from {assets} where doc_id % 2 = 0"""
+
+
+@query(
+    "understanding_stored",
+    f"""{ctes('assets')}, o as ({_OLD.format(assets='assets')}), n as ({_NEW.format(assets='assets')}),
+    m as (select o.*, n.asset_id is not null as told, n.asset_name as nn, n.asset_description as nd, n.asset_features as nf from o left join n using (asset_id)),
+    c as (select *, case when told and ((asset_description is not null and asset_description is distinct from nd) or (asset_features <> '{{}}' and asset_features is distinct from nf)) then 1 else 0 end as more from m)
+    select asset_id, case when told and asset_name_source is distinct from 'user' then nn else asset_name end as asset_name,
+        case when told and asset_name_source is distinct from 'user' then 'model' else asset_name_source end as asset_name_source,
+        case when told then nd else asset_description end as asset_description, case when told then nf else asset_features end as asset_features,
+        feature_revision + more as feature_revision, embedding_revision + more as embedding_revision, case when told then 'processing' else processing_status end as processing_status from c""",
+)
+def understanding_stored(d: Domain) -> DataFrame:
+    """What a model understood, and the revisions that a change of meaning moves on."""
+    old, new = (d.spark.sql(sql, assets=d.assets) for sql in (_OLD, _NEW))
+    return text.store_understanding(old.drop("doc_id"), new)
+
+
 @query(
     "kept_frames",
     f"""with recursive {_SERIES}, f as (select video, event_id, row_number() over (partition by video order by ts, event_id) as n, cast(floor(value) as int) as a,
