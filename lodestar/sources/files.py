@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -162,6 +163,41 @@ def embedded_images(files: DataFrame, least_bytes: int = 1) -> DataFrame:
     return rows.groupBy("path", "sha256").agg(F.min("member").alias("member"), F.array_sort(F.collect_list("member")).alias("occurrences"))
 
 
+#: The largest file that is staged.
+MAX_STAGED = 2 << 30
+
+
+def stage(spark: SparkSession, root: str, relative: str, data: bytes, most: int = MAX_STAGED) -> str:
+    """Puts a file under root by its relative path and returns where; a file that is there is replaced at once or not at all.
+
+    The path may not be absolute, empty or climb; backslashes count as slashes. ValueError for it, and for more than `most` bytes.
+    """
+    clean = relative.strip().replace("\\", "/")
+    parts = [p for p in clean.split("/") if p not in ("", ".")]
+    if clean.startswith("/") or not parts or ".." in parts or ":" in parts[0]:
+        raise ValueError(f"unsafe path: {relative!r}")
+    if len(data) > most:
+        raise ValueError(f"{len(data)} bytes exceed {most}")
+    jvm = spark.sparkContext._jvm
+    final = jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *parts]))
+    own = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}.tmp")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(final.getParent())
+    out = fs.create(own, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    modes = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    modes[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    try:
+        context.rename(own, final, modes)
+    finally:
+        fs.delete(own, False)
+    return final.toString()
+
+
 EVALUATION = (
     "request struct<workspace_id: string, query_type: string, query_text: string>, relevant_asset_ids array<string>, _corrupt_record string"
 )

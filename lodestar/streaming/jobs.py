@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.text import retry_delays
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Parquet files as they arrive; the limit of files is the back-pressure."""
@@ -46,6 +49,25 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retried(handle: Callable[[DataFrame, int], None], attempts: int = 5, first: float = 1.0, cap: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """A batch handler that is tried again after a failure, `attempts` times in all, after delays that double up to the cap.
+
+    The last failure is the batch's, so the stream ends there and goes on from its checkpoint. The handler must be
+    idempotent under its number, as run_batches() asks anyway.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        for delay in [*retry_delays(attempts - 1, first, cap), None]:
+            try:
+                return handle(batch, number)
+            except Exception:
+                if delay is None:
+                    raise
+                sleep(delay)
+
+    return run
+
+
 def enrich_and_assign(assets: DataFrame, vectors: DataFrame, assign: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """Assigns the assets of each batch to clusters and writes them under the batch's number, so that replays overwrite."""
 

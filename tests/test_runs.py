@@ -124,3 +124,35 @@ def test_tokens_by_the_tokenizer(spark):
     docs = spark.createDataFrame([(1, "# A\n\n" + "Some words stand here. " * 300)], "doc_id long, text string")
     children = [r.text for r in chunk.chunk_documents(docs, count).where("role = 'child'").collect()]
     assert len(children) > 1 and all(count(t) <= 600 for t in children)
+
+
+def test_batches_are_tried_again():
+    from lodestar.streaming import jobs
+
+    waited, calls = [], []
+
+    def handle(batch, number):
+        calls.append(number)
+        if len(calls) < 4:
+            raise OSError("busy")
+
+    jobs.retried(handle, attempts=4, first=8.0, sleep=waited.append)(None, 7)
+    assert calls == [7] * 4 and waited == [8.0, 16.0, 30.0]
+    with pytest.raises(OSError):
+        jobs.retried(lambda b, n: (_ for _ in ()).throw(OSError("gone")), attempts=2, sleep=waited.append)(None, 1)
+    assert len(waited) == 4
+
+
+def test_files_are_staged_whole(spark, tmp_path):
+    from lodestar.sources import files
+
+    root = str(tmp_path / "staged")
+    assert files.stage(spark, root, "a\\b/./c.txt", b"one").endswith("/staged/a/b/c.txt")
+    files.stage(spark, root, "a/b/c.txt", b"two")
+    assert (tmp_path / "staged/a/b/c.txt").read_bytes() == b"two"
+    assert [p.name for p in (tmp_path / "staged/a/b").iterdir() if not p.name.endswith(".crc")] == ["c.txt"]
+    for bad in ("", " ", "/x", "a/../../x", "..", "c:/x"):
+        with pytest.raises(ValueError, match="unsafe"):
+            files.stage(spark, root, bad, b"")
+    with pytest.raises(ValueError, match="exceed"):
+        files.stage(spark, root, "x", b"12345", most=4)
