@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .assets import blank_to_null
 
@@ -63,9 +64,27 @@ def embedding_text(channel: Column, feature: Column, description: Column, path:
 
 
 def canonical_json(**values: Column) -> Column:
-    """JSON of the values in one form: keys in order, no blanks, nulls written out, letters as they are; the input of keys."""
-    ordered = F.struct(*(values[k].alias(k) for k in sorted(values)))
-    return F.to_json(ordered, {"ignoreNullFields": "false"})
+    """JSON of the values in one form: keys in order, no blanks, nulls written out, letters as they are; the input of keys.
+
+    Structs and maps among the values are as they are; ordered() puts their keys in order, however deep.
+    """
+    own = F.struct(*(values[k].alias(k) for k in sorted(values)))
+    return F.to_json(own, {"ignoreNullFields": "false"})
+
+
+def ordered(value: Column, kind: T.DataType) -> Column:
+    """value, of type kind, with the keys of all structs and maps within it in order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[ordered(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), ordered(e["value"], kind.valueType).alias("value")))
+        # By keys alone: values may not be comparable, and keys differ.
+        by_key = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.map_from_entries(by_key)
+    return value
 
 
 def framed_hash(*parts: Column) -> Column:

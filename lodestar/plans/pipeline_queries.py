@@ -44,7 +44,7 @@ def markdown_bounds(d: Domain) -> DataFrame:
 def chunk_identity(d: Domain) -> DataFrame:
     """Asset keys and content hashes of blocks, with the parent's key."""
     rows = chunk.chunk_documents(d.raw("documents"))
-    locator = F.concat(F.lit('{"end":'), "end", F.lit(',"kind":"text_range","start":'), "start", F.lit("}"))
+    locator = text.canonical_json(kind=F.lit("text_range"), start=F.col("start"), end=F.col("end"))
     rows = rows.withColumn("asset_key", F.sha2(F.concat_ws("\n", "role", locator), 256)).withColumn("content_hash", text.framed_hash(F.col("asset_key"), F.col("text")))
     parents = rows.where("role = 'parent'").select("doc_id", "parent", F.col("asset_key").alias("parent_key"))
     return rows.join(parents, ["doc_id", "parent"], "left").select("doc_id", "role", "asset_key", "content_hash", "parent_key")

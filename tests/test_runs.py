@@ -156,3 +156,15 @@ def test_files_are_staged_whole(spark, tmp_path):
             files.stage(spark, root, bad, b"")
     with pytest.raises(ValueError, match="exceed"):
         files.stage(spark, root, "x", b"12345", most=4)
+
+
+def test_json_in_one_form_however_deep(spark):
+    from lodestar.operators import text
+
+    schema = "a struct<z: int, b: array<struct<y: string, c: map<string, struct<q: int, k: int>>>>>, m map<string, string>"
+    row = [((1, [("é", {"t": (1, None), "s": (2, 3)}), None]), {"y": "1", "x": None}), (None, None)]
+    df = spark.createDataFrame(row, schema)
+    own = text.canonical_json(v=text.ordered(F.col("a"), df.schema["a"].dataType), m=text.ordered(F.col("m"), df.schema["m"].dataType))
+    assert [r[0] for r in df.select(own).collect()] == [
+        '{"m":{"x":null,"y":"1"},"v":{"b":[{"c":{"s":{"k":3,"q":2},"t":{"k":null,"q":1}},"y":"é"},null],"z":1}}', '{"m":null,"v":null}',
+    ]
