@@ -519,7 +519,7 @@ def test_pipeline_runs_and_keeps_columns(spark):
 def test_every_operator_is_registered():
     from lodestar.llm.queries import oracle_sql, queries
 
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
 
 
