@@ -27,7 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PASS_CHARS, map_texts, read, with_fields
+from .common import map_texts, read, with_fields
+
+#: Characters that are parsed at once: a pass holds some twenty numbers for each of them.
+PASS_CHARS = 500_000
 
 UNDETERMINED = "und"
 #: Characters of the blocks that are parsed in lockstep.
