@@ -2,9 +2,14 @@
 
 Points are dealt into blocks of near ones by the medians of a sample, so that a block's box tells how near another block's
 points can be. A task holds two blocks at once: it goes through the other blocks by the distance of their boxes and ends
-where none can matter. That gives, first, every point's core distance, then, in Boruvka's rounds, every component's nearest
-other component; components join along these edges by joins of tables. Edges are in one strict order (weight, then ids), and
-the weight of an edge is the same number wherever it is computed, so no round makes a cycle.
+where none can matter. One such pass gives every point's core distance and a list of its nearest others. Boruvka's rounds
+then take every component whose least edge the lists prove, without a distance; only what they leave open is searched for in
+passes again, and not from the largest component, which the others join. Components join along these edges by joins of
+tables. Edges are in one strict order (weight, then ids), and the weight of an edge is the same number wherever it is
+computed, so no round makes a cycle.
+
+Two blocks meet by a matrix product in single precision, whose error is bounded: it only tells which pairs can matter, and
+those are computed exactly.
 
 What the hierarchy needs of a channel at last is the tree's edges, some 24 bytes a point, no vector: they are condensed in
 one task, of MOST_EDGES at most; more are an error.
@@ -22,8 +27,9 @@ from pyspark.sql import functions as F
 from ..tables import Scratch, load_arrays, save_arrays
 from . import density
 
-#: Points of a block, points of the sample whose medians split the space, rows of a block that are compared at once.
-BLOCK, SAMPLE, ROWS = 2048, 50_000, 256
+#: Points of a block (fewer of a small channel, so that there are tasks), points of the sample whose medians split the
+#: space, rows of a block that are compared at once, nearest others that are listed for each point.
+BLOCK, LEAST_BLOCK, SAMPLE, ROWS, LISTED = 4096, 512, 50_000, 256, 16
 #: Edges that one task condenses: 20 million points.
 MOST_EDGES = 20_000_000
 
@@ -77,6 +83,44 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """distances() of the pairs of columns of a and b, the same numbers."""
+    total = np.zeros(a.shape[1])
+    for u, v in zip(a, b, strict=True):
+        total += (u - v) ** 2
+    return np.sqrt(total)
+
+
+class Near:
+    """Which pairs of two blocks can be within a distance: points scaled by a power of two, so that no square overflows."""
+
+    def __init__(self, x: np.ndarray, scale: float):
+        self.x, self.scale = np.ascontiguousarray(x.T), scale
+        own = x * scale
+        self.sq = (own**2).sum(1)
+        self.norm = np.sqrt(self.sq)
+        self.rows = np.column_stack([own, np.ones(len(x))]).astype(np.float32)
+        self.columns = np.ascontiguousarray(np.column_stack([own, -self.sq / 2]).astype(np.float32).T)
+
+    def products(self, some: np.ndarray, other: Near, columns: np.ndarray | None = None) -> np.ndarray:
+        """a b - b b / 2: the larger, the nearer b is to a."""
+        return self.rows[some] @ (other.columns if columns is None else other.columns[:, columns])
+
+    def slack(self, some: np.ndarray, other: Near) -> np.ndarray:
+        """A bound of the products' errors."""
+        most = float(other.norm.max(initial=0))
+        return 1.3e-7 * (len(self.x) + 6) * (self.norm[some] * most + most**2 / 2 + self.sq[some]) + 1e-30
+
+    def least(self, some: np.ndarray, other: Near, within: np.ndarray) -> np.ndarray:
+        """What the product of a pair within these distances reaches at least."""
+        far = np.minimum(within * self.scale, 1e15) ** 2
+        bound = (self.sq[some] - far) / 2
+        return np.where(np.isfinite(within), bound - self.slack(some, other) - 2.4e-7 * np.abs(bound), -np.inf).astype(np.float32)
+
+    def exact(self, a: np.ndarray, other: Near, b: np.ndarray) -> np.ndarray:
+        return pair_distances(self.x[:, a], other.x[:, b])
+
+
 def _to_box(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """A bound of the distances of points (or of a box's two corners) to a box, with slack for rounding."""
     gap = np.maximum(np.maximum(low - x[..., -1, :], x[..., 0, :] - high), 0) if x.ndim == 3 else np.maximum(np.maximum(low - x, x - high), 0)
@@ -123,10 +167,12 @@ def _cell_of(x: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.ndar
 class Blocks:
     """The blocks' files in the shared folder, and what is known of each: its number, its size and its box."""
 
-    def __init__(self, points: DataFrame, scratch: Scratch, block: int = BLOCK):
+    def __init__(self, points: DataFrame, scratch: Scratch, block: int | None = None):
         """points(id long, y array<double>): a written table with ids of their own."""
         self.folder, self.spark = scratch.path("blocks"), points.sparkSession
         n, self.numbers = points.count(), []
+        block = block or min(BLOCK, max(LEAST_BLOCK, -(-n // 48)))
+        self.count = n
         if not n:
             return
         sample = points.orderBy(F.xxhash64("id")).limit(SAMPLE).select("y").collect()
@@ -161,6 +207,8 @@ class Blocks:
         made = sorted((r["block"], r["low"], r["high"]) for r in made)
         self.numbers = [b for b, _, _ in made]
         self.low, self.high = (np.array([r[k] for r in made]) for k in (1, 2))
+        most = float(np.abs([self.low, self.high]).max())
+        self.scale = 2.0 ** -int(np.clip(np.ceil(np.log2(most)), -1000, 1000)) if most > 0 else 1.0
 
     def tasks(self) -> DataFrame:
         return self.spark.range(0, len(self.numbers), 1, max(1, len(self.numbers)))
@@ -191,33 +239,62 @@ class Blocks:
         return {k: v for k, v in self.__dict__.items() if k != "spark"}
 
 
-def core_distances(blocks: Blocks, k: int) -> None:
-    """Writes every block's core distances: of each point that to its k-th nearest other."""
+def core_distances(blocks: Blocks, k: int, listed: int = 0) -> None:
+    """Writes every block's core distances: of each point that to its k-th nearest other.
+
+    With `listed`, also its nearest others, as many: their distances `far`, their blocks `there` and rows `row` (-1: none).
+    """
+    most = max(k, listed)
 
     def run(i: int) -> pa.RecordBatch:
-        own = blocks.load(i)
-        x = own["x"]
-        best = np.full((len(x), k), np.inf)
+        x = blocks.load(i)["x"]
+        own = Near(x, blocks.scale)
+        best, there, place = np.full((len(x), most), np.inf), np.full((len(x), most), -1, np.int32), np.full((len(x), most), -1, np.int32)
 
-        def meet(rows: np.ndarray, other: np.ndarray, same: bool) -> None:
+        def meet(rows: np.ndarray, other: Near, j: int) -> None:
             for at in range(0, len(rows), ROWS):
                 some = rows[at : at + ROWS]
-                d = distances(x[some], other)
-                if same:
-                    d[np.arange(len(some)), some] = np.inf
-                both = np.concatenate([best[some], d], axis=1)
-                best[some] = np.sort(np.partition(both, k - 1, axis=1)[:, :k], axis=1)
-
-        meet(np.arange(len(x)), x, True)
+                g = own.products(some, other)
+                least = own.least(some, other, best[some, -1])
+                if (open_ := np.flatnonzero(np.isinf(best[some, -1]))).size:
+                    # No bound yet: what can be among the nearest of this block. The point itself may be one of them.
+                    m = min(most + 1, g.shape[1])
+                    least[open_] = np.partition(g[open_], g.shape[1] - m, axis=1)[:, g.shape[1] - m] - 2 * own.slack(some[open_], other).astype(np.float32)
+                r, c = np.divmod(np.flatnonzero(g >= least[:, None]), g.shape[1])
+                if i == j:
+                    r, c = r[some[r] != c], c[some[r] != c]
+                d = own.exact(some[r], other, c)
+                near = d < best[some[r], -1]
+                r, c, d = r[near], c[near], d[near]
+                order = np.lexsort((c, d, r))
+                r, c, d = r[order], c[order], d[order]
+                touched, first, of = np.unique(r, return_index=True, return_inverse=True)
+                if not len(touched):
+                    continue
+                rank = np.arange(len(r)) - first[of]
+                fine = rank < most
+                new, col = np.full((len(touched), most), np.inf), np.full((len(touched), most), -1, np.int32)
+                new[of[fine], rank[fine]], col[of[fine], rank[fine]] = d[fine], c[fine]
+                at_ = some[touched]
+                both = np.concatenate([best[at_], new], axis=1)
+                pick = np.argsort(both, axis=1, kind="stable")[:, :most]
+                best[at_] = np.take_along_axis(both, pick, 1)
+                if listed:
+                    there[at_] = np.take_along_axis(np.concatenate([there[at_], np.where(col < 0, -1, j).astype(np.int32)], axis=1), pick, 1)
+                    place[at_] = np.take_along_axis(np.concatenate([place[at_], col], axis=1), pick, 1)
+
+        meet(np.arange(len(x)), own, i)
         for gap, j in blocks.others(i):
             if gap >= best[:, -1].max():
                 break
             rows = np.flatnonzero(_to_box(x, blocks.low[j], blocks.high[j]) < best[:, -1])
             if len(rows):
-                meet(rows, blocks.load(j)["x"], False)
+                meet(rows, Near(blocks.load(j)["x"], blocks.scale), j)
         # Fewer other points than k: the farthest there is.
-        core = np.where(np.isfinite(best), best, -1).max(1)
+        core = np.where(np.isfinite(best[:, :k]), best[:, :k], -1).max(1)
         save_arrays(blocks.folder, f"core-{blocks.numbers[i]}.npz", core=np.maximum(core, 0))
+        if listed:
+            save_arrays(blocks.folder, f"list-{blocks.numbers[i]}.npz", far=best, there=there, row=place)
         return pa.RecordBatch.from_arrays([pa.array([i], pa.int32())], ["made"])
 
     blocks.for_each(run, "made int").count()
@@ -236,8 +313,42 @@ def core_table(blocks: Blocks) -> DataFrame:
 _FOUND = "comp long, w double, low long, high long, other long"
 
 
-def nearest_others(blocks: Blocks, kind: str | None, single: dict[int, int]) -> DataFrame:
-    """Of every component the least edge to another: comp, w, low, high (the points' ids), other (the component).
+def proven_edges(blocks: Blocks, kind: str | None) -> DataFrame:
+    """nearest_others() of those components whose least edge the lists of core_distances() prove.
+
+    An edge that a point's list lacks weighs no less than the list's last distance and the point's core distance: an edge
+    that weighs less than this for all points of its component is the least one.
+    """
+
+    def run(i: int) -> pa.RecordBatch:
+        own = blocks.load(i, "core", "list", *([kind] if kind else []))
+        ids, core, there, row = own["ids"], own["core"], own["there"], own["row"]
+        comp = own["comp"] if kind else ids
+        partner, theirs, reach = np.zeros(there.shape, np.int64), np.broadcast_to(comp[:, None], there.shape).copy(), np.full(there.shape, np.inf)
+        for j in np.unique(there[there >= 0]).tolist():
+            held = own if j == i else blocks.load(j, "core", *([kind] if kind else []))
+            at = there == j
+            partner[at], theirs[at], reach[at] = held["ids"][row[at]], (held["comp"] if kind else held["ids"])[row[at]], held["core"][row[at]]
+        w = np.maximum(np.maximum(own["far"], core[:, None]), reach)
+        w[theirs == comp[:, None]] = np.inf
+        unseen = np.maximum(own["far"][:, -1], core)  # infinite where the list has all other points
+        low, high = np.minimum(ids[:, None], partner), np.maximum(ids[:, None], partner)
+        kinds, of = np.unique(comp, return_inverse=True)
+        every = np.repeat(of, w.shape[1])
+        order = np.lexsort((high.ravel(), low.ravel(), w.ravel(), every))
+        first = order[np.concatenate([[True], every[order][1:] != every[order][:-1]])]
+        bound = np.full(len(kinds), np.inf)
+        np.minimum.at(bound, of, unseen)
+        values = [kinds, *(v.ravel()[first] for v in (w, low, high, theirs)), bound]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["comp", "w", "low", "high", "other", "bound"])
+
+    found = blocks.for_each(run, f"{_FOUND}, bound double")
+    least = found.groupBy("comp").agg(F.min(F.struct("w", "low", "high", "other")).alias("e"), F.min("bound").alias("bound"))
+    return least.where(F.col("e.w") < F.col("bound")).select("comp", "e.*")
+
+
+def nearest_others(blocks: Blocks, kind: str | None, single: dict[int, int], skipped: int | None = None) -> DataFrame:
+    """Of every component but `skipped` the least edge to another: comp, w, low, high (the points' ids), other (the component).
 
     kind names the blocks' files of components, none if each point is one. single: the component of blocks that have one.
     """
@@ -247,39 +358,68 @@ def nearest_others(blocks: Blocks, kind: str | None, single: dict[int, int]) ->
 
     names = ("core", kind) if kind else ("core",)
 
-    def run(i: int) -> pa.RecordBatch:
+    def run(i: int) -> pa.RecordBatch | None:
+        if skipped is not None and single.get(i) == skipped:
+            return None
         own = blocks.load(i, *names)
-        x, ids, core = own["x"], own["ids"], own["core"]
-        kinds, of = np.unique(comps(own), return_inverse=True)
+        asked = np.flatnonzero(comps(own) != skipped) if skipped is not None else np.arange(len(own["ids"]))
+        if not len(asked):
+            return None
+        # Rows are those of the components that are asked for; as columns all points of a block count.
+        x, ids, core = own["x"][asked], own["ids"][asked], own["core"][asked]
+        near = Near(x, blocks.scale)
+        kinds, of = np.unique(comps(own)[asked], return_inverse=True)
         w, low, high, other = np.full(len(kinds), np.inf), *(np.full(len(kinds), np.iinfo(np.int64).max) for _ in range(2)), np.zeros(len(kinds), np.int64)
 
-        def meet(rows: np.ndarray, held: dict[str, np.ndarray]) -> None:
-            theirs = comps(held)
+        def update(a: np.ndarray, d: np.ndarray, held: dict[str, np.ndarray], q: np.ndarray) -> None:
+            """Takes the edges of rows a and points q of a block, at distances d."""
+            least = np.maximum(np.maximum(d, core[a]), held["core"][q])
+            fine = least <= w[of[a]]
+            a, q, least = a[fine], q[fine], least[fine]
+            if not len(a):
+                return
+            lo, hi = np.minimum(ids[a], held["ids"][q]), np.maximum(ids[a], held["ids"][q])
+            order = np.lexsort((hi, lo, least, of[a]))
+            first = order[np.concatenate([[True], of[a][order][1:] != of[a][order][:-1]])]
+            c = of[a][first]
+            better = np.array([(p, s, t) < (u, v, z) for p, s, t, u, v, z in zip(least[first], lo[first], hi[first], w[c], low[c], high[c], strict=True)], bool)
+            first, c = first[better], c[better]
+            w[c], low[c], high[c], other[c] = least[first], lo[first], hi[first], comps(held)[q[first]]
+
+        def meet(rows: np.ndarray, held: dict[str, np.ndarray], theirs: Near) -> None:
+            comp = comps(held)
             for at in range(0, len(rows), ROWS):
                 some = rows[at : at + ROWS]
-                d = np.maximum(np.maximum(distances(x[some], held["x"]), core[some, None]), held["core"])
-                d[theirs[None, :] == kinds[of[some], None]] = np.inf
-                q = d.argmin(1)  # ids ascend, so of equal weights the smallest id
-                least, partner = d[np.arange(len(some)), q], held["ids"][q]
-                a, b = np.minimum(ids[some], partner), np.maximum(ids[some], partner)
-                order = np.lexsort((b, a, least, of[some]))
-                first = order[np.concatenate([[True], of[some][order][1:] != of[some][order][:-1]])]
-                c = of[some][first]
-                better = np.isfinite(least[first]) & np.array([(p, s, t) < (u, v, z) for p, s, t, u, v, z in zip(least[first], a[first], b[first], w[c], low[c], high[c], strict=True)], bool)
-                first, c = first[better], c[better]
-                w[c], low[c], high[c], other[c] = least[first], a[first], b[first], theirs[q[first]]
-
-        if len(kinds) > 1:
-            meet(np.arange(len(x)), own)
+                some = some[core[some] <= w[of[some]]]
+                if not len(some):
+                    continue
+                g = near.products(some, theirs)
+                if (open_ := np.flatnonzero(np.isinf(w[of[some]]))).size:
+                    # A first edge for each component that has none.
+                    apart = np.where(comp[None, :] == kinds[of[some[open_]], None], -np.inf, g[open_])
+                    q = apart.argmax(1)
+                    has = np.isfinite(apart[np.arange(len(q)), q])
+                    a, q = some[open_][has], q[has]
+                    update(a, near.exact(a, theirs, q), held, q)
+                lim = w[of[some]]
+                r, c = np.divmod(np.flatnonzero(g >= near.least(some, theirs, lim)[:, None]), g.shape[1])
+                fine = (comp[c] != kinds[of[some[r]]]) & (held["core"][c] <= lim[r])
+                r, c = r[fine], c[fine]
+                update(some[r], near.exact(some[r], theirs, c), held, c)
+
+        if len(np.unique(comps(own))) > 1:
+            meet(np.arange(len(x)), own, Near(own["x"], blocks.scale))
         for gap, j in blocks.others(i):
             if gap > w.max():
                 break
-            if len(kinds) == 1 and single.get(j) == kinds[0]:
-                continue
             # An edge is as long as a core distance and as the way to the box; equal ones count for the order of ids.
-            rows = np.flatnonzero((_to_box(x, blocks.low[j], blocks.high[j]) <= w[of]) & (core <= w[of]))
+            fine = (_to_box(x, blocks.low[j], blocks.high[j]) <= w[of]) & (core <= w[of])
+            if j in single:
+                fine &= kinds[of] != single[j]
+            rows = np.flatnonzero(fine)
             if len(rows):
-                meet(rows, blocks.load(j, *names))
+                held = blocks.load(j, *names)
+                meet(rows, held, Near(held["x"], blocks.scale))
         fine = np.isfinite(w)
         return pa.RecordBatch.from_arrays([pa.array(v[fine]) for v in (kinds, w, low, high, other)], ["comp", "w", "low", "high", "other"])
 
@@ -289,37 +429,53 @@ def nearest_others(blocks: Blocks, kind: str | None, single: dict[int, int]) ->
 
 
 def joined(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(comp, root) by the edges comp -> other, of which each component has one: they lead to one pair that points at itself."""
+    """(comp, root) by the edges comp -> other, of which a component has one or none: they lead to a pair of components that
+    point at each other, or to one without an edge, which has no row."""
     back = edges.select(F.col("comp").alias("other"), F.col("other").alias("back"))
-    now = edges.select("comp", "other").join(back, "other").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("root"))
+    now = edges.select("comp", "other").join(back, "other", "left").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("root"))
     now = scratch.cut(now, "roots")
     while True:
         ahead = now.select(F.col("comp").alias("root"), F.col("root").alias("next"))
-        then = scratch.cut(now.join(ahead, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+        onward = F.coalesce("next", "root")
+        then = scratch.cut(now.join(ahead, "root", "left").select("comp", onward.alias("root"), (onward != F.col("root")).alias("moved")), "roots")
         now = then.select("comp", "root")
         if not then.where("moved").limit(1).count():
             return now
 
 
-def spanning_tree(points: DataFrame, scratch: Scratch, min_samples: int = 3, block: int = BLOCK) -> DataFrame:
+def spanning_tree(points: DataFrame, scratch: Scratch, min_samples: int = 3, block: int | None = None) -> DataFrame:
     """(low, high, w): the n - 1 edges of the minimum spanning tree of points(id, y), a written table, by mutual reachability."""
     spark = points.sparkSession
     blocks = Blocks(points, scratch, block)
     if not blocks.numbers:
         return spark.createDataFrame([], "low long, high long, w double")
-    core_distances(blocks, min_samples)
+    core_distances(blocks, min_samples, LISTED)
     tree, kind, single, of = None, None, {}, points.select("id", F.col("id").alias("comp"))
-    for turn in range(64):
-        edges = scratch.cut(nearest_others(blocks, kind, single), "nearest")
-        if edges.isEmpty():
-            break
-        new = edges.select("low", "high", "w").distinct()
-        tree = scratch.cut(new if tree is None else tree.unionByName(new), "tree")
-        roots = joined(edges, scratch)
-        # A component may hold most points: the joins on it split or broadcast, as roots have each component once.
-        of = scratch.cut(of.join(roots, "comp").select("id", F.col("root").alias("comp")), "components")
-        kind = f"comps{turn}"
-        single = _spread(blocks, of, kind)
+    components, lists, turn = blocks.count, True, 0
+    while components > 1:
+        if lists:
+            found = proven_edges(blocks, kind)
+        else:
+            # The largest component may hold nearly all points; the others' edges join them to it.
+            largest = of.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
+            found = nearest_others(blocks, kind, single, largest)
+        edges = scratch.cut(found, "nearest")
+        new = scratch.cut(edges.select("low", "high", "w").distinct(), "edges")
+        count = new.count()
+        # Lists that hardly prove an edge any more are left.
+        if not count and not lists:
+            raise RuntimeError(f"{components} components without an edge")
+        lists = lists and count > components // 16
+        if not count:
+            continue
+        components -= count
+        tree = new if tree is None else tree.unionByName(new)
+        if components > 1:
+            roots = joined(edges, scratch)
+            # A component may hold most points: the joins on it split or broadcast, as roots have each component once.
+            of = scratch.cut(of.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "components")
+            kind, turn = f"comps{turn}", turn + 1
+            single = _spread(blocks, of, kind)
     return tree if tree is not None else spark.createDataFrame([], "low long, high long, w double")
 
 
@@ -343,7 +499,7 @@ def _spread(blocks: Blocks, of: DataFrame, kind: str) -> dict[int, int]:
     return {r["block"]: r["single"] for r in made if r["single"] is not None}
 
 
-def cluster(points: DataFrame, parameters: density.Parameters | None = None, block: int = BLOCK) -> DataFrame:
+def cluster(points: DataFrame, parameters: density.Parameters | None = None, block: int | None = None) -> DataFrame:
     """(id, label, probability) of points(id long, y array<double>): what density.cluster() says of them; -1 is noise.
 
     ids must differ. A single point is noise, no point gives an empty table.
@@ -372,6 +528,6 @@ def cluster(points: DataFrame, parameters: density.Parameters | None = None, blo
         return scratch.keep(found, "labels")
 
 
-def cluster_table(vectors: DataFrame, dimension: int | None = 8, parameters: density.Parameters | None = None, block: int = BLOCK) -> DataFrame:
+def cluster_table(vectors: DataFrame, dimension: int | None = 8, parameters: density.Parameters | None = None, block: int | None = None) -> DataFrame:
     """cluster() of vectors(id, x) after project()."""
     return cluster(project(vectors, dimension), parameters, block)
