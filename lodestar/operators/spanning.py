@@ -135,14 +135,18 @@ def _cells(sample: np.ndarray, count: int) -> list[tuple[int, float, int, int]]:
     def split(x: np.ndarray, most: int) -> int:
         nonlocal cells
         wide = int((x.max(0) - x.min(0)).argmax())
-        middle = float(np.median(x[:, wide]))
-        left = x[:, wide] < middle
+        own = x[:, wide]
+        middle = float(np.median(own))
+        if most > 1 and own.max() > own.min() and not (own < middle).any():
+            # Over half of the points share the least value: the others part from them.
+            middle = float(own[own > middle].min())
+        left = own < middle
         if most < 2 or not left.any():
             cells += 1
             return -cells
-        at = len(nodes)
+        at, share = len(nodes), min(most - 1, max(1, round(most * float(left.mean()))))
         nodes.append((wide, middle, 0, 0))
-        nodes[at] = (wide, middle, split(x[left], most // 2), split(x[~left], most - most // 2))
+        nodes[at] = (wide, middle, split(x[left], share), split(x[~left], most - share))
         return at
 
     root = split(sample, count)
