@@ -5,16 +5,19 @@ State is immutable: a command takes tables and returns new ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import Scratch, load_arrays, save_arrays
 from . import assets, vector
 
 THRESHOLD = 0.88
 #: Vectors of a label that a task of medoids() has on either side.
-BLOCK = 500
+BLOCK = 2048
 
 
 def assign(fresh: DataFrame, reps: DataFrame, excluded: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,40 +115,68 @@ def detach_and_reassign(
     return left.select("asset_id", "cluster_id", "member_source").unionByName(new), excluded
 
 
-def _block_totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(label, embedding_id, total): sums of distances between blocks i and j of a label, row by row of the first."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    a = pdf[pdf["own"] == i]
-    b = pdf[pdf["own"] == j]
-    if not len(a) or not len(b):
-        return pd.DataFrame({"label": [], "embedding_id": [], "total": []}).astype({"label": pdf["label"].dtype, "embedding_id": object, "total": float})
-    x = np.stack(a["embedding"].to_numpy()).astype(np.float64)
-    y = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-    down, across = np.zeros(len(x)), np.zeros(len(y))
-    for k in range(len(x)):
-        distance = np.sqrt(((y - x[k]) ** 2).sum(axis=1))
-        down[k] = distance.sum()
-        across += distance
-    out = a[["label", "embedding_id"]].assign(total=down)
-    return out if i == j else pd.concat([out, b[["label", "embedding_id"]].assign(total=across)])
+def _totals(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each row of x the sum of its distances to the rows of y, times their weights."""
+    total, sq, columns = np.zeros(len(x)), (y**2).sum(axis=1), np.ascontiguousarray(y.T)
+    for at in range(0, len(x), 128):
+        some = x[at : at + 128]
+        both = (some**2).sum(axis=1)[:, None] + sq
+        d = both - 2 * (some @ columns)
+        # Near pairs are differences of almost equal numbers: they are computed from the components.
+        r, c = np.nonzero(~(d > 0.01 * both))
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
+        for first in range(0, len(r), 65536):
+            i, j = r[first : first + 65536], c[first : first + 65536]
+            d[i, j] = np.sqrt(((some[i] - y[j]) ** 2).sum(axis=1))
+        total[at : at + 128] = d @ weight
+    return total
 
 
 def medoids(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(label, medoid, total) of rows(label, embedding_id, embedding): least sum of Euclidean distances, then smallest id.
 
-    A label's rows are dealt into blocks of about `block`; a task compares two blocks, and only sums leave it. Work grows
-    with the square of a label's size, memory does not grow.
+    ids must differ. Equal vectors of a label are one with a weight. A label's vectors are dealt into files of about `block`
+    in the shared folder; a task reads a label's files one after another for each of its own, so that nothing of a pair is
+    shuffled. Work grows with the square of a label's distinct vectors, memory and what is shuffled do not.
     """
-    own = rows.select("label", "embedding_id", "embedding")
-    counts = own.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    dealt = own.join(counts, "label").withColumn("own", F.pmod(F.xxhash64("embedding_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    kinds = f"label {rows.schema['label'].dataType.simpleString()}, embedding_id string, total double"
-    parts = dealt.select("label", "embedding_id", "embedding", "own", "i", "j").groupBy("label", "i", "j").applyInPandas(_block_totals, kinds)
-    total = parts.groupBy("label", "embedding_id").agg(F.sum("total").alias("total"))
-    best = total.groupBy("label").agg(F.min_by("embedding_id", F.struct(F.round("total", 9).alias("t"), "embedding_id")).alias("medoid"), F.min("total").alias("total"))
-    return best.select("label", "medoid", F.round("total", 6).alias("total"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("label", "embedding_id")}
+    own = rows.where("label is not null").groupBy("label", "embedding").agg(F.min("embedding_id").alias("embedding_id"), F.count(F.lit(1)).cast("double").alias("weight"))
+    with Scratch(rows.sparkSession) as scratch:
+        own, folder = scratch.cut(own, "distinct"), scratch.path("members")
+        counts = own.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+        # Labels are fewer than vectors, but may be many: the join broadcasts them or shuffles.
+        dealt = own.join(counts, "label").withColumn("part", F.pmod(F.xxhash64("embedding_id"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("name", F.sha2(F.col("label").cast("string"), 256))
+
+        def save(table: pa.Table) -> pa.Table:
+            name, part = table.column("name")[0].as_py(), table.column("part")[0].as_py()
+            x = np.array(table.column("embedding").to_pylist(), np.float64)
+            save_arrays(folder, f"{name}-{part}.npz", x=x, weight=table.column("weight").to_numpy())
+            ids = pa.array([table.column("embedding_id").to_pylist()], pa.list_(table.schema.field("embedding_id").type))
+            return pa.table({"label": table.column("label")[:1], "name": [name], "part": pa.array([part], pa.int32()), "ids": ids})
+
+        files = scratch.cut(dealt.groupBy("name", "part").applyInArrow(save, f"label {kinds['label']}, name string, part int, ids array<{kinds['embedding_id']}>"), "files")
+        # A part that no vector fell into has no file.
+        there = files.groupBy("name").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+        tasks = files.join(there, "name").repartition(max(1, min(files.count(), 10_000)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    name, part, parts = (batch.column(c)[i].as_py() for c in ("name", "part", "parts"))
+                    x = load_arrays(folder, f"{name}-{part}.npz")["x"]
+                    total = np.zeros(len(x))
+                    for other in parts:
+                        held = load_arrays(folder, f"{name}-{other}.npz")
+                        total += _totals(x, held["x"], held["weight"])
+                    # Totals are compared after rounding: what may yet be the least leaves the task.
+                    few = np.flatnonzero(~(total > total.min() + 1e-8))
+                    ids = batch.column("ids")[i].values.take(pa.array(few))
+                    yield pa.RecordBatch.from_arrays([batch.column("label")[i : i + 1].take(pa.array(np.zeros(len(few), np.int64))), ids, pa.array(total[few])], ["label", "embedding_id", "total"])
+
+        found = tasks.mapInArrow(run, f"label {kinds['label']}, embedding_id {kinds['embedding_id']}, total double")
+        best = found.groupBy("label").agg(F.min_by("embedding_id", F.struct(F.round("total", 9).alias("t"), "embedding_id")).alias("medoid"), F.min("total").alias("total"))
+        return scratch.keep(best.select("label", "medoid", F.round("total", 6).alias("total")), "medoids")
 
 
 def nearest_to_medoid(rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
