@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, text, video
+from ..tables import Scratch
 from .domain import Domain, ctes
 from .registry import query
 
@@ -208,18 +209,14 @@ def frame_filter(d: Domain) -> DataFrame:
 )
 def eval_metrics(d: Domain) -> DataFrame:
     """Precision and recall of exact search, labels as relevance."""
-    from ..operators import vector
-
     own = d.raw("embeddings")
     q = own.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("embedding").alias("q"))
-    scored = own.crossJoin(F.broadcast(q)).withColumn("s", vector.dot("q", "embedding"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "vec_id"))
-    top = scored.withColumn("rank", rank).where("rank <= 10").groupBy("qid", "qlabel").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("r"))
-    relevant = own.groupBy(F.col("label").alias("qlabel")).agg(F.collect_list("vec_id").alias("relevant"))
-    cases = top.join(relevant, "qlabel").select(
-        F.when(F.col("qlabel") % 2 == 0, "text").otherwise("image").alias("query_type"), F.col("r.vec_id").alias("ranked"), "relevant"
-    )
-    out = evaluate.evaluate(cases)
+    with Scratch(d.spark) as scratch:
+        top = evaluate.nearest(q, own, 10, scratch).join(own.select("vec_id", "label"), "vec_id")
+        hits = top.join(q.drop("q"), "qid").groupBy("qid", "qlabel").agg(*(F.count_if((F.col("rank") <= n) & (F.col("label") == F.col("qlabel"))).alias(f"hits_{n}") for n in (5, 10)))
+        relevant = own.groupBy(F.col("label").alias("qlabel")).agg(F.count(F.lit(1)).alias("relevant"))
+        cases = hits.join(relevant, "qlabel").withColumn("query_type", F.when(F.col("qlabel") % 2 == 0, "text").otherwise("image"))
+        out = scratch.keep(evaluate.evaluate_counts(cases), "evaluation")
     return out.withColumns({c: F.round(c, 9) for c in ("precision_at_5", "recall_at_10")})
 
 
