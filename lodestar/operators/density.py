@@ -137,19 +137,24 @@ def condensed(tree: np.ndarray, n: int, least: int) -> list[tuple[int, int, floa
 
 
 def select(rows: list[tuple[int, int, float, int]], n: int, method: str, epsilon: float) -> list[int]:
-    """The chosen clusters; the root is never one."""
+    """The chosen clusters; the root is never one. Parents have smaller numbers than their children, so that each step is one
+    pass over the clusters, however deep they are."""
     parent = {c: p for p, c, _, _ in rows if c >= n}
     birth = {c: lam for _, c, lam, _ in rows if c >= n} | {n: 0.0}
     below: dict[int, list[int]] = {}
     for c, p in parent.items():
         below.setdefault(p, []).append(c)
-
-    def descendants(c: int) -> list[int]:
-        out, todo = [], list(below.get(c, ()))
-        while todo:
-            x = todo.pop()
-            out.append(x)
-            todo.extend(below.get(x, ()))
+    downward = sorted(parent)
+
+    def topmost(some: set[int]) -> set[int]:
+        """Those without one of `some` above them."""
+        out, covered = set(), set()
+        for c in downward:
+            if parent[c] in covered:
+                covered.add(c)
+            elif c in some:
+                out.add(c)
+                covered.add(c)
         return out
 
     if method == "leaf":
@@ -159,23 +164,19 @@ def select(rows: list[tuple[int, int, float, int]], n: int, method: str, epsilon
         for p, _, lam, size in rows:
             gain = lam - birth[p] if np.isfinite(lam) or np.isfinite(birth[p]) else 0.0
             stability[p] += gain * size
-        chosen = set(parent)
-        for c in sorted(parent, reverse=True):
+        kept = set(parent)
+        for c in reversed(downward):
             inner = sum(stability[x] for x in below.get(c, ()))
             if c in below and inner > stability[c]:
-                chosen.discard(c)
+                kept.discard(c)
                 stability[c] = inner
-            else:
-                chosen -= set(descendants(c))
+        chosen = topmost(kept)
     if epsilon > 0:
-        kept: set[int] = set()
-        for c in sorted(chosen):
-            x = c
-            # Clusters split off below epsilon give way to the first ancestor that did not.
-            while birth[x] > 0 and 1 / birth[x] < epsilon and parent[x] != n:
-                x = parent[x]
-            kept.add(x)
-        chosen = {c for c in kept if not any(c in descendants(o) for o in kept if o != c)}
+        # Clusters split off below epsilon give way to the first ancestor that did not.
+        up: dict[int, int] = {}
+        for c in downward:
+            up[c] = up[parent[c]] if birth[c] > 0 and 1 / birth[c] < epsilon and parent[c] != n else c
+        chosen = topmost({up[c] for c in chosen})
     return sorted(chosen)
 
 
@@ -205,12 +206,16 @@ def labels_of(tree: np.ndarray, n: int, p: Parameters) -> tuple[np.ndarray, np.n
     top: dict[int, float] = {}
     for q, _, lam, _ in rows:
         top[q] = max(top.get(q, 0.0), lam)
+    # The chosen cluster that each is or lies in, by parents first.
+    inside: dict[int, int] = {}
+    for c in sorted(parent):
+        if c in number or parent[c] in inside:
+            inside[c] = c if c in number else inside[parent[c]]
     for q, c, lam, _ in rows:
         if c >= n:
             continue
-        while q not in number and q in parent:
-            q = parent[q]
-        if q in number:
+        if q in inside:
+            q = inside[q]
             labels[c] = number[q]
             most = top[q]
             probability[c] = 1.0 if most == 0 or not np.isfinite(lam) or not np.isfinite(most) else min(lam, most) / most
@@ -317,6 +322,28 @@ def medoid(x: np.ndarray) -> int:
     return int(_distances(x).sum(axis=1).argmin())
 
 
+def choose(center, near, size, away, assets, sources, probability, limit: int = 10, edges: int = 2, per_source: int = 2) -> list[tuple[int, str]]:
+    """(position, role) of a cluster's representatives, by rank. near: the other members by distance, then asset."""
+    count = min(limit, size)
+    n_edge = min(edges, max(0, count - 5))
+    used = {sources[center]: 1}
+
+    def take(order, most):
+        got = []
+        for i in order:
+            if len(got) >= most:
+                break
+            if used.get(sources[i], 0) < per_source:
+                used[sources[i]] = used.get(sources[i], 0) + 1
+                got.append(i)
+        return got
+
+    core = [int(center), *take(near, count - n_edge - 1)]
+    edge = take(sorted((i for i in near if i not in core), key=lambda i: (probability[i], away[i], assets[i])), n_edge)
+    core += take((i for i in near if i not in core and i not in edge), count - len(core) - len(edge))
+    return [(i, "medoid" if rank == 0 else "edge" if i in edge else "core") for rank, i in enumerate([*core, *edge])]
+
+
 def representatives(x, labels, assets, sources, probability, limit: int = 10, edges: int = 2, per_source: int = 2):
     """(label, rank, position, role, distance): medoid, nearest members, then the least certain ones, few of a source."""
     out = []
@@ -325,26 +352,8 @@ def representatives(x, labels, assets, sources, probability, limit: int = 10, ed
         center = own[medoid(x[own])]
         away = np.linalg.norm(x - x[center], axis=1)
         near = sorted((i for i in own.tolist() if i != center), key=lambda i: (away[i], assets[i]))
-        count = min(limit, len(own))
-        n_edge = min(edges, max(0, count - 5))
-        used = {sources[center]: 1}
-
-        def take(order, most, used=used):
-            got = []
-            for i in order:
-                if len(got) >= most:
-                    break
-                if used.get(sources[i], 0) < per_source:
-                    used[sources[i]] = used.get(sources[i], 0) + 1
-                    got.append(i)
-            return got
-
-        core = [int(center), *take(near, count - n_edge - 1)]
-        edge = take(sorted((i for i in near if i not in core), key=lambda i: (probability[i], away[i], assets[i])), n_edge)
-        core += take((i for i in near if i not in core and i not in edge), count - len(core) - len(edge))
-        for rank, i in enumerate([*core, *edge]):
-            role = "medoid" if rank == 0 else "edge" if i in edge else "core"
-            out.append((label, rank, i, role, float(away[i])))
+        chosen = choose(center, near, len(own), away, assets, sources, probability, limit, edges, per_source)
+        out += [(label, rank, i, role, float(away[i])) for rank, (i, role) in enumerate(chosen)]
     return out
 
 
