@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from itertools import pairwise
@@ -93,7 +94,10 @@ def absorb_runs(labels: list[int], embeddings: np.ndarray, least: int = 2) -> li
     cuts = [i for i in range(len(labels)) if not i or labels[i] != labels[i - 1]]
     spans = [[labels[a], a, b] for a, b in pairwise([*cuts, len(labels)])]
     sums = [embeddings[a:b].sum(axis=0) for _, a, b in spans]
-    while len(spans) > 1 and (i := next((k for k, (_, a, b) in enumerate(spans) if b - a < least), None)) is not None:
+    # Runs before the first short one stay long, so that the search goes on from there.
+    at = 0
+    while len(spans) > 1 and (i := next((k for k in range(at, len(spans)) if spans[k][2] - spans[k][1] < least), None)) is not None:
+        at = max(i - 1, 0)
         spans[i][0] = spans[_nearer(sums, i)][0]
         # Runs of one label that now meet are one; three of them where both neighbours have it.
         for j in (i, i - 1):
@@ -107,7 +111,10 @@ def merge_short(regions: list[tuple[float, float]], least: float = 1000, sums: l
     """Regions in time order, those shorter than `least` joined to the neighbour whose centre is nearer by the sums of
     their frames (which are changed alike); without sums, to the shorter one."""
     out = list(regions)
-    while len(out) > 1 and (i := next((k for k, (a, b) in enumerate(out) if b - a < least), None)) is not None:
+    # Regions before the first short one stay long, so that the search goes on from there.
+    at = 0
+    while len(out) > 1 and (i := next((k for k in range(at, len(out)) if out[k][1] - out[k][0] < least), None)) is not None:
+        at = max(i - 1, 0)
         if sums is not None:
             j = _nearer(sums, i)
         else:
@@ -147,23 +154,41 @@ def merge_to_target(
 
     sums are those of the regions' frames, shifts the costs of the ends of all regions but the last (none: 0).
     """
-    groups = [[i] for i in range(len(durations))]
+    n = len(durations)
+    groups: list[list[int] | None] = [[i] for i in range(n)]
     size = [float(d) for d in durations]
     total = [np.asarray(x, float) for x in sums]
-    shifts = np.zeros(max(len(groups) - 1, 0)) if shifts is None else shifts
-    while len(groups) > 1:
-        found = []
-        for i in range(len(groups) - 1):
-            whole = size[i] + size[i + 1]
-            if whole <= hard and float(_unit(total[i]) @ _unit(total[i + 1])) >= gate:
-                found.append((0.5 * (whole / target) ** 2 + 0.5 * float(shifts[groups[i][-1]]), i))
-        cost, i = min(found, default=(math.inf, 0))
+    shifts = np.zeros(max(n - 1, 0)) if shifts is None else shifts
+    # A group is known by its first region; a pair's cost changes only when one of the two does, which its version tells.
+    following, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
+    todo: list[tuple[float, int, int]] = []
+
+    def look(i: int) -> None:
+        version[i] += 1
+        if (j := following[i]) < n:
+            whole = size[i] + size[j]
+            if whole <= hard and float(_unit(total[i]) @ _unit(total[j])) >= gate:
+                heapq.heappush(todo, (0.5 * (whole / target) ** 2 + 0.5 * float(shifts[groups[i][-1]]), i, version[i]))
+
+    for i in range(n):
+        look(i)
+    while todo:
+        cost, i, of = heapq.heappop(todo)
+        if of != version[i]:
+            continue
         if cost > stop:
             break
-        groups[i] += groups.pop(i + 1)
-        size[i] += size.pop(i + 1)
-        total[i] = total[i] + total.pop(i + 1)
-    return groups
+        j = following[i]
+        groups[i] += groups[j]
+        size[i] += size[j]
+        total[i] = total[i] + total[j]
+        groups[j], version[j], following[i] = None, -1, following[j]
+        if following[i] < n:
+            before[following[i]] = i
+        look(i)
+        if before[i] >= 0:
+            look(before[i])
+    return [g for g in groups if g is not None]
 
 
 def distinct_frames(embeddings: np.ndarray, most_similar: float) -> list[int]:
