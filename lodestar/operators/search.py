@@ -66,8 +66,11 @@ def recall(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     sides meet by channel through a shuffle. Ranks go by score, then embedding_id.
     """
     fine = vectors.where(vector.is_valid("embedding"))
-    side = vector.counted(queries)
-    scored = fine.join(side.drop("ch"), "embedding_type").withColumn("score", vector.cosine("query", "embedding")).drop("query", "embedding")
+    # What a query has alone is told once for it, not for every pair.
+    side = vector.counted(queries.where(vector.is_valid("query")).withColumn("_norm", vector.norm("query")))
+    scored = fine.join(side.drop("ch"), "embedding_type").where(F.size("query") == F.size("embedding"))
+    value = vector.dot("query", "embedding") / (F.col("_norm") * vector.norm("embedding"))
+    scored = scored.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).drop("query", "embedding", "_norm")
     w = Window.partitionBy("query_no", "embedding_type").orderBy(F.desc("score"), "embedding_id")
     return scored.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

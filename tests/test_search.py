@@ -125,6 +125,85 @@ def test_recall_over_several_shards(spark):
     index.unpersist()
 
 
+def test_links_are_those_of_the_rule():
+    import numpy as np
+
+    from lodestar.operators import graph
+
+    x = points(300, 8, 7)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine, own, above = (x @ x.T).astype(np.float32), np.arange(300), np.arange(0, 300, 9)
+    np.fill_diagonal(cosine, -np.inf)
+    both = [set() for _ in own]
+    for i in own:
+        order = lambda js, i=i: sorted(js, key=lambda j: (-cosine[i, j], j))
+        chosen, passed = [], []
+        for j in order({*order(set(own) - {i})[:20], *order(set(above) - {i})[:20]}):
+            fine = len(chosen) < 6 and all(cosine[j, k] < cosine[i, j] for k in chosen)
+            (chosen if fine else passed).append(j)
+        for j in (chosen + passed)[:6]:
+            both[i].add(j)
+            both[j].add(i)
+    a, b = graph.layer_links(cosine, own, 6, above, 40)
+    for i in own:
+        assert b[a == i][:12].tolist() == sorted(both[i], key=lambda j, i=i: (-cosine[i, j], j))[:12]
+
+
+def test_copies_are_tied_together_without_a_search_of_all_pairs_for_each():
+    import time
+
+    import numpy as np
+
+    from lodestar.operators import graph
+
+    x = np.random.default_rng(8).normal(size=(3000, 16))
+    x[300:] = x[0]
+    began = time.process_time()
+    g = graph.Graph(x, *graph.Graph.build(x, [f"e{i}" for i in range(3000)]))
+    assert time.process_time() - began < 8
+    seen, todo = {g.entry}, [g.entry]
+    while todo:
+        new = set(g.near(0, todo.pop()).tolist()) - seen
+        seen |= new
+        todo += new
+    assert len(seen) == 3000
+
+
+def test_all_filters_are_one_scan_and_vectors_are_derived_once(spark):
+    from lodestar.operators import graph
+    from lodestar.plans import search_queries
+    from lodestar.plans.domain import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    plain, derived = d.vectors, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    d._made["vectors"] = plain.mapInArrow(counted, plain.schema)
+    rows = search_queries.recall_graph(d).collect()
+    assert derived.value == plain.count() and all(r.recall_fine and not r.n_outside for r in rows)
+
+    index = graph.index(plain, shard=100).cache()
+    admits = [lambda p, n=n: p["doc_id"] % n == 0 for n in (1, 5)]
+    columns = ["query_no", "rank", "embedding_id", "score"]
+    each = graph.recall_each(index, d.queries, 15, admits)
+    for i, admit in enumerate(admits):
+        want = sorted(graph.recall(index, d.queries, 15, admit).select(columns).collect())
+        assert want and sorted(each.where(f"filter_no = {i}").select(columns).collect()) == want
+    index.unpersist()
+
+
+def test_exact_recall_leaves_out_invalid_queries_and_other_lengths(spark):
+    rows = vectors(spark, "native").union(spark.createDataFrame([("z", "z", "native", [0.0, 0.0], "w", "image", "s", 1), ("s", "s", "native", [1.0], "w", "image", "s", 1)], VECTOR))
+    asked = [(0, "native", 1.0, [1.0, 0.0]), (1, "native", 1.0, [0.0, 0.0]), (2, "native", 1.0, None), (3, "native", 1.0, [1.0, 0.0, 0.0]), (4, "native", 1.0, [1.0, float("nan")])]
+    found = search.recall(spark.createDataFrame(asked, "query_no int, embedding_type string, weight double, query array<double>"), rows, 3).orderBy("rank").collect()
+    assert [(r.query_no, r["rank"], r.embedding_id) for r in found] == [(0, 1, "native0"), (0, 2, "native1"), (0, 3, "native2")]
+    assert [round(r.score, 9) for r in found] == [round(1 / (1 + (i / 10) ** 2) ** 0.5, 9) for i in range(3)] and "query" not in found[0]
+
+
 def test_a_vector_table_is_made_or_must_fit(spark, tmp_path):
     from pyspark.sql import types as T
 
