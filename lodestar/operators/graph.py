@@ -29,6 +29,8 @@ from . import vector
 LINKS, CONSTRUCTION, KEPT = 16, 200, 128
 #: Vectors of a shard; a shard's similarities are held at once, 64 MB.
 SHARD = 4096
+#: Shards of a file of a written index: a reader takes all rows of a file up to 4,096 at once, and a shard's row is long.
+FILE_SHARDS = 4
 
 
 def layers(ids: list[str], links: int = LINKS) -> np.ndarray:
@@ -214,8 +216,9 @@ def index(vectors: DataFrame, shard: int = SHARD, links: int = LINKS) -> DataFra
     """A row for each shard of vectors(embedding_type, embedding_id, embedding, ..): embedding_type, shard, payload, x, starts, targets.
 
     payload has all other columns, which filters may use. Invalid vectors are left out; a channel's must have one length.
-    Write the result once and search that: each search of an unwritten index would build it again. A channel is dealt
-    over shards by its embedding_ids, so that no channel or shard is larger than others, whatever their numbers.
+    Write the result once, FILE_SHARDS rows a file, and search that: each search of an unwritten index would build it
+    again. A channel is dealt over shards by its embedding_ids, so that no channel or shard is larger than others,
+    whatever their numbers.
     """
     fine = vectors.where(vector.is_valid("embedding"))
     # Channels are few: their numbers of shards are broadcast.

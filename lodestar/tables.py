@@ -48,10 +48,10 @@ class Scratch:
         self.paths.append(f"{shared_dir(self.spark)}/lodestar/{name}-{uuid.uuid4().hex}")
         return self.paths[-1]
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written once and read from there: its lineage ends, and lost executors cost nothing."""
+    def cut(self, df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+        """df, written once and read from there: its lineage ends, and lost executors cost nothing. A file has file_rows rows at most, if not 0."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", file_rows).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

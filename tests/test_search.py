@@ -196,6 +196,24 @@ def test_all_filters_are_one_scan_and_vectors_are_derived_once(spark):
     index.unpersist()
 
 
+def test_a_file_of_the_index_has_few_shards(spark, monkeypatch):
+    from lodestar.operators import graph
+    from lodestar.plans import search_queries
+    from lodestar.plans.domain import Domain
+
+    build, most = graph.index, []
+    monkeypatch.setattr(graph, "index", lambda rows: build(rows, shard=10).coalesce(1))
+    each = graph.recall_each
+
+    def seen(index, *a):
+        most.append(index.groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first())
+        return each(index, *a)
+
+    monkeypatch.setattr(graph, "recall_each", seen)
+    assert search_queries.recall_graph(Domain(spark, "/root/testdata/sf0.001")).count()
+    assert most[0][0] <= graph.FILE_SHARDS < most[0][1]
+
+
 def test_exact_recall_leaves_out_invalid_queries_and_other_lengths(spark):
     rows = vectors(spark, "native").union(spark.createDataFrame([("z", "z", "native", [0.0, 0.0], "w", "image", "s", 1), ("s", "s", "native", [1.0], "w", "image", "s", 1)], VECTOR))
     asked = [(0, "native", 1.0, [1.0, 0.0]), (1, "native", 1.0, [0.0, 0.0]), (2, "native", 1.0, None), (3, "native", 1.0, [1.0, 0.0, 0.0]), (4, "native", 1.0, [1.0, float("nan")])]
