@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import Scratch, load_arrays, save_arrays
-from . import assets, vector
+from . import assets, spanning, vector
 
 THRESHOLD = 0.88
 #: Vectors of a label that a task of medoids() has on either side.
@@ -132,12 +132,51 @@ def _totals(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return total
 
 
+class _Rough:
+    """Totals in single precision with a bound of their error: they tell which rows can have the least."""
+
+    def __init__(self, x: np.ndarray):
+        self.middle = x.mean(axis=0)
+        most = float(np.abs(x - self.middle).max(initial=0))
+        self.scale = 2.0 ** -int(np.clip(np.ceil(np.log2(most)), -1000, 1000)) if 0 < most < np.inf else 1.0
+        own = (x - self.middle) * self.scale
+        sq = (own**2).sum(axis=1)
+        self.norm, self.rows = np.sqrt(sq), np.column_stack([own, np.ones(len(x)), sq]).astype(np.float32)
+        self.total, self.error = np.zeros(len(x)), np.zeros(len(x))
+
+    def add(self, y: np.ndarray, weight: np.ndarray) -> None:
+        own = (y - self.middle) * self.scale
+        sq = (own**2).sum(axis=1)
+        columns = np.ascontiguousarray(np.column_stack([-2 * own, sq, np.ones(len(y))]).astype(np.float32).T)
+        # A sum over at most 512 columns each: fewer roundings.
+        share = np.zeros((len(y), -(-len(y) // 512)), np.float32)
+        share[np.arange(len(y)), np.arange(len(y)) // 512] = weight
+        every = float(weight.sum())
+        for at in range(0, len(self.rows), 128):
+            d = self.rows[at : at + 128] @ columns
+            # Of a square distance; those under `near` count as `near`.
+            wrong = 1.3e-7 * (y.shape[1] + 8) * (self.norm[at : at + 128] + np.sqrt(sq.max())) ** 2 + 1e-30
+            near = (1000 * wrong).astype(np.float32)
+            np.sqrt(np.maximum(d, near[:, None], out=d), out=d)
+            least, total = np.sqrt(near.astype(np.float64)), (d @ share).sum(axis=1, dtype=np.float64)
+            r, c = np.nonzero(d <= (1.000001 * least)[:, None].astype(np.float32))
+            close = np.bincount(r, weight[c], len(d))
+            self.total[at : at + 128] += total
+            self.error[at : at + 128] += every * 1.01 * wrong / least + 1.01 * close * least + 4e-5 * total
+
+    def candidates(self) -> np.ndarray:
+        """Rows that can have the least total; all if it cannot be told."""
+        within = ~(self.total - self.error > (self.total + self.error).min()) if np.isfinite(self.total + self.error).all() else np.ones(len(self.total), bool)
+        return np.flatnonzero(within)
+
+
 def medoids(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(label, medoid, total) of rows(label, embedding_id, embedding): least sum of Euclidean distances, then smallest id.
 
-    ids must differ. Equal vectors of a label are one with a weight. A label's vectors are dealt into files of about `block`
-    in the shared folder; a task reads a label's files one after another for each of its own, so that nothing of a pair is
-    shuffled. Work grows with the square of a label's distinct vectors, memory and what is shuffled do not.
+    ids must differ. Equal vectors of a label are one with a weight. Labels of up to `block` vectors are a group each. The
+    vectors of larger ones are dealt into files of about `block` in the shared folder; a task reads a label's files one after another for each of its own, so that nothing of a pair is
+    shuffled. Totals in single precision tell which vectors to compute exactly. Work grows with the square of a label's
+    distinct vectors, memory and what is shuffled do not.
     """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("label", "embedding_id")}
     own = rows.where("label is not null").groupBy("label", "embedding").agg(F.min("embedding_id").alias("embedding_id"), F.count(F.lit(1)).cast("double").alias("weight"))
@@ -145,12 +184,24 @@ def medoids(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         own, folder = scratch.cut(own, "distinct"), scratch.path("members")
         counts = own.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
         # Labels are fewer than vectors, but may be many: the join broadcasts them or shuffles.
-        dealt = own.join(counts, "label").withColumn("part", F.pmod(F.xxhash64("embedding_id"), F.col("parts")).cast("int"))
+        counts = scratch.cut(counts, "counts")
+        every = own.join(counts, "label")
+
+        def least(label: pa.ChunkedArray, ids: pa.Array, total: np.ndarray) -> pa.Table:
+            # Totals are compared after rounding: what may yet be the least leaves the task.
+            few = np.flatnonzero(~(total > total.min() + 1e-8))
+            return pa.table({"label": label.take(pa.array(np.zeros(len(few), np.int64))), "embedding_id": ids.take(pa.array(few)), "total": total[few]})
+
+        def alone(table: pa.Table) -> pa.Table:
+            x = spanning.matrix(table.column("embedding").combine_chunks())
+            return least(table.column("label"), table.column("embedding_id"), _totals(x, x, table.column("weight").to_numpy()))
+
+        dealt = every.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("embedding_id"), F.col("parts")).cast("int"))
         dealt = dealt.withColumn("name", F.sha2(F.col("label").cast("string"), 256))
 
         def save(table: pa.Table) -> pa.Table:
             name, part = table.column("name")[0].as_py(), table.column("part")[0].as_py()
-            x = np.array(table.column("embedding").to_pylist(), np.float64)
+            x = spanning.matrix(table.column("embedding").combine_chunks())
             save_arrays(folder, f"{name}-{part}.npz", x=x, weight=table.column("weight").to_numpy())
             ids = pa.array([table.column("embedding_id").to_pylist()], pa.list_(table.schema.field("embedding_id").type))
             return pa.table({"label": table.column("label")[:1], "name": [name], "part": pa.array([part], pa.int32()), "ids": ids})
@@ -165,16 +216,19 @@ def medoids(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 for i in range(batch.num_rows):
                     name, part, parts = (batch.column(c)[i].as_py() for c in ("name", "part", "parts"))
                     x = load_arrays(folder, f"{name}-{part}.npz")["x"]
-                    total = np.zeros(len(x))
+                    rough = _Rough(x)
+                    for other in parts:
+                        held = load_arrays(folder, f"{name}-{other}.npz")
+                        rough.add(held["x"], held["weight"])
+                    some = rough.candidates()
+                    total = np.zeros(len(some))
                     for other in parts:
                         held = load_arrays(folder, f"{name}-{other}.npz")
-                        total += _totals(x, held["x"], held["weight"])
-                    # Totals are compared after rounding: what may yet be the least leaves the task.
-                    few = np.flatnonzero(~(total > total.min() + 1e-8))
-                    ids = batch.column("ids")[i].values.take(pa.array(few))
-                    yield pa.RecordBatch.from_arrays([batch.column("label")[i : i + 1].take(pa.array(np.zeros(len(few), np.int64))), ids, pa.array(total[few])], ["label", "embedding_id", "total"])
+                        total += _totals(x[some], held["x"], held["weight"])
+                    yield from least(batch.column("label")[i : i + 1], batch.column("ids")[i].values.take(pa.array(some)), total).to_batches()
 
-        found = tasks.mapInArrow(run, f"label {kinds['label']}, embedding_id {kinds['embedding_id']}, total double")
+        schema = f"label {kinds['label']}, embedding_id {kinds['embedding_id']}, total double"
+        found = every.where("parts = 1").drop("parts").groupBy("label").applyInArrow(alone, schema).unionByName(tasks.mapInArrow(run, schema))
         best = found.groupBy("label").agg(F.min_by("embedding_id", F.struct(F.round("total", 9).alias("t"), "embedding_id")).alias("medoid"), F.min("total").alias("total"))
         return scratch.keep(best.select("label", "medoid", F.round("total", 6).alias("total")), "medoids")
 

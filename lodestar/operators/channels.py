@@ -79,7 +79,7 @@ def _sums(members: DataFrame) -> DataFrame:
         for batch in batches:
             label = batch.column("label").to_numpy()
             if len(label):
-                x = density.unit_rows(np.array(batch.column("embedding").to_pylist(), np.float64))
+                x = density.unit_rows(spanning.matrix(batch.column("embedding")))
                 kinds, of, n = np.unique(label, return_inverse=True, return_counts=True)
                 total = np.zeros((len(kinds), x.shape[1]))
                 np.add.at(total, of, x)
@@ -136,9 +136,9 @@ def _least_cosines(members: DataFrame, groups: list[tuple[list[int], np.ndarray]
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.full(len(middles), np.inf)
         for batch in batches:
-            k = np.array([of.get(x, -1) for x in batch.column("label").to_pylist()], int)
+            k = np.array([of.get(x, -1) for x in batch.column("label").to_numpy().tolist()], int)
             if (k >= 0).any():
-                x = density.unit_rows(np.array(batch.column("embedding").filter(pa.array(k >= 0)).to_pylist(), np.float64))
+                x = density.unit_rows(spanning.matrix(batch.column("embedding").filter(pa.array(k >= 0))))
                 k = k[k >= 0]
                 np.minimum.at(least, k, (x * middles[k]).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(middles))), pa.array(least)], ["k", "least"])

@@ -5,9 +5,12 @@ points can be. A task holds two blocks at once: it goes through the other blocks
 where none can matter. One such pass gives every point's core distance and a list of its nearest others. Boruvka's rounds
 then take every component whose least edge the lists prove, without a distance; only what they leave open is searched for in
 passes again, and not from the largest component, which the others join. Components join along these edges by joins of
-tables. Edges are in one strict order (weight, then ids), and the weight of an edge is the same number wherever it is
+tables, on the driver once there are few. Edges are in one strict order (weight, then ids), and the weight of an edge is the same number wherever it is
 computed, so no round makes a cycle.
 
+Equal points are one place with a weight. The place's least id takes part in the rounds; in the strict order each other
+copy is a leaf of the tree, whose one edge follows from what is within the place's core distance.
+
 Two blocks meet by a matrix product in single precision, whose error is bounded: it only tells which pairs can matter, and
 those are computed exactly.
 
@@ -30,8 +33,16 @@ from . import density
 #: Points of a block (fewer of a small channel, so that there are tasks), points of the sample whose medians split the
 #: space, rows of a block that are compared at once, nearest others that are listed for each point.
 BLOCK, LEAST_BLOCK, SAMPLE, ROWS, LISTED = 4096, 512, 50_000, 256, 16
-#: Edges that one task condenses: 20 million points.
-MOST_EDGES = 20_000_000
+#: Edges that one task condenses: 20 million points. Components whose edges the driver follows; more are joined by tables.
+MOST_EDGES, MOST_FOLLOWED = 20_000_000, 200_000
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of lists, all of one length."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not len(column) or column.null_count or len(np.unique(np.diff(column.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors must be there and of one length")
+    return values.reshape(len(column), -1)
 
 
 def project(vectors: DataFrame, dimension: int | None) -> DataFrame:
@@ -49,7 +60,7 @@ def project(vectors: DataFrame, dimension: int | None) -> DataFrame:
         n, total, products = 0, np.zeros(d), np.zeros((d, d))
         for batch in batches:
             if batch.num_rows:
-                x = density.unit_rows(np.array(batch.column("x").to_pylist(), np.float64))
+                x = density.unit_rows(matrix(batch.column("x")))
                 n, total, products = n + len(x), total + x.sum(0), products + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64())), pa.array([products.ravel()], pa.list_(pa.float64()))], ["n", "total", "products"])
 
@@ -66,8 +77,13 @@ def project(vectors: DataFrame, dimension: int | None) -> DataFrame:
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = density.unit_rows(np.array(batch.column("x").to_pylist(), np.float64))
-                y = x if loadings is None else (x - mean) @ loadings
+                x = density.unit_rows(matrix(batch.column("x")))
+                y = x
+                if loadings is not None:
+                    # Component by component: equal rows stay equal, which a matrix product does not promise.
+                    x, y = np.ascontiguousarray((x - mean).T), np.zeros((len(x), target))
+                    for values, loading in zip(x, loadings, strict=True):
+                        y += values[:, None] * loading
                 length = np.linalg.norm(y, axis=1, keepdims=True)
                 y = y / np.where(length > np.finfo(np.float32).eps, length, 1.0)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(y), pa.list_(pa.float64()))], ["id", "y"])
@@ -172,7 +188,9 @@ class Blocks:
     """The blocks' files in the shared folder, and what is known of each: its number, its size and its box."""
 
     def __init__(self, points: DataFrame, scratch: Scratch, block: int | None = None):
-        """points(id long, y array<double>): a written table with ids of their own."""
+        """points(id long, y array<double>): a written table with ids of their own. A point may have a weight, for its copies."""
+        if "weight" not in points.columns:
+            points = points.withColumn("weight", F.lit(1).cast("long"))
         self.folder, self.spark = scratch.path("blocks"), points.sparkSession
         n, self.numbers = points.count(), []
         block = block or min(BLOCK, max(LEAST_BLOCK, -(-n // 48)))
@@ -185,10 +203,10 @@ class Blocks:
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    cell = _cell_of(np.array(batch.column("y").to_pylist(), np.float64), nodes)
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(cell)], ["id", "y", "cell"])
+                    cell = _cell_of(matrix(batch.column("y")), nodes)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("weight"), pa.array(cell)], ["id", "y", "weight", "cell"])
 
-        dealt = scratch.cut(points.mapInArrow(deal, "id long, y array<double>, cell long"), "dealt")
+        dealt = scratch.cut(points.select("id", "y", "weight").mapInArrow(deal, "id long, y array<double>, weight long, cell long"), "dealt")
         # A cell that the sample took for smaller than it is, or of equal points, becomes several blocks.
         sizes = dealt.groupBy("cell").count().orderBy("cell").collect()
         parts, first, rows = [], 0, []
@@ -197,14 +215,14 @@ class Blocks:
             rows.append((cell, first, parts[-1]))
             first += parts[-1]
         told = self.spark.createDataFrame(rows, "cell long, first long, parts long")
-        placed = dealt.join(F.broadcast(told), "cell").select("id", "y", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("block"))
+        placed = dealt.join(F.broadcast(told), "cell").select("id", "y", "weight", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("block"))
         folder = self.folder
 
         def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own := [b for b in batches if b.num_rows]:
                 t = pa.Table.from_batches(own).sort_by("id")
-                b, x = t.column("block")[0].as_py(), np.array(t.column("y").to_pylist(), np.float64)
-                save_arrays(folder, f"points-{b}.npz", ids=t.column("id").to_numpy(), x=x)
+                b, x = t.column("block")[0].as_py(), matrix(t.column("y").combine_chunks())
+                save_arrays(folder, f"points-{b}.npz", ids=t.column("id").to_numpy(), x=x, weight=t.column("weight").to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.min(0)], pa.list_(pa.float64())), pa.array([x.max(0)], pa.list_(pa.float64()))], ["block", "low", "high"])
 
         made = placed.repartitionById(max(first, 1), F.col("block")).mapInArrow(save, "block int, low array<double>, high array<double>").collect()
@@ -244,18 +262,19 @@ class Blocks:
 
 
 def core_distances(blocks: Blocks, k: int, listed: int = 0) -> None:
-    """Writes every block's core distances: of each point that to its k-th nearest other.
+    """Writes every block's core distances: of each point that to its k-th nearest other, its copies among them.
 
-    With `listed`, also its nearest others, as many: their distances `far`, their blocks `there` and rows `row` (-1: none).
+    With `listed`, also its nearest others but copies, as many: their distances `far`, their blocks `there` and rows `row` (-1: none).
     """
     most = max(k, listed)
 
     def run(i: int) -> pa.RecordBatch:
-        x = blocks.load(i)["x"]
-        own = Near(x, blocks.scale)
+        mine = blocks.load(i)
+        x = mine["x"]
+        own, heavy = Near(x, blocks.scale), np.zeros((len(x), most), np.int64)
         best, there, place = np.full((len(x), most), np.inf), np.full((len(x), most), -1, np.int32), np.full((len(x), most), -1, np.int32)
 
-        def meet(rows: np.ndarray, other: Near, j: int) -> None:
+        def meet(rows: np.ndarray, other: Near, weight: np.ndarray, j: int) -> None:
             for at in range(0, len(rows), ROWS):
                 some = rows[at : at + ROWS]
                 g = own.products(some, other)
@@ -283,20 +302,23 @@ def core_distances(blocks: Blocks, k: int, listed: int = 0) -> None:
                 both = np.concatenate([best[at_], new], axis=1)
                 pick = np.argsort(both, axis=1, kind="stable")[:, :most]
                 best[at_] = np.take_along_axis(both, pick, 1)
+                heavy[at_] = np.take_along_axis(np.concatenate([heavy[at_], np.where(col < 0, 0, weight[col])], axis=1), pick, 1)
                 if listed:
                     there[at_] = np.take_along_axis(np.concatenate([there[at_], np.where(col < 0, -1, j).astype(np.int32)], axis=1), pick, 1)
                     place[at_] = np.take_along_axis(np.concatenate([place[at_], col], axis=1), pick, 1)
 
-        meet(np.arange(len(x)), own, i)
+        meet(np.arange(len(x)), own, mine["weight"], i)
         for gap, j in blocks.others(i):
             if gap >= best[:, -1].max():
                 break
             rows = np.flatnonzero(_to_box(x, blocks.low[j], blocks.high[j]) < best[:, -1])
             if len(rows):
-                meet(rows, Near(blocks.load(j)["x"], blocks.scale), j)
+                held = blocks.load(j)
+                meet(rows, Near(held["x"], blocks.scale), held["weight"], j)
         # Fewer other points than k: the farthest there is.
-        core = np.where(np.isfinite(best[:, :k]), best[:, :k], -1).max(1)
-        save_arrays(blocks.folder, f"core-{blocks.numbers[i]}.npz", core=np.maximum(core, 0))
+        met = np.cumsum(np.column_stack([mine["weight"] - 1, heavy]), axis=1)
+        core = np.where((np.column_stack([np.zeros(len(x), int), met[:, :-1]]) < k) & np.isfinite(both := np.column_stack([np.zeros(len(x)), best])), both, 0).max(1)
+        save_arrays(blocks.folder, f"core-{blocks.numbers[i]}.npz", core=core)
         if listed:
             save_arrays(blocks.folder, f"list-{blocks.numbers[i]}.npz", far=best, there=there, row=place)
         return pa.RecordBatch.from_arrays([pa.array([i], pa.int32())], ["made"])
@@ -351,6 +373,42 @@ def proven_edges(blocks: Blocks, kind: str | None) -> DataFrame:
     return least.where(F.col("e.w") < F.col("bound")).select("comp", "e.*")
 
 
+def copy_edges(blocks: Blocks) -> DataFrame:
+    """(place, to, w): where each copy of the places with a weight over 1 is tied to, after core_distances().
+
+    An edge of a copy weighs the core distance at least, and that much to all that are within it and have no larger one: the
+    least id of them, or of the place, is the other end.
+    """
+
+    def run(i: int) -> pa.RecordBatch | None:
+        own = blocks.load(i, "core", "list")
+        some = np.flatnonzero(own["weight"] > 1)
+        if not len(some):
+            return None
+        x, core, far, there, row, to = own["x"][some], own["core"][some], own["far"][some], own["there"][some], own["row"][some], own["ids"][some].copy()
+        for j in np.unique(there[there >= 0]).tolist():
+            held = own if j == i else blocks.load(j, "core")
+            r, c = np.nonzero((there == j) & (far <= core[:, None]))
+            q = row[r, c]
+            fine = held["core"][q] <= core[r]
+            np.minimum.at(to, r[fine], held["ids"][q[fine]])
+        # So many are just as far that the list may lack some.
+        if (open_ := np.flatnonzero(far[:, -1] <= core)).size:
+            for gap, j in [(0.0, i), *blocks.others(i)]:
+                if gap > core[open_].max():
+                    break
+                rows = open_[_to_box(x[open_], blocks.low[j], blocks.high[j]) <= core[open_]]
+                held = own if j == i else blocks.load(j, "core") if len(rows) else None
+                for at in range(0, len(rows), ROWS):
+                    a = rows[at : at + ROWS]
+                    fine = (distances(x[a], held["x"]) <= core[a, None]) & (held["core"][None, :] <= core[a, None])
+                    r, c = np.nonzero(fine)
+                    np.minimum.at(to, a[r], held["ids"][c])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (own["ids"][some], to, core)], ["place", "to", "w"])
+
+    return blocks.for_each(run, "place long, to long, w double")
+
+
 def nearest_others(blocks: Blocks, kind: str | None, single: dict[int, int], skipped: int | None = None) -> DataFrame:
     """Of every component but `skipped` the least edge to another: comp, w, low, high (the points' ids), other (the component).
 
@@ -447,25 +505,53 @@ def joined(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now
 
 
+def followed(comp: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The roots of comp, in ascending order, as joined() has them."""
+    at = np.searchsorted(comp, other)
+    has = comp[np.minimum(at, len(comp) - 1)] == other
+    at = np.where(has, at, 0)
+    end = has & (other[at] == comp) & (comp < other)
+    # Places of the roots: those without an edge come after the others.
+    names, extra = np.unique(other[~has], return_inverse=True)
+    to = np.where(end, np.arange(len(comp)), at)
+    to[~has] = len(comp) + extra
+    to = np.concatenate([to, np.arange(len(comp), len(comp) + len(names))])
+    while not np.array_equal(then := to[to], to):
+        to = then
+    return np.concatenate([comp, names])[to[: len(comp)]]
+
+
 def spanning_tree(points: DataFrame, scratch: Scratch, min_samples: int = 3, block: int | None = None) -> DataFrame:
     """(low, high, w): the n - 1 edges of the minimum spanning tree of points(id, y), a written table, by mutual reachability."""
     spark = points.sparkSession
-    blocks = Blocks(points, scratch, block)
+    places = scratch.cut(points.groupBy("y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "places")
+    blocks = Blocks(places, scratch, block)
     if not blocks.numbers:
         return spark.createDataFrame([], "low long, high long, w double")
     core_distances(blocks, min_samples, LISTED)
-    tree, kind, single, of = None, None, {}, points.select("id", F.col("id").alias("comp"))
+    copies = points.join(places.where("weight > 1").select("y", F.col("id").alias("place")), "y").where("id <> place").select("id", "place")
+    tied = copies.join(copy_edges(blocks), "place")
+    tree = scratch.cut(tied.select(F.least("id", "to").alias("low"), F.greatest("id", "to").alias("high"), "w"), "copies")
+    kind, single = None, {}
     components, lists, turn = blocks.count, True, 0
     while components > 1:
         if lists:
             found = proven_edges(blocks, kind)
         else:
             # The largest component may hold nearly all points; the others' edges join them to it.
-            largest = of.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
-            found = nearest_others(blocks, kind, single, largest)
+            found = nearest_others(blocks, kind, single, _largest(blocks, kind))
         edges = scratch.cut(found, "nearest")
-        new = scratch.cut(edges.select("low", "high", "w").distinct(), "edges")
-        count = new.count()
+        n = edges.count()
+        # Two components that point at each other have one edge. Few components' edges are followed on the driver.
+        few = edges.select("comp", "other").orderBy("comp").toArrow() if n <= MOST_FOLLOWED else None
+        if not n:
+            count = 0
+        elif few is not None:
+            comp, other = (few.column(c).to_numpy() for c in ("comp", "other"))
+            at = np.minimum(np.searchsorted(comp, other), n - 1)
+            count = n - int(((comp[at] == other) & (other[at] == comp)).sum()) // 2
+        else:
+            count = edges.select("low", "high").distinct().count()
         # Lists that hardly prove an edge any more are left.
         if not count and not lists:
             raise RuntimeError(f"{components} components without an edge")
@@ -473,33 +559,62 @@ def spanning_tree(points: DataFrame, scratch: Scratch, min_samples: int = 3, blo
         if not count:
             continue
         components -= count
-        tree = new if tree is None else tree.unionByName(new)
+        tree = tree.unionByName(edges.select("low", "high", "w").distinct())
         if components > 1:
-            roots = joined(edges, scratch)
-            # A component may hold most points: the joins on it split or broadcast, as roots have each component once.
-            of = scratch.cut(of.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "components")
-            kind, turn = f"comps{turn}", turn + 1
-            single = _spread(blocks, of, kind)
-    return tree if tree is not None else spark.createDataFrame([], "low long, high long, w double")
+            then, turn = f"comps{turn}", turn + 1
+            if few is not None:
+                save_arrays(blocks.folder, f"roots-{then}.npz", comp=comp, root=followed(comp, other))
+                single = _renamed(blocks, kind, then)
+            else:
+                single = _spread(blocks, kind, joined(edges, scratch), then)
+            kind = then
+    return tree
+
+
+def _largest(blocks: Blocks, kind: str | None) -> int:
+    def sizes(i: int) -> pa.RecordBatch:
+        own = blocks.load(i, *([kind] if kind else []))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(own["comp" if kind else "ids"], return_counts=True)], ["comp", "n"])
+
+    return blocks.for_each(sizes, "comp long, n long").groupBy("comp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "comp").first()["comp"]
+
+
+_SAVED = "block int, single long"
+
+
+def _saved(blocks: Blocks, i: int, comp: np.ndarray, kind: str) -> pa.RecordBatch:
+    save_arrays(blocks.folder, f"{kind}-{blocks.numbers[i]}.npz", comp=comp)
+    return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([int(comp[0]) if (comp == comp[0]).all() else None], pa.int64())], ["block", "single"])
+
+
+def _renamed(blocks: Blocks, kind: str | None, then: str) -> dict[int, int]:
+    """_spread() by a file of the roots."""
+
+    def run(i: int) -> pa.RecordBatch:
+        own, roots = blocks.load(i, *([kind] if kind else [])), load_arrays(blocks.folder, f"roots-{then}.npz")
+        comp = own["comp" if kind else "ids"]
+        at = np.minimum(np.searchsorted(roots["comp"], comp), len(roots["comp"]) - 1)
+        return _saved(blocks, i, np.where(roots["comp"][at] == comp, roots["root"][at], comp), then)
+
+    return {r["block"]: r["single"] for r in blocks.for_each(run, _SAVED).collect() if r["single"] is not None}
 
 
-def _spread(blocks: Blocks, of: DataFrame, kind: str) -> dict[int, int]:
-    """Writes the components of(id, comp) beside the blocks' points; (block: component) of those that have one only."""
+def _spread(blocks: Blocks, kind: str | None, roots: DataFrame, then: str) -> dict[int, int]:
+    """Writes the components of kind under their roots(comp, root); (block: component) of those that have one only."""
 
     def where(i: int) -> pa.RecordBatch:
-        ids = blocks.load(i)["ids"]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), i, np.int32))], ["id", "block"])
+        own = blocks.load(i, *([kind] if kind else []))
+        return pa.RecordBatch.from_arrays([pa.array(own["ids"]), pa.array(own["comp" if kind else "ids"]), pa.array(np.full(len(own["ids"]), i, np.int32))], ["id", "comp", "block"])
 
-    placed = of.join(blocks.for_each(where, "id long, block int"), "id")
+    # A component may hold most points: the join on it splits or broadcasts, as roots have each component once.
+    placed = blocks.for_each(where, "id long, comp long, block int").join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"), "block")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if own := [b for b in batches if b.num_rows]:
             t = pa.Table.from_batches(own).sort_by("id")
-            i, comp = t.column("block")[0].as_py(), t.column("comp").to_numpy()
-            save_arrays(blocks.folder, f"{kind}-{blocks.numbers[i]}.npz", comp=comp)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([int(comp[0]) if (comp == comp[0]).all() else None], pa.int64())], ["block", "single"])
+            yield _saved(blocks, t.column("block")[0].as_py(), t.column("comp").to_numpy(), then)
 
-    made = placed.repartitionById(len(blocks.numbers), F.col("block")).mapInArrow(save, "block int, single long").collect()
+    made = placed.repartitionById(len(blocks.numbers), F.col("block")).mapInArrow(save, _SAVED).collect()
     return {r["block"]: r["single"] for r in made if r["single"] is not None}
 
 
