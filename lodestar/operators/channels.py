@@ -7,7 +7,7 @@ The driver holds a centroid for each cluster, MOST_CLUSTERS of a channel at most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -22,12 +22,26 @@ from . import assign, density, spanning, vector
 #: Points of a channel that one task clusters; clusters whose centroids the driver compares.
 MOST_POINTS, MOST_CLUSTERS = 3_000, 20_000
 LIMIT = 10
+LABELS = ("workspace_id", "embedding_type", "asset_id", "label", "merged_label")
 
 
 def cluster_runs(
     vectors: DataFrame, dimension: int | None = 8, parameters: density.Parameters | None = None, gates: density.MergeGates = density.MergeGates(), most: int = MOST_POINTS
 ) -> DataFrame:
     """density.cluster_runs() of channels of any size. asset_ids of a channel must differ."""
+    return _runs(vectors, dimension, parameters, gates, most, _placed)
+
+
+def cluster_labels(
+    vectors: DataFrame, dimension: int | None = 8, parameters: density.Parameters | None = None, gates: density.MergeGates = density.MergeGates(), most: int = MOST_POINTS
+) -> DataFrame:
+    """LABELS of cluster_runs(), for which large channels need no medoids, distances and roles."""
+    return _runs(vectors, dimension, parameters, gates, most, lambda members, scratch: members.select(*LABELS)).select(*LABELS)
+
+
+def _runs(
+    vectors: DataFrame, dimension: int | None, parameters: density.Parameters | None, gates: density.MergeGates, most: int, told: Callable[[DataFrame, Scratch], DataFrame]
+) -> DataFrame:
     kinds = ["workspace_id", "embedding_type"]
     with Scratch(vectors.sparkSession) as scratch:
         vectors = scratch.cut(vectors.select(*kinds, "asset_id", "source_file_id", "embedding"), "vectors")
@@ -41,17 +55,18 @@ def cluster_runs(
 
         def run(rows: DataFrame) -> DataFrame:
             with Scratch(rows.sparkSession) as own:
-                return own.keep(_large(rows, own, dimension, parameters, gates), "run")
+                return own.keep(told(_labelled(rows, own, dimension, parameters, gates), own), "run")
 
         out = density.cluster_runs(small, dimension, parameters, gates)
         # A channel's rounds are many small jobs: some channels run side by side.
         with ThreadPoolExecutor(4) as pool:
             for part in pool.map(run, large):
-                out = out.unionByName(part)
+                out = out.select(part.columns).unionByName(part)
         return scratch.keep(out, "runs")
 
 
-def _large(rows: DataFrame, scratch: Scratch, dimension: int | None, parameters: density.Parameters | None, gates: density.MergeGates) -> DataFrame:
+def _labelled(rows: DataFrame, scratch: Scratch, dimension: int | None, parameters: density.Parameters | None, gates: density.MergeGates) -> DataFrame:
+    """The channel's rows with their numbers, places y, labels and merged labels."""
     # Numbers in the order of asset_id, by which equal distances are decided.
     rows = scratch.cut(rows.orderBy("asset_id").withColumn("id", F.monotonically_increasing_id()), "ordered")
     points = scratch.cut(spanning.project(rows.select("id", F.col("embedding").cast("array<double>").alias("x")), dimension), "points")
@@ -59,8 +74,11 @@ def _large(rows: DataFrame, scratch: Scratch, dimension: int | None, parameters:
     members = scratch.cut(rows.join(labels, "id").join(points, "id"), "members")
     told = members.sparkSession.createDataFrame(list(merged_labels(members.select("label", "embedding"), gates).items()), "label int, into int")
     members = members.join(F.broadcast(told), "label", "left").withColumn("merged_label", F.when(F.col("label") >= 0, F.coalesce("into", "label"))).drop("into", "embedding")
-    members = scratch.cut(members, "merged")
+    return scratch.cut(members, "merged")
+
 
+def _placed(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """cluster_runs() of a channel, of _labelled()."""
     inside = members.where("merged_label is not null")
     found = assign.medoids(inside.select(F.col("merged_label").alias("label"), F.col("id").alias("embedding_id"), F.col("y").alias("embedding")))
     centers = inside.join(vector.counted(found.select(F.col("label").alias("merged_label"), F.col("medoid").alias("id"))), ["merged_label", "id"])
